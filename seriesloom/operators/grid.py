@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriesloom.functions.dates import epoch_micros, frequency_seconds, from_epoch_seconds
@@ -24,7 +24,8 @@ def complete_axis(
 
     ``bounds`` (keys, min_date, max_date) replaces the series' own first and last timestamp. The axis
     is unrolled segment by segment, so no row holds the whole axis. The rows and the axis meet in one
-    shuffle on (series, segment), and the result keeps that partitioning for the window that follows.
+    shuffle on (series, segment); the result keeps that partitioning, and the segment column, for the
+    window that follows.
     """
     keys = list(keys)
     step_s, width_s = frequency_seconds(step), frequency_seconds(width)
@@ -43,17 +44,21 @@ def complete_axis(
         .withColumn(SEGMENT, F.explode(F.sequence(floor_div(F.col("_a"), width_s), floor_div(F.col("_z"), width_s))))
         .withColumns({"_low": low, "_high": high})
         .where(F.col("_low") <= F.col("_high"))
+        .withColumn("_second", F.explode(F.sequence("_low", "_high", F.lit(step_s).cast("bigint"))))
         .select(
             *keys,
             SEGMENT,
-            from_epoch_seconds(F.explode(F.sequence("_low", "_high", F.lit(step_s).cast("bigint")))).alias(order),
+            from_epoch_seconds(F.col("_second")).alias(order),
             F.lit(None).cast("double").alias(value),
         )
     )
     rows = df.select(*keys, segment_of(F.col(order), width).alias(SEGMENT), order, F.col(value).cast("double"))
+    # The first row of each timestamp stays: an observed one if there is one. A window, not an
+    # aggregation, because grouping by floating-point keys would hide the partitioning.
+    by_time = Window.partitionBy(*keys, SEGMENT).orderBy(order, F.col(value).desc_nulls_last())
     return (
         axis.unionByName(rows)
-        .repartition(*keys, SEGMENT)
-        .groupBy(*keys, SEGMENT, order)
-        .agg(F.max(value).alias(value))
+        .withColumn("_before", F.lag(order).over(by_time))
+        .where(F.col("_before").isNull() | (F.col("_before") != F.col(order)))
+        .drop("_before")
     )

@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.functions.dates import epoch_micros
 from seriesloom.operators.segments import (
-    DEFAULT_BLOCK,
     DEFAULT_WIDTH,
     POSITION,
-    SERIES_ROWS,
     with_neighbours,
     with_positions,
 )
@@ -60,12 +60,12 @@ def interpolate_linear(
     edges: bool = False,
 ) -> DataFrame:
     """Rows count as equally spaced. ``edges`` also fills leading gaps backward."""
-    placed = with_positions(df, keys, order, width)
-    near = with_neighbours(placed, keys, POSITION, columns, DEFAULT_BLOCK)
+    placed = with_positions(df, keys, order, width, keep_segment=True)
+    near = with_neighbours(placed, keys, POSITION, columns)
     line = {c: _line(c, F.col(POSITION), lambda x: x) for c in columns}
     if edges:
         line = {c: F.coalesce(v, _next(c)) for c, v in line.items()}
-    return near.withColumns(line).select(*df.columns).drop(POSITION, SERIES_ROWS)
+    return near.withColumns(line).select(*df.columns)
 
 
 def forward_fill(df, keys, columns, order="timestamp", width=DEFAULT_WIDTH) -> DataFrame:
@@ -107,5 +107,10 @@ def null_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
     return df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in (columns or df.columns)])
 
 
+def complete_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows without a null in the columns, as one plain condition per column."""
+    return df.where(reduce(and_, [F.col(c).isNotNull() for c in columns])) if columns else df
+
+
 def drop_incomplete(df: DataFrame, columns: Sequence[str] | None = None, how: str = "any") -> DataFrame:
     return df.na.drop(how=how, subset=list(columns) if columns else None)

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seriesloom.operators.impute import interpolate_linear
+from seriesloom.operators.impute import complete_rows, interpolate_linear
 from seriesloom.operators.segments import (
     DEFAULT_BLOCK,
     POSITION,
@@ -52,7 +52,7 @@ def lag_features(
 ) -> DataFrame:
     """Lag columns without the incomplete first rows, rounded half to even."""
     placed = with_positions(df, keys, order, width)
-    lagged = add_lags(placed, keys, column, lags, block=block).na.drop(subset=[f"lag_{k}" for k in lags])
+    lagged = complete_rows(add_lags(placed, keys, column, lags, block=block), [f"lag_{k}" for k in lags])
     if digits is not None:
         lagged = lagged.withColumns({f"lag_{k}": F.bround(f"lag_{k}", digits) for k in lags})
     return lagged.drop(POSITION, SERIES_ROWS)
@@ -102,7 +102,6 @@ def durbin_levinson(gamma: np.ndarray) -> np.ndarray:
     return out
 
 
-@F.pandas_udf("array<double>")
 def _partial(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for gamma, usable in batches:
         yield pd.Series([durbin_levinson(np.asarray(g, float)[: m + 1]) for g, m in zip(gamma, usable)])
@@ -111,7 +110,8 @@ def _partial(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Seri
 def partial_autocorrelation(df: DataFrame, keys: Sequence[str], column: str, **options) -> DataFrame:
     """One row per series; the only Python is the solve over at most ``nlags + 1`` numbers."""
     cov = autocovariances(df, keys, column, **options)
-    return cov.withColumn("pacf", _partial("autocovariance", "n_lags"))
+    solve = F.pandas_udf(_partial, "array<double>")
+    return cov.withColumn("pacf", solve("autocovariance", "n_lags"))
 
 
 def select_lags(

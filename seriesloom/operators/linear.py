@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.functions import metrics as M
+from seriesloom.operators.impute import complete_rows
 
 FIT = (
     "struct<coefficients:array<double>,intercept:double,n:bigint,"
@@ -80,7 +81,6 @@ def fit_blocks(blocks: dict[int, np.ndarray]) -> dict:
     return {"coefficients": coef.tolist(), "intercept": intercept, "n": int(train[0, 0]), "folds": folds}
 
 
-@F.pandas_udf(FIT)
 def _fit(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for series in batches:
         yield pd.DataFrame(
@@ -98,11 +98,11 @@ def linear_fit(
     ``n_splits + 1`` rows of sums to its solve.
     """
     keys, features = list(keys), list(features)
-    complete = df.na.drop(subset=[*features, label])
+    complete = complete_rows(df, [*features, label])
     number = F.col(block) if block else F.lit(0)
     sums = complete.groupBy(*keys, number.alias("block")).agg(product_sums(features, label).alias("sums"))
     per_series = sums.groupBy(*keys).agg(F.collect_list(F.struct("block", "sums")).alias("_blocks"))
-    return per_series.select(*keys, _fit("_blocks").alias("_fit")).select(
+    return per_series.select(*keys, F.pandas_udf(_fit, FIT)("_blocks").alias("_fit")).select(
         *keys, F.array(*map(F.lit, features)).alias("feature_names"), "_fit.*"
     )
 

@@ -23,22 +23,32 @@ def exact_quantiles(
     rows = df.select(*keys, F.col(column).cast("double").alias("_v")).where(
         F.col("_v").isNotNull() & ~F.isnan("_v")
     )
-    margin = 2.0 / accuracy
-    edges = [min(1.0, max(0.0, p + s * margin)) for p in probabilities for s in (-1, 1)]
+    # The bracket must reach both order statistics: the sketch is off by at most 1 / accuracy, and
+    # they lie within three ranks of p * n. Fewer rows need a wider share.
+    margins = [(max(30_000, 3 * accuracy), 2.0 / accuracy), (400, 0.01), (40, 0.1)]
+    edges = [
+        min(1.0, max(0.0, p + side * share)) for p in probabilities for _, share in margins for side in (-1, 1)
+    ]
     sketch = rows.groupBy(*keys).agg(
         F.count("*").alias("n"),
         F.percentile_approx("_v", edges, accuracy).alias("_edges"),
         F.min("_v").alias("_min"),
         F.max("_v").alias("_max"),
     )
+
+    def edge(i: int, side: int):
+        """The tightest edge that is safe for n rows; an edge at rank 0 or 1 is the extreme itself."""
+        extreme = F.col("_max" if side else "_min")
+        out = None
+        for j, (least, _) in enumerate(margins):
+            k = 2 * (i * len(margins) + j) + side
+            value = extreme if edges[k] in (0.0, 1.0) else F.get("_edges", F.lit(k))
+            out = F.when(F.col("n") >= least, value) if out is None else out.when(F.col("n") >= least, value)
+        return out.otherwise(extreme)
+
     brackets = F.array(
         *[
-            F.struct(
-                F.lit(float(p)).alias("probability"),
-                # An edge at rank 0 or 1 is the extreme value itself.
-                (F.col("_min") if edges[2 * i] == 0 else F.get("_edges", F.lit(2 * i))).alias("low"),
-                (F.col("_max") if edges[2 * i + 1] == 1 else F.get("_edges", F.lit(2 * i + 1))).alias("high"),
-            )
+            F.struct(F.lit(float(p)).alias("probability"), edge(i, 0).alias("low"), edge(i, 1).alias("high"))
             for i, p in enumerate(probabilities)
         ]
     )

@@ -69,7 +69,7 @@ def polynomial_terms(features: Sequence[str], degree: int = 2, bias: bool = Fals
         for combo in combinations_with_replacement(features, d):
             powers = {f: combo.count(f) for f in combo}
             name = " ".join(f if n == 1 else f"{f}^{n}" for f, n in powers.items())
-            product = F.col(combo[0]).cast("double")
+            product = F.col(combo[0])
             for f in combo[1:]:
                 product = product * F.col(f)
             terms[name] = product
@@ -79,9 +79,11 @@ def polynomial_terms(features: Sequence[str], degree: int = 2, bias: bool = Fals
 def with_polynomial(
     df: DataFrame, features: Sequence[str], degree: int = 2, bias: bool = False
 ) -> tuple[DataFrame, list[str]]:
+    """Add the terms to the columns; returns the frame and the terms' names in order."""
     terms = polynomial_terms(features, degree, bias)
-    rest = [c for c in df.columns if c not in terms]
-    return df.select(*rest, *[v.alias(k) for k, v in terms.items()]), list(terms)
+    # The features themselves stay the same columns: renamed copies would multiply the constraints
+    # the optimizer derives from them.
+    return df.withColumns({k: v.cast("double") for k, v in terms.items() if k not in df.columns}), list(terms)
 
 
 def align_features(df: DataFrame, names: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:

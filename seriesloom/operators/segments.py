@@ -49,9 +49,17 @@ def later(keys: Sequence[str], order: str = SEGMENT):
 
 
 def with_positions(
-    df: DataFrame, keys: Sequence[str], order: str = "timestamp", width: str | int = DEFAULT_WIDTH
+    df: DataFrame,
+    keys: Sequence[str],
+    order: str = "timestamp",
+    width: str | int = DEFAULT_WIDTH,
+    keep_segment: bool = False,
 ) -> DataFrame:
-    """Add the exact 1-based row position within the series and the number of rows of the series."""
+    """Add the exact 1-based row position within the series and the number of rows of the series.
+
+    A segment column that is there already is used and stays; ``keep_segment`` keeps a new one, so that
+    the next operator can work in the same partitioning.
+    """
     keys = list(keys)
     rows = with_segment(df, order, width)
     sizes = rows.groupBy(*keys, SEGMENT).agg(F.count("*").alias("_rows"))
@@ -62,12 +70,13 @@ def with_positions(
         F.sum("_rows").over(Window.partitionBy(*keys)).alias(SERIES_ROWS),
     )
     local = F.row_number().over(Window.partitionBy(*keys, SEGMENT).orderBy(order))
-    return (
+    placed = (
         rows.withColumn("_local", local)
         .join(offsets, [*keys, SEGMENT])
         .withColumn(POSITION, F.col("_offset") + F.col("_local"))
-        .drop("_local", "_offset", SEGMENT)
+        .drop("_local", "_offset")
     )
+    return placed if keep_segment or SEGMENT in df.columns else placed.drop(SEGMENT)
 
 
 def with_regular_positions(df: DataFrame, order: str, step: str) -> DataFrame:
