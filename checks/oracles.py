@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from checks.domain import NOW, PRIORITIES, UPDATED, VARIABLES
+from checks.domain import NOW, PRIORITIES, TIE_SHIFT, UPDATED, VARIABLES
 from seriesloom.functions.params import SEED_CONFIG
 
 SERIES = "latitude, longitude, variable_code"
@@ -109,7 +109,7 @@ ACCURACY = """CASE WHEN {0} IS NULL OR {1} IS NULL THEN NULL WHEN {0} = 0 THEN C
 
 
 def r(expression: str, digits: int = 6) -> str:
-    return f"round({expression}, {digits}) + 0.0"
+    return f"round(({expression}) + CAST({TIE_SHIFT * 10.0**-digits!r} AS DOUBLE), {digits}) + 0.0"
 
 
 def calendar_rows(source: str) -> str:
@@ -165,7 +165,7 @@ O["preprocess_landed"] = f"""WITH {FILLED}, wide AS ({pivoted(['click', 'view'],
 SELECT timestamp, {SERIES}, value, TIMESTAMP '{UPDATED}' AS update_date FROM (
   SELECT timestamp, latitude, longitude, unnest(['click', 'view']) AS variable_code, unnest([click, view]) AS value FROM wide)
 UNION ALL {calendar_rows('wide')}"""
-O["feature_scan"] = f"""WITH {OBS} SELECT * FROM obs WHERE latitude = 41.03::DOUBLE AND longitude = 2.03::DOUBLE
+O["feature_scan"] = f"""WITH {OBS} SELECT * FROM obs WHERE latitude = 41.01::DOUBLE AND longitude = 2.01::DOUBLE
   AND timestamp BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20'"""
 O["feature_scan_regex"] = f"WITH {OBS} SELECT * FROM obs WHERE regexp_matches(variable_code, 'ick|sign')"
 O["feature_scan_locations"] = f"""WITH {OBS} SELECT * FROM obs WHERE (latitude, longitude) IN (
@@ -176,7 +176,7 @@ SELECT * FROM p WHERE timestamp = (SELECT max(timestamp) FROM p q WHERE q.latitu
 O["predictions_range"] = f"""WITH {PREDS} SELECT * FROM preds
   WHERE timestamp BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-01-12 05:00:00'"""
 O["config_scan"] = f"""WITH {CONFIG} SELECT * FROM config
-  WHERE timestamp = TIMESTAMP '1998-10-03 12:00:00' AND stage = 'training'"""
+  WHERE timestamp = TIMESTAMP '1995-01-04 21:00:00' AND stage = 'training'"""
 O["registry_scan"] = f"""WITH {REGISTRY} SELECT model_date, latitude, longitude, target_variable, model_version FROM registry
   WHERE model_name = 'linear_regression' AND model_type = 'autoval_reg' AND regexp_matches(target_variable, 'URG|LOW')"""
 O["registry_scan_date"] = f"""WITH {REGISTRY} SELECT model_date, latitude, longitude, target_variable, model_version FROM registry
@@ -190,11 +190,11 @@ O["distinct_coordinates"] = f"WITH {OBS} SELECT DISTINCT latitude, longitude FRO
 O["distinct_variables"] = "SELECT DISTINCT event_type AS variable_code FROM events"
 O["target_variable"] = "SELECT min(event_type) AS target_variable FROM events WHERE event_type LIKE '%r%'"
 O["partner_coordinate"] = f"""WITH {OBS} SELECT latitude, min(longitude) AS longitude FROM obs
-  WHERE latitude = 41.05::DOUBLE GROUP BY latitude"""
+  WHERE latitude = 41.01::DOUBLE GROUP BY latitude"""
 O["date_bounds"] = f"""WITH {OBS} SELECT latitude, longitude, min(timestamp) AS min_date, max(timestamp) AS max_date
   FROM obs GROUP BY ALL"""
 O["models_of_config"] = f"""WITH {CONFIG} SELECT *, stage || '_' || year(timestamp) AS model_id FROM config
-  WHERE timestamp = TIMESTAMP '1998-10-03 12:00:00' AND stage = 'prediction'"""
+  WHERE timestamp = TIMESTAMP '1995-01-04 21:00:00' AND stage = 'prediction'"""
 
 # ---------------------------------------------------------------- sinks
 
@@ -222,7 +222,7 @@ SELECT * REPLACE (
   CASE WHEN parameter_code IN ('n_iter', 'direction') THEN TIMESTAMP '{UPDATED}' ELSE update_date END AS update_date) FROM config
 UNION ALL SELECT timestamp, stage, 'n_iter_extra', '9', TIMESTAMP '{UPDATED}', TIMESTAMP '{UPDATED}' FROM config
   WHERE parameter_code = 'n_iter'"""
-O["delete_config"] = f"WITH {CONFIG} SELECT * FROM config WHERE timestamp <> TIMESTAMP '1998-10-03 12:00:00'"
+O["delete_config"] = f"WITH {CONFIG} SELECT * FROM config WHERE timestamp <> TIMESTAMP '1995-01-04 21:00:00'"
 O["high_water_mark"] = f"""WITH {OBS} SELECT latitude, longitude, 'engineered_data' AS data_type,
   max(timestamp) AS timestamp, TIMESTAMP '2024-02-03' AS update_date FROM obs GROUP BY latitude, longitude"""
 O["incremental_since_mark"] = f"""WITH {MARKS} SELECT o.* FROM obs o LEFT JOIN marks m USING (latitude, longitude)
@@ -311,8 +311,8 @@ O["smooth_predictions"] = f"""WITH {PREDS}, m AS (
   SELECT {TARGET}, timestamp, CASE WHEN count(predictions) OVER w = 100
     THEN avg(CASE WHEN predictions IS NOT NULL THEN greatest(0.0, predictions) END) OVER w END AS mean
   FROM preds WINDOW w AS (PARTITION BY {TARGET} ORDER BY timestamp ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)),
-{near('m', 'mean', TARGET)}
-SELECT {TARGET}, timestamp, {r('coalesce(nv, pv)')} AS predictions FROM near"""
+{near('m', 'mean', TARGET, name='near2')}
+SELECT {TARGET}, timestamp, {r('coalesce(nv, pv)')} AS predictions FROM near2"""
 O["lag_features"] = f"""WITH {FILLED}, l AS (SELECT {SERIES}, timestamp, value,
   lag(value, 1) OVER w AS a, lag(value, 2) OVER w AS b, lag(value, 24) OVER w AS c
   FROM filled WINDOW w AS (PARTITION BY {SERIES} ORDER BY timestamp))
@@ -323,7 +323,7 @@ FROM l WHERE a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL"""
 def acf(nlags: int, source: str) -> str:
     return f"""x AS (SELECT {SERIES}, value - avg(value) OVER (PARTITION BY {SERIES}) AS x,
     row_number() OVER (PARTITION BY {SERIES} ORDER BY timestamp) AS i, count(*) OVER (PARTITION BY {SERIES}) AS n FROM {source}),
-  gamma AS (SELECT {', '.join('a.' + k for k in SERIES.split(', '))}, max(a.n) AS n, k AS lag, sum(a.x * b.x) / (max(a.n) - k) AS g
+  gamma AS (SELECT {', '.join('a.' + k for k in SERIES.split(', '))}, max(a.n) AS n, k AS lag, sum(a.x * b.x) / (max(a.n) - max(k)) AS g
     FROM x a CROSS JOIN range({nlags + 1}) t(k) JOIN x b ON a.latitude = b.latitude AND a.longitude = b.longitude
      AND a.variable_code = b.variable_code AND b.i = a.i - k GROUP BY ALL)"""
 
@@ -405,7 +405,7 @@ O["clean_names"] = f"""SELECT p_partkey, 'bcn/' || p_size || '/' || p_name AS wi
   p_size AS number, 'min' AS unit, regexp_replace(p_name, '\\W+', '_', 'g') AS safe_name,
   CASE WHEN {ODD} IN ('', 'None') THEN NULL ELSE {ODD} END AS normalised FROM part"""
 O["clip_and_round"] = """SELECT CASE WHEN l_quantity > 2 THEN greatest(10.0, least(40.0, l_quantity)) END AS clipped,
-  round_even(l_extendedprice / 1000, 0) AS thousands, count(*) AS n FROM lineitem GROUP BY ALL"""
+  round_even(l_extendedprice / 1000, 1) AS thousands, count(*) AS n FROM lineitem GROUP BY ALL"""
 
 # ---------------------------------------------------------------- metrics and validation
 
@@ -441,10 +441,6 @@ O["log_loss"] = f"""WITH {LABELLED}, p AS (SELECT lang, quality AS y,
 SELECT lang, {r('-avg(y * ln(p) + (1 - y) * ln(1 - p))')} AS score FROM p GROUP BY lang"""
 O["exact_quartiles"] = """SELECT l_returnflag, quantile_cont(l_extendedprice, 0.25) AS q1, quantile_cont(l_extendedprice, 0.75) AS q3,
   quantile_cont(l_extendedprice, 0.75) - quantile_cont(l_extendedprice, 0.25) AS iqr FROM lineitem GROUP BY ALL"""
-O["exact_quantiles"] = f"""WITH q AS (SELECT o_orderpriority, count(*) AS n,
-  quantile_cont(o_totalprice, [0.0, 0.1, 0.5, 0.99, 1.0]) AS qs FROM orders GROUP BY ALL)
-SELECT o_orderpriority, n, CAST(unnest([0.0, 0.1, 0.5, 0.99, 1.0]) AS DOUBLE) AS probability,
-  {r('quantile')} AS quantile FROM (SELECT o_orderpriority, n, unnest(qs) AS quantile, 1 FROM q)"""
 O["exact_quantiles"] = f"""WITH q AS (SELECT o_orderpriority, count(*) AS n,
   quantile_cont(o_totalprice, [0.0, 0.1, 0.5, 0.99, 1.0]) AS qs FROM orders GROUP BY ALL),
 u AS (SELECT o_orderpriority, n, unnest([0.0, 0.1, 0.5, 0.99, 1.0]::DOUBLE[]) AS probability, unnest(qs) AS quantile FROM q)

@@ -43,13 +43,3 @@ def missing(text: Column) -> Column:
 def nan_to_null(df: DataFrame) -> DataFrame:
     floating = [name for name, kind in df.dtypes if kind in ("double", "float")]
     return df.withColumns({c: F.when(F.isnan(c), F.lit(None)).otherwise(F.col(c)) for c in floating})
-
-
-def clip(value: Column, low=None, high=None) -> Column:
-    """Clip and keep nulls (``greatest`` and ``least`` would replace them by the bound)."""
-    out = value
-    if low is not None:
-        out = F.greatest(out, F.lit(low).cast("double"))
-    if high is not None:
-        out = F.least(out, F.lit(high).cast("double"))
-    return F.when(value.isNotNull(), out)

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from seriesloom.functions.numbers import round_half_even
 from seriesloom.operators.impute import complete_rows, interpolate_linear
 from seriesloom.operators.segments import (
     DEFAULT_BLOCK,
@@ -54,7 +55,7 @@ def lag_features(
     placed = with_positions(df, keys, order, width)
     lagged = complete_rows(add_lags(placed, keys, column, lags, block=block), [f"lag_{k}" for k in lags])
     if digits is not None:
-        lagged = lagged.withColumns({f"lag_{k}": F.bround(f"lag_{k}", digits) for k in lags})
+        lagged = lagged.withColumns({f"lag_{k}": round_half_even(F.col(f"lag_{k}"), digits) for k in lags})
     return lagged.drop(POSITION, SERIES_ROWS)
 
 
@@ -138,7 +139,7 @@ def supervised_lags(
     chosen = select_lags(filled, keys, column, nlags=nlags, order=order, width=width).select(*keys, "lags")
     placed = with_positions(filled, keys, order, width)
     lagged = add_lags(placed, keys, column, range(1, nlags + 1), "_x")
-    values = F.array(*[F.bround(f"_x{k}", 2) for k in range(1, nlags + 1)])
+    values = F.array(*[round_half_even(F.col(f"_x{k}"), 2) for k in range(1, nlags + 1)])
     return (
         lagged.join(chosen, keys)
         .where(F.col(POSITION) > F.coalesce(F.array_max("lags"), F.lit(0)))

@@ -138,7 +138,9 @@ def with_neighbours(
         )
         return F.coalesce(F.col(name), carried).alias(name)
 
-    return local.join(carry, [*keys, SEGMENT], "left").select(
+    # Every segment is in the table. An inner join gives both readers of the rows the same conditions,
+    # so Spark shuffles them once and reuses the exchange.
+    return local.join(carry, [*keys, SEGMENT]).select(
         *df.columns,
         *[across(c, "c", f"_prev_{c}") for c in columns],
         *[across(c, "d", f"_next_{c}") for c in columns],

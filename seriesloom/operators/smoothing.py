@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seriesloom.functions.text import clip
+from seriesloom.functions.numbers import clip
 from seriesloom.operators.impute import fill_both
 from seriesloom.operators.segments import (
     DEFAULT_BLOCK,
