@@ -74,9 +74,9 @@ def with_positions(
         rows.withColumn("_local", local)
         .join(offsets, [*keys, SEGMENT])
         .withColumn(POSITION, F.col("_offset") + F.col("_local"))
-        .drop("_local", "_offset")
     )
-    return placed if keep_segment or SEGMENT in df.columns else placed.drop(SEGMENT)
+    kept = [SEGMENT] if keep_segment and SEGMENT not in df.columns else []
+    return placed.select(*df.columns, POSITION, SERIES_ROWS, *kept)
 
 
 def with_regular_positions(df: DataFrame, order: str, step: str) -> DataFrame:
