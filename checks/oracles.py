@@ -526,12 +526,19 @@ ONE = panel(1)
 FIT = f"""fit AS (SELECT {TARGET}, count(*) AS n, coalesce(regr_slope(value, lag_1), 0) AS slope,
   coalesce(regr_intercept(value, lag_1), avg(value)) AS intercept FROM panel GROUP BY {TARGET})"""
 O["linear_fit"] = f"WITH {ONE}, {FIT} SELECT {TARGET}, n, {r('slope')} AS slope, {r('intercept')} AS intercept FROM fit"
-CV = f"""{ONE}, {blocks(4, 'panel', TARGET)},
-cv AS (SELECT {TARGET}, fold, coalesce(regr_slope(value, lag_1), 0) AS slope, coalesce(regr_intercept(value, lag_1), avg(value)) AS intercept
-  FROM b, range(4) t(fold) WHERE block <= fold GROUP BY ALL),
-sc AS (SELECT {TARGET}, fold, sqrt(avg((value - intercept - slope * lag_1) * (value - intercept - slope * lag_1))) AS rmse,
-  avg(abs(value - intercept - slope * lag_1)) AS mae
-  FROM b JOIN cv USING ({TARGET}) WHERE b.block = cv.fold + 1 GROUP BY ALL)"""
+
+
+def cross_validation(source: str) -> str:
+    return f"""{blocks(4, source, TARGET)},
+  cv AS (SELECT {TARGET}, fold, coalesce(regr_slope(value, lag_1), 0) AS slope,
+    coalesce(regr_intercept(value, lag_1), avg(value)) AS intercept
+    FROM b, range(4) t(fold) WHERE block <= fold GROUP BY ALL),
+  sc AS (SELECT {TARGET}, fold, sqrt(avg((value - intercept - slope * lag_1) * (value - intercept - slope * lag_1))) AS rmse,
+    avg(abs(value - intercept - slope * lag_1)) AS mae
+    FROM b JOIN cv USING ({TARGET}) WHERE b.block = cv.fold + 1 GROUP BY ALL)"""
+
+
+CV = f"{ONE}, {cross_validation('panel')}"
 O["linear_cv"] = f"WITH {CV} SELECT {TARGET}, CAST(fold AS INTEGER) AS fold, {r('rmse')} AS rmse, {r('mae')} AS mae FROM sc"
 O["linear_fold_means"] = f"""WITH {CV} SELECT {TARGET}, 'lag_1' AS feature, {r('avg(slope)')} AS coefficient,
   {r('avg(rmse)')} AS validation_score FROM cv JOIN sc USING ({TARGET}, fold) GROUP BY {TARGET}"""
@@ -546,6 +553,25 @@ O["evaluate_models"] = f"""WITH {ONE}, {FIT}, p AS (SELECT {TARGET}, value AS y,
 SELECT {TARGET}, count(*) AS n, {r('sqrt(avg((y - p) * (y - p)))')} AS root_mean_squared_error,
   {r(MEAN_ACCURACY.format('y', 'p'))} AS forecast_accuracy, count(*) FILTER (y = 0) AS zero_actuals FROM p GROUP BY {TARGET}"""
 
+TRAINED = f"""{ONE}, cut AS (SELECT *, row_number() OVER (PARTITION BY {TARGET} ORDER BY timestamp) >
+    count(*) OVER (PARTITION BY {TARGET}) - ceil(count(*) OVER (PARTITION BY {TARGET}) * 0.1::DOUBLE) AS is_test FROM panel),
+train AS (SELECT * EXCLUDE is_test FROM cut WHERE NOT is_test),
+fit AS (SELECT {TARGET}, coalesce(regr_slope(value, lag_1), 0) AS slope, coalesce(regr_intercept(value, lag_1), avg(value)) AS intercept,
+  CASE WHEN stddev_pop(value) = 0 THEN 1 ELSE stddev_pop(value) END AS sy FROM train GROUP BY {TARGET})"""
+O["train_register_linear"] = f"""WITH {TRAINED}, {cross_validation('train')},
+val AS (SELECT {TARGET}, avg(rmse) AS rmse FROM sc GROUP BY {TARGET}),
+test AS (SELECT {TARGET}, value AS y, intercept + slope * lag_1 AS p FROM cut JOIN fit USING ({TARGET}) WHERE is_test)
+SELECT {TARGET}, 'linear_regression' AS model_name, CAST(1 AS INTEGER) AS model_version, CAST(1 AS INTEGER) AS model_features_count,
+  {r('max(rmse / sy)')} AS validation, {r('sqrt(avg((y - p) * (y - p)))')} AS test, {r(MEAN_ACCURACY.format('y', 'p'))} AS accuracy
+FROM test JOIN val USING ({TARGET}) JOIN fit USING ({TARGET}) GROUP BY {TARGET}"""
+O["predict_and_validate"] = f"""WITH {TRAINED}, preds AS (SELECT {TARGET}, timestamp, value AS real_value,
+    intercept + slope * lag_1 AS predictions FROM panel JOIN fit USING ({TARGET})), {QUARTILES}, {CHECKED},
+m AS (SELECT *, CASE WHEN count(predictions) OVER w = 100 THEN avg(greatest(0.0, predictions)) OVER w END AS mean
+  FROM final WINDOW w AS (PARTITION BY {TARGET} ORDER BY timestamp ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)),
+{near('m', 'mean', TARGET, name='near2')}
+SELECT {TARGET}, timestamp, real_value, validation_boolean, {r('coalesce(nv, pv)')} AS predictions,
+  {r('data_quality_percentage')} AS data_quality_percentage, {r('suggested_value')} AS suggested_value FROM near2"""
+
 # ---------------------------------------------------------------- streams
 
 O["stream_features"] = f"WITH {OBS} SELECT *, TIMESTAMP '{UPDATED}' AS update_date FROM obs"

@@ -807,13 +807,49 @@ def train_register(s, d):
     return rows.drop("scaler", "coefficients", "feature_importances")
 
 
+@query
+def train_register_linear(s, d):
+    """The linear part alone with one feature, comparable with closed forms."""
+    cfg = settings(model_names=[train.LINEAR])
+    rows = train.train_and_register(s, one_lag(s, d), ["lag_1"], "value", empty_registry(s), cfg, UPDATED)
+    out = rows.select(
+        *TARGET, "model_name", "model_version", "model_features_count",
+        F.col("model_metric_validation_value").alias("validation"),
+        F.col("model_metric_test_value").alias("test"),
+        F.col("model_forecast_accuracy").alias("accuracy"),
+    )
+    return rounded(out, "validation", "test", "accuracy")
+
+
 @query
 def predict_and_validate(s, d):
-    panel = D.panel(s, d)
-    rows = train.train_and_register(
-        s, panel, FEATURE_NAMES, "value", empty_registry(s), settings(model_names=[train.LINEAR]), "2024-02-01 00:00:00"
+    """Train, register, score with the registry, validate, smooth."""
+    panel = one_lag(s, d)
+    cfg = settings(model_names=[train.LINEAR])
+    rows = materialize(train.train_and_register(s, panel, ["lag_1"], "value", empty_registry(s), cfg, UPDATED))
+    out = predict.predict_and_validate(panel, rows, ["lag_1"], "value", accuracy_threshold=60.0, update_date=UPDATED)
+    measures = ["predictions", "data_quality_percentage", "suggested_value"]
+    return rounded(out.select(*TARGET, "timestamp", "real_value", "validation_boolean", *measures), *measures)
+
+
+@query
+def tune_classifier(s, d):
+    """Search for a classifier of quality from simple text measures, maximising balanced accuracy."""
+    lab = D.table(s, d, "labels").join(D.table(s, d, "documents"), "doc_id")
+    panel = materialize(
+        lab.select(
+            "doc_id",
+            F.col("quality").cast("double").alias("quality"),
+            F.col("n_chars").cast("double").alias("chars"),
+            F.size(F.split("text", r"\s+")).cast("double").alias("words"),
+            F.regexp_count("text", F.lit(r"\d")).cast("double").alias("digits"),
+        )
     )
-    return predict.predict_and_validate(panel, materialize(rows), FEATURE_NAMES, "value", update_date=UPDATED)
+    found = search.search(
+        panel, ["chars", "words", "digits"], "quality", {"n_estimators": [2, 4], "max_depth": [2, 4]}, 3, 2,
+        search.StopRules(5, "max", 0.99), "balanced_accuracy", score=search.classifier_fold_score(["doc_id"], 2),
+    )
+    return found.log(s)
 
 
 @query

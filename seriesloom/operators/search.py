@@ -8,11 +8,14 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from statistics import median
 
+from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seriesloom.functions.metrics import regression_metric
-from seriesloom.operators.boosted import fit_gbt, score_model
+from seriesloom.operators.boosted import fit_gbt, score_model, to_mllib
+from seriesloom.operators.evaluate import evaluate_classification
 from seriesloom.operators.segments import SEGMENT, earlier, segment_of
 
 TRIAL_SCHEMA = "trial int, params map<string,double>, score double, pruned boolean"
@@ -82,6 +85,23 @@ def gbt_fold_score(
     return row["s"]
 
 
+def classifier_fold_score(row_id: Sequence[str], n_folds: int, average: str = "binary") -> Callable:
+    """A score for ``search``: a boosted-tree classifier per shuffled fold. Folds are a hash of the row
+    id, so they need no shuffle and are the same in every run."""
+
+    def score(panel, features, label, params, fold, metric, seed) -> float | None:
+        part = F.pmod(F.xxhash64(*row_id, F.lit(seed)), F.lit(n_folds).cast("bigint"))
+        train, test = panel.where(part != fold), panel.where(part == fold)
+        assembler = VectorAssembler(inputCols=list(features), outputCol="_features")
+        model = GBTClassifier(
+            featuresCol="_features", labelCol=label, predictionCol="predictions", seed=seed, **to_mllib(params)
+        ).fit(assembler.transform(train))
+        scored = model.transform(assembler.transform(test)).select(label, "predictions")
+        return evaluate_classification(scored, metric, label, "predictions", average=average).first()["score"]
+
+    return score
+
+
 def search(
     panel: DataFrame,
     features: Sequence[str],

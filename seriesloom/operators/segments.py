@@ -38,6 +38,35 @@ def with_segment(df: DataFrame, order: str, width: str | int) -> DataFrame:
     return df if SEGMENT in df.columns else df.withColumn(SEGMENT, segment_of(F.col(order), width))
 
 
+# Candidate segment widths in minutes, narrow to wide.
+WIDTHS = [1, 10, 60, 360, 1440, 10080, 43200]
+
+
+def suggest_width(df: DataFrame, keys: Sequence[str], order: str, rows: int = 50_000) -> str:
+    """The widest segment in which no series has more than ``rows`` rows, however dense a series is.
+
+    One job with one row as its result: rows are counted per (series, narrowest width) with map-side
+    combining, and the wider counts come from those. The default width suits hourly data; dense or
+    uneven data should ask.
+    """
+    narrow = segment_of(F.col(order), f"{WIDTHS[0]}min")
+    counts = df.groupBy(*keys, narrow.alias("_m")).agg(F.count("*").alias("_n"))
+    parts = F.inline(
+        F.array(*[F.struct(F.lit(w).alias("_w"), floor_div(F.col("_m"), w).alias("_s")) for w in WIDTHS])
+    )
+    full = (
+        counts.select(*keys, "_n", parts)
+        .groupBy(*keys, "_w", "_s")
+        .agg(F.sum("_n").alias("_n"))
+        .groupBy("_w")
+        .agg(F.max("_n").alias("_n"))
+        .where(F.col("_n") <= rows)
+        .agg(F.max("_w"))
+        .first()[0]
+    )
+    return f"{full or WIDTHS[0]}min"
+
+
 def earlier(keys: Sequence[str], order: str = SEGMENT):
     """All segments of a series before this one."""
     return Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)

@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriesloom.functions.calendar import DEFAULT_FEATURES, FEATURES, with_calendar
+from seriesloom.functions.dates import frequency_seconds
 from seriesloom.operators.grid import complete_axis
 from seriesloom.operators.impute import interpolate_time
 from seriesloom.operators.merge import since_mark
+from seriesloom.operators.segments import suggest_width
 from seriesloom.schema import LOCATION, SERIES
+from seriesloom.session import materialize
 from seriesloom.sources.landed import expand_hourly_arrays
 from seriesloom.sources.sinks import long_features, save_features
 
@@ -64,8 +67,11 @@ def run_preprocess(
     spark: SparkSession, root: str, obs: DataFrame, update_date, marks: DataFrame | None = None, step: str = "1h"
 ) -> None:
     """Process what is newer than the marks (everything without marks) and save it."""
-    fresh = obs if marks is None else since_mark(obs, marks, "engineered_data")
-    save_features(spark, root, preprocess_observations(fresh, update_date, step), update_date)
+    fresh = materialize(obs if marks is None else since_mark(obs, marks, "engineered_data"))
+    # The completed axis has one row per step, or the observed rows where they are denser.
+    steps = max(60, frequency_seconds(step) * 50_000 // 60)
+    width = min(suggest_width(fresh, SERIES, "timestamp"), f"{steps}min", key=frequency_seconds)
+    save_features(spark, root, preprocess_observations(fresh, update_date, step, width), update_date)
 
 
 def trailing_days(df: DataFrame, end, days: int = 7) -> DataFrame:
