@@ -76,25 +76,28 @@ def upsert_table(
     partition_by = list(partition_by)
     if not set(partition_by) <= {*keys, "month"}:
         raise ValueError("partition columns must be part of the key, or the month of its timestamp")
+    if not table_exists(spark, path):
+        _overwrite_partitions(unique_rows(source, keys), path, partition_by)
+        return
     source = source.persist()  # read for its partitions, its keys and its rows
     try:
-        if not table_exists(spark, path):
-            merged = unique_rows(source, keys)
-        else:
-            target = spark.read.schema(source.schema).parquet(path)
-            touched = source.select(*partition_by).distinct()
-            affected = target.join(touched, partition_by, "left_semi").select(*source.columns)
-            merged = upsert(affected, source, keys, update_columns)
-        (
-            merged.write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy(*partition_by)
-            .parquet(path)
-        )
+        target = spark.read.schema(source.schema).parquet(path)
+        touched = source.select(*partition_by).distinct()
+        affected = target.join(touched, partition_by, "left_semi").select(*source.columns)
+        _overwrite_partitions(upsert(affected, source, keys, update_columns), path, partition_by)
     finally:
         source.unpersist()
 
 
+def _overwrite_partitions(df: DataFrame, path: str, partition_by: Sequence[str]) -> None:
+    (
+        df.write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy(*partition_by)
+        .parquet(path)
+    )
+
+
 def table_exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)

@@ -18,6 +18,7 @@ from seriesloom.schema import (
     REGISTRY_KEY,
     RUN_CONFIG_KEY,
 )
+from seriesloom.session import materialize
 
 LAYOUT = {
     "features": (FEATURES_KEY, ["variable_code", "month"]),
@@ -54,6 +55,7 @@ def save_features(
     spark: SparkSession, root: str, long: DataFrame, update_date, data_type: str = "engineered_data"
 ) -> None:
     """Upsert the features, then advance each location's mark."""
+    long = materialize(long)
     save_table(spark, root, "features", long)
     save_table(spark, root, "marks", marks_of(long, data_type, update_date))
 
