@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, exact_dedup, langid, packing, simhash
+from ..session import materialize, scratch_path
+from . import binary_ids, decontam, exact_dedup, html_extract, langid, packing, pii, simhash, token_count, warc
 
 Q, O = {}, {}
 
@@ -23,17 +24,59 @@ def documents(spark: SparkSession, path: str) -> DataFrame:
     return table(spark, path, "documents").select("doc_id", "text")
 
 
+@query
+def op1_personal_data(spark: SparkSession, path: str) -> DataFrame:
+    found = pii.personal_data(documents(spark, path))
+    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(pii.span_text(F.col("base")), 256).alias("base_sha256"), pii.span_text(F.col("spans")).alias("spans"))
+
+
+@query
+def op2_token_counts(spark: SparkSession, path: str) -> DataFrame:
+    return token_count.token_counts(documents(spark, path))
+
+
 @query
 def op3_benchmark_decontamination(spark: SparkSession, path: str) -> DataFrame:
     found = decontam.contamination(documents(spark, path), table(spark, path, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), decontam.contaminated().alias("contaminated"))
 
 
+@query
+def op4_warc_round_trip(spark: SparkSession, path: str) -> DataFrame:
+    files = materialize(warc.write_warc(warc.with_revisits(table(spark, path, "pages")), scratch_path(spark, "warc")))
+    return warc.read_warc(files, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+O["op4_warc_round_trip"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, strlen(html) AS payload_bytes, sha256(html) AS payload_digest FROM p),
+g AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
+FROM g
+"""
+
+
 @query
 def op5_simhash_near_dedup(spark: SparkSession, path: str) -> DataFrame:
     return simhash.near_components(documents(spark, path)).select("doc_id", simhash.hex_digits().alias("fingerprint"), "component_id")
 
 
+@query
+def op6_html_main_text(spark: SparkSession, path: str) -> DataFrame:
+    pages = table(spark, path, "pages")
+    return html_extract.main_text(pages, html_extract.fit(pages))
+
+
+@query
+def op7_token_ids_orc(spark: SparkSession, path: str) -> DataFrame:
+    folder = scratch_path(spark, "ids")
+    binary_ids.write_ids(documents(spark, path), folder)
+    return binary_ids.id_checksums(binary_ids.read_ids(spark, folder))
+
+
 @query
 def op8_exact_dedup(spark: SparkSession, path: str) -> DataFrame:
     return exact_dedup.dedup_report(documents(spark, path))
