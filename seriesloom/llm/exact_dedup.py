@@ -11,7 +11,8 @@ from .common import hidden
 #: The characters that the comparison leaves out.
 BLANKS = " \t\n\x0b\x0c\r"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: State on disk without space set aside in advance, which would be 4 MB for each of many small stores.
+STATE = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
 
 
 def normalised(text: str = "text"):
@@ -53,16 +54,15 @@ class ExactDedup:
         rows = self.spark.readStream.schema(self.schema).option("maxBytesPerTrigger", self.bytes_per_batch).parquet(self.path).select(digest.alias("digest"), points, self.key, locator)
         best = F.struct((-points).alias("p"), F.col(self.key).isNull().alias("u"), F.col(self.key).alias("k"), locator.alias("l"))
         held = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("size"), F.min(best).alias("best"))
-        where, before = scratch_path(self.spark, "dedup-state"), self.spark.conf.get(PROVIDER, None)
-        self.spark.conf.set(PROVIDER, ROCKSDB)
+        where, before = scratch_path(self.spark, "dedup-state"), {k: self.spark.conf.get(k, None) for k in STATE}
+        for k, v in STATE.items():
+            self.spark.conf.set(k, v)
         try:
             query = held.writeStream.outputMode("update").format("noop").option("checkpointLocation", where).trigger(availableNow=True).start()
             query.awaitTermination()
         finally:
-            if before is None:
-                self.spark.conf.unset(PROVIDER)
-            else:
-                self.spark.conf.set(PROVIDER, before)
+            for k, v in before.items():
+                self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)
         found = self.spark.read.format("statestore").load(where)
         return materialize(found.select("key.digest", F.col("value.count").alias("size"), F.col("value.min.k").alias("keep"), F.col("value.min.l").alias("at")))
 
