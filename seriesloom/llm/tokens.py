@@ -18,9 +18,9 @@ import numpy as np
 
 #: Most pieces that a worker remembers in each of two generations; a piece that is used again moves to the younger one.
 CACHE_PIECES = 250_000
-#: Letters of the Latin blocks that every Unicode version has, then ASCII signs but for the apostrophe, which can open a
+#: Letters of the Latin blocks that every Unicode version has, but for the dotted I, whose lower case is two characters; then ASCII signs but for the apostrophe, which can open a
 #: contraction. Such a piece is one pre-token, or two.
-PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~]*)")
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([!-&(-/:-@\[-`{-~]*)")
 END_OF_WORD = "</w>"
 
 
