@@ -24,10 +24,10 @@ FEATURES: dict[str, Callable[[Column], Column]] = {
     "hour": F.hour,
     "month": F.month,
     "weekday": F.weekday,  # Monday is 0
-    "season": season,
+    "year_season": season,
     "day_of_month": F.dayofmonth,
 }
-DEFAULT_FEATURES = ["hour", "month", "weekday", "season"]
+DEFAULT_FEATURES = ["hour", "month", "weekday", "year_season"]
 
 
 def with_calendar(

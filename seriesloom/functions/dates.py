@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriesloom.schema import LOCATION
@@ -17,19 +17,29 @@ UNIT_SECONDS = {
     "s": 1, "sec": 1, "second": 1, "seconds": 1,
 }
 
+FREQUENCY = re.compile(r"(?P<number>[0-9]*)\s*(?P<unit>[A-Za-z]+)")
+
 
 def frequency_seconds(frequency: str) -> int:
     """Seconds in a frequency such as ``15min`` or ``1D``; a missing number means 1."""
-    number, unit = re.search(r"\d+", frequency), re.search(r"[a-zA-Z]+", frequency)
-    if unit is None:
-        raise ValueError(f"no time unit in frequency {frequency!r}")
-    if unit.group().lower() not in UNIT_SECONDS:
-        raise ValueError(f"unknown time unit in frequency {frequency!r}")
-    return int(number.group() if number else 1) * UNIT_SECONDS[unit.group().lower()]
+    m = FREQUENCY.fullmatch(frequency.strip())
+    seconds = UNIT_SECONDS.get(m["unit"].lower()) if m else None
+    if seconds is None:
+        raise ValueError(f"not a number and a time unit: {frequency!r}")
+    return int(m["number"] or 1) * seconds
+
+
+def require_utc() -> None:
+    """Naive times become instants in the session's zone; any other zone than UTC would shift them."""
+    session = SparkSession.getActiveSession()
+    zone = session.conf.get("spark.sql.session.timeZone") if session else "UTC"
+    if zone not in ("UTC", "Etc/UTC", "GMT", "Z", "+00:00"):
+        raise RuntimeError(f"spark.sql.session.timeZone must be UTC, not {zone}")
 
 
 def epoch_micros(ts: Column) -> Column:
-    """Microseconds since the epoch. The session runs in UTC, so this is exact for naive times."""
+    """Microseconds since the epoch of a naive time."""
+    require_utc()
     return F.unix_micros(ts.cast("timestamp"))
 
 

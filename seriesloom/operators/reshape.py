@@ -33,16 +33,6 @@ def matching_columns(df: DataFrame, patterns: Sequence[str], always: Sequence[st
     return df.select([c for c in df.columns if c in always or either.search(c)])
 
 
-def with_location(df: DataFrame, latitude: float, longitude: float, update_date) -> DataFrame:
-    return df.withColumns(
-        {
-            "latitude": F.lit(float(latitude)),
-            "longitude": F.lit(float(longitude)),
-            "update_date": F.lit(update_date).cast("timestamp_ntz"),
-        }
-    )
-
-
 def unpivot_long(df: DataFrame, ids: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Wide to (ids, variable_code, value); null values keep their row."""
     wide = df.select(*ids, *[F.col(c).cast("double") for c in columns])

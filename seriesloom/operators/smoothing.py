@@ -24,25 +24,13 @@ def rolling_mean(
 ) -> DataFrame:
     """Trailing mean over ``rows`` rows, null until all of them have a value. Needs positions.
 
-    A difference of running sums, so the cost per row does not grow with the length of the window.
+    Every window is summed afresh inside its block, so a NaN or a very large value spoils only the rows whose
+    window holds it.
     """
     parts = blocks_with_history(df, rows - 1, block)
-    order = Window.partitionBy(*keys, "_block").orderBy(POSITION)
-    running = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sums = parts.withColumns(
-        {
-            "_sum": F.coalesce(F.sum(column).over(running), F.lit(0.0)),
-            "_count": F.count(column).over(running),
-        }
-    )
-    sums = sums.withColumns(
-        {
-            "_sum0": F.coalesce(F.lag("_sum", rows).over(order), F.lit(0.0)),
-            "_count0": F.coalesce(F.lag("_count", rows).over(order), F.lit(0)),
-        }
-    )
-    mean = F.when(F.col("_count") - F.col("_count0") == rows, (F.col("_sum") - F.col("_sum0")) / rows)
-    return own_rows(sums.withColumn(column, mean)).select(*df.columns)
+    trailing = Window.partitionBy(*keys, "_block").orderBy(POSITION).rowsBetween(1 - rows, Window.currentRow)
+    mean = F.when(F.count(column).over(trailing) == rows, F.avg(column).over(trailing))
+    return own_rows(parts.withColumn(column, mean)).select(*df.columns)
 
 
 def smooth_predictions(

@@ -49,7 +49,7 @@ def feature_scan(
     end=None,
     variables: str | Sequence[str] | None = None,
     locations: DataFrame | None = None,
-    ordered: bool = True,
+    ordered: bool = False,
 ) -> DataFrame:
     """Location, time range and unanchored variable patterns, ordered by location and time.
 
@@ -70,7 +70,7 @@ def predictions_scan(
     end=None,
     targets: str | Sequence[str] | None = None,
     locations: DataFrame | None = None,
-    ordered: bool = True,
+    ordered: bool = False,
 ) -> DataFrame:
     """Time range, or each location's latest timestamp when a bound is missing; newest first."""
     out = at_location(df, latitude, longitude, locations)
