@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from seriesloom.session import materialize
+
 # User-level parameter names and their MLlib counterparts.
 PARAMETERS = {
     "n_estimators": "maxIter",
@@ -19,7 +22,7 @@ PARAMETERS = {
     "min_child_weight": "minInstancesPerNode",
     "min_split_loss": "minInfoGain",
 }
-# Known to users but without a counterpart; accepted and not used.
+# Known to users but without a counterpart: only their neutral value 0 is accepted.
 WITHOUT_COUNTERPART = {"reg_alpha", "reg_lambda", "max_delta_step"}
 INTEGERS = {"maxIter", "maxDepth", "minInstancesPerNode"}
 
@@ -29,18 +32,28 @@ def to_mllib(params: dict) -> dict:
     for name, value in params.items():
         name = name.split("__")[-1]
         if name in WITHOUT_COUNTERPART:
+            if value:
+                raise ValueError(f"{name} = {value} has no counterpart; leave it out or set it to 0")
             continue
         if name not in PARAMETERS:
             raise KeyError(f"unknown boosted-tree parameter {name!r}")
         key = PARAMETERS[name]
         out[key] = int(value) if key in INTEGERS else float(value)
-    if "stepSize" in out:
-        out["stepSize"] = min(1.0, max(1e-3, out["stepSize"]))  # MLlib wants (0, 1]
-    if "maxDepth" in out:
-        out["maxDepth"] = min(30, out["maxDepth"])
+    if not 0 < out.get("stepSize", 1.0) <= 1:
+        raise ValueError(f"learning_rate must lie in (0, 1], not {out['stepSize']}")
+    if not 0 <= out.get("maxDepth", 0) <= 30:
+        raise ValueError(f"max_depth must lie in 0 to 30, not {out['maxDepth']}")
     return out
 
 
+def usable_ranges(ranges: dict) -> dict:
+    """The ranges that a search may draw from; those without a counterpart are left out with a warning."""
+    lost = sorted(n for n in ranges if n.split("__")[-1] in WITHOUT_COUNTERPART)
+    if lost:
+        warnings.warn(f"not searched, as the trainer has no counterpart: {', '.join(lost)}", stacklevel=2)
+    return {n: r for n, r in ranges.items() if n not in lost}
+
+
 def fit_gbt(train: DataFrame, features: Sequence[str], label: str, params: dict | None = None, seed: int = 7):
     """A squared-error boosted-tree pipeline. Executors may be lost in mid-fit: the id cache is
     checkpointed in the session's checkpoint folder every few trees."""
@@ -68,38 +81,40 @@ def attributions(
     background: DataFrame,
     features: Sequence[str],
     permutations: int = 2,
-    background_rows: int = 100,
     seed: int = 7,
+    per_bucket: int = 64,
 ) -> DataFrame:
     """(row_id, feature, phi): Shapley values sampled over feature orders and background rows.
 
-    Each (row, order) is paired with one background row by an equi-join on a hash, and walks from the
-    background row to the row itself one feature at a time. A feature's value is the difference of
-    two neighbouring points, so each point adds +f to one feature and -f to the next: a plain sum.
+    Each (row, order) draws one row of the whole background: rows are dealt into buckets of about
+    ``per_bucket`` by the hash of a row number and numbered inside, and an equi-join on bucket and number
+    fetches the one drawn. From it a walk leads to the row itself, one feature at a time. A feature's value
+    is the difference of two neighbouring points, so each point adds +f to one feature and -f to the next.
     """
     p, row_id, features = len(features), list(row_id), list(features)
     salted = F.xxhash64(*row_id, F.lit(seed), F.col("_m"))
-    base = (
-        # The background is a bounded sample by definition: the rows with the smallest hashes.
-        background.select(*features)
+    numbered = materialize(
+        background.select(*[F.col(f).cast("double").alias(f"_bg_{f}") for f in features])
         .na.drop()
-        .orderBy(F.xxhash64(*features, F.lit(seed)))
-        .limit(background_rows)
+        .withColumn("_row", F.monotonically_increasing_id())
     )
-    drawn = [r.asDict() for r in base.collect()]  # at most background_rows small rows
-    if not drawn:
+    n = numbered.count()
+    if not n:
         raise ValueError("the background has no complete rows")
-    fields = ", ".join(["_b bigint", *[f"`_bg_{f}` double" for f in features]])
-    spark = rows.sparkSession
-    table = spark.createDataFrame(
-        [(i, *[float(r[f]) for f in features]) for i, r in enumerate(drawn)], schema=fields
-    )
+    buckets = F.lit(n // per_bucket + 1).cast("bigint")
+    dealt = numbered.withColumn("_b", F.pmod(F.xxhash64("_row", F.lit(seed)), buckets))
+    inside = Window.partitionBy("_b").orderBy("_row")  # about per_bucket rows each
+    table = dealt.withColumn("_slot", F.row_number().over(inside) - 1).drop("_row")
+    sizes = dealt.groupBy("_b").agg(F.count("*").alias("_size"))
+    empty = F.raise_error(F.lit("a background bucket is empty; raise per_bucket")).cast("bigint")
     walks = (
         rows.select(*row_id, *features)
         .na.drop()
         .withColumn("_m", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
-        .withColumn("_b", F.pmod(salted, F.lit(len(drawn)).cast("bigint")))
-        .join(F.broadcast(table), "_b")  # at most background_rows rows
+        .withColumn("_b", F.pmod(salted, buckets))
+        .join(sizes, "_b", "left")
+        .withColumn("_slot", F.pmod(F.xxhash64(salted), F.coalesce("_size", empty)).cast("int"))
+        .join(table, ["_b", "_slot"])
         .withColumn(
             "_order",
             F.transform(

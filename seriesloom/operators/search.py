@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seriesloom.functions.metrics import regression_metric
-from seriesloom.operators.boosted import fit_gbt, score_model, to_mllib
+from seriesloom.operators.boosted import fit_gbt, score_model, to_mllib, usable_ranges
 from seriesloom.operators.evaluate import evaluate_classification
 from seriesloom.operators.segments import SEGMENT, earlier, segment_of
 
@@ -119,15 +119,16 @@ def search(
     """Random search over ``ranges``. ``panel`` has ``fold_block`` and should be materialised.
 
     Trials run ``parallelism`` at a time; a trial is pruned when its running mean is worse than the
-    median of the earlier trials at the same fold. Rules look at the trials in their order.
+    median of the earlier waves' trials at the same fold. Rules look at the trials in their order.
     """
     rules = rules or StopRules()
     rng = random.Random(seed)
+    ranges = usable_ranges(ranges)
     samples = [draw(ranges, rng) for _ in range(n_iter)]
     history: list[list[float]] = []
     result = SearchResult({}, float("nan"))
 
-    def run(params: dict):
+    def run(params: dict, seen: list[list[float]]):
         scores, means = [], []
         for fold in range(n_splits):
             s = score(panel, features, label, params, fold, metric, seed)
@@ -135,15 +136,16 @@ def search(
                 continue
             scores.append(s)
             means.append(sum(scores) / len(scores))
-            peers = [h[len(means) - 1] for h in history if len(h) >= len(means)]
-            if len(history) >= startup_trials and peers and rules.better(median(peers), means[-1]):
+            peers = [h[len(means) - 1] for h in seen if len(h) >= len(means)]
+            if len(seen) >= startup_trials and peers and rules.better(median(peers), means[-1]):
                 return None, means, True
         return (means[-1] if means else None), means, False
 
     with ThreadPoolExecutor(max(1, parallelism)) as pool:
         for start in range(0, n_iter, max(1, parallelism)):
             wave = samples[start : start + max(1, parallelism)]
-            for offset, (value, means, pruned) in enumerate(pool.map(run, wave)):
+            seen = list(history)  # what a wave compares with does not depend on which trial ends first
+            for offset, (value, means, pruned) in enumerate(pool.map(lambda p, seen=seen: run(p, seen), wave)):
                 params = wave[offset]
                 history.append(means)
                 result.trials.append((start + offset, params, value, pruned))
