@@ -201,12 +201,12 @@ def in_raw_units(models: DataFrame, label: str) -> DataFrame:
 
 
 def score_linear(
-    df: DataFrame, models: DataFrame, keys: Sequence[str], features: Sequence[str], label: str
+    df: DataFrame, models: DataFrame, keys: Sequence[str], features: Sequence[str], label: str, strict: bool = False
 ) -> DataFrame:
     """Rows x the models of their key, one output row each, with ``predictions`` in raw units.
 
     ``features`` is every feature any model may use; one a model lacks counts 0, and one the rows
-    lack counts as a zero value.
+    lack counts as a zero value. Rows without a model are left out, or with ``strict`` fail the job.
     """
     raw = in_raw_units(models, label)
     present = [f for f in features if f in df.columns]
@@ -214,10 +214,15 @@ def score_linear(
     small = raw.withColumn("_slopes", slopes).drop(
         "coefficients", "intercept", "raw_coefficients", "feature_names", "scaler", "folds"
     )
-    return (
-        df.join(small, list(keys))
-        .withColumn("predictions", F.col("raw_intercept") + dot(F.col("_slopes"), present))
-        .drop("_slopes", "raw_intercept")
+    if not strict:
+        joined = df.join(small, list(keys))
+        intercept = F.col("raw_intercept")
+    else:
+        joined = df.join(small, list(keys), "left")
+        message = F.concat(F.lit("no model for "), F.to_json(F.struct(*keys)))
+        intercept = F.coalesce("raw_intercept", F.raise_error(message).cast("double"))
+    return joined.withColumn("predictions", intercept + dot(F.col("_slopes"), present)).drop(
+        "_slopes", "raw_intercept"
     )
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriesloom.schema import HIGH_WATER_KEY, LOCATION
+from seriesloom.session import materialize
 
 
 def unique_rows(source: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -89,6 +90,26 @@ def upsert_table(
         source.unpersist()
 
 
+def delete_from_table(spark: SparkSession, path: str, condition: Column, partition_by: Sequence[str]) -> None:
+    """Delete the rows that meet the condition. Only partitions that hold such rows are rewritten; one that
+    loses all its rows loses its folder."""
+    table = spark.read.parquet(path)
+    found = materialize(
+        table.groupBy(*partition_by).agg(
+            F.count_if(condition).alias("_gone"),
+            F.count("*").alias("_all"),
+            F.min("_metadata.file_path").alias("_file"),
+        ).where("_gone > 0")
+    )
+    kept = found.where("_gone < _all").select(*partition_by)
+    rest = delete_where(table.join(kept, list(partition_by), "left_semi"), condition)
+    _overwrite_partitions(materialize(rest.select(*table.columns)), path, list(partition_by))
+    jvm = spark.sparkContext._jvm
+    for row in found.where("_gone = _all").select("_file").collect():  # one file name for each emptied partition
+        folder = jvm.org.apache.hadoop.fs.Path(row["_file"]).getParent()
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def _overwrite_partitions(df: DataFrame, path: str, partition_by: Sequence[str]) -> None:
     (
         df.write.mode("overwrite")

@@ -86,6 +86,24 @@ def with_polynomial(
     return df.withColumns({k: v.cast("double") for k, v in terms.items() if k not in df.columns}), list(terms)
 
 
+def with_named_terms(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Add the columns that ``names`` asks for and that are products of present ones (``a^2``, ``a b``).
+    A name that is neither present nor such a product is an error."""
+    missing: dict[str, Column] = {}
+    for name in names:
+        if name in df.columns or name == "1":
+            continue
+        product = F.lit(1.0)
+        for factor in name.split(" "):
+            base, _, power = factor.partition("^")
+            if base not in df.columns or (power and not power.isdigit()):
+                raise ValueError(f"a model needs {name!r}, which the rows neither have nor can derive")
+            for _ in range(int(power or 1)):
+                product = product * F.col(base).cast("double")
+        missing[name] = product
+    return df.withColumns(missing) if missing else df
+
+
 def align_features(df: DataFrame, names: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """Exactly the fitted features in order: missing ones are 0, others are dropped."""
     return df.select(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import reduce
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 from seriesloom.functions import metrics as M
 from seriesloom.operators import boosted, linear
 from seriesloom.operators.impute import complete_rows
+from seriesloom.operators.merge import marks_of, table_exists
 from seriesloom.operators.registry import next_versions, targets_to_train
 from seriesloom.operators.scaling import scale_fit, scale_transform, with_polynomial
 from seriesloom.operators.search import SearchResult, StopRules, search
@@ -20,6 +23,7 @@ from seriesloom.operators.split import fold_block, rows_in_test
 from seriesloom.operators.validate import TARGET
 from seriesloom.schema import REGISTRY
 from seriesloom.session import materialize
+from seriesloom.sources.sinks import save_table
 
 LINEAR = "linear_regression"
 POLYNOMIAL = "polynomial"
@@ -115,15 +119,38 @@ def train_boosted(
     model_name: str = BOOSTED,
     keys: Sequence[str] = TARGET,
     importance_permutations: int = 2,
-) -> tuple[DataFrame, SearchResult]:
-    """Search, refit on the pooled training rows of all series, save, and score each series.
+) -> tuple[DataFrame, dict[str, SearchResult]]:
+    """Search, fit and save one model for each target variable, and score each series.
 
-    The study is repeated with other seeds until the test forecast accuracy reaches its goal.
+    A target's model is pooled over its locations: every series is scaled by its own means and deviations first, as its
+    registry row records. The study is repeated with other seeds until the test forecast accuracy reaches its goal.
     """
-    keys = list(keys)
+    keys, features = list(keys), list(features)
     split = complete_rows(split, [*features, label])
-    train, test = split.where(F.col("split") == "train"), split.where(F.col("split") == "test")
+    columns = [*features, label]
+    scalers = materialize(scale_fit(split.where(F.col("split") == "train"), keys, columns))
+    raw = split.withColumn("_actual", F.col(label).cast("double"))
+    scaled = materialize(scale_transform(raw, keys, columns, scalers))
+    names = [r[0] for r in scaled.select("target_variable").distinct().orderBy("target_variable").collect()]
+    parts, studies = [], {}
+    for name in names:  # target variables are the few that a configuration lists
+        own = scaled.where(F.col("target_variable") == name)
+        place = f"{path}/{re.sub('[^A-Za-z0-9_-]', '_', name)}"
+        models, studies[name] = _train_target(own, scalers, features, label, settings, place, model_name, keys, importance_permutations)
+        parts.append(models)
+    return reduce(lambda a, b: a.unionByName(b), parts), studies
+
+
+def _train_target(scaled, scalers, features, label, settings, path, model_name, keys, importance_permutations):
+    train, test = scaled.where(F.col("split") == "train"), scaled.where(F.col("split") == "test")
     larger = settings.metric in M.LARGER_IS_BETTER
+    own = F.get(F.filter("scaler", lambda s: s["name"] == label), F.lit(0))
+
+    def on_test(model) -> DataFrame:
+        """Test rows with predictions in raw units."""
+        rows = boosted.score_model(model, test).join(scalers, keys)
+        return rows.withColumn("predictions", F.col("predictions") * own["std"] + own["mean"])
+
     best = None
     for run in range(settings.n_study_runs):
         seed = settings.seed + run
@@ -133,17 +160,15 @@ def train_boosted(
             rules, settings.metric, seed, settings.parallelism,
         )
         model = boosted.fit_gbt(train, features, label, found.params, seed)
-        goal = boosted.score_model(model, test).agg(
-            M.mean_forecast_accuracy(F.col(label), F.col("predictions")).alias("a")
-        ).first()["a"]
+        goal = on_test(model).agg(M.mean_forecast_accuracy(F.col("_actual"), F.col("predictions")).alias("a")).first()["a"]
         if best is None or rules.better(found.score, best[1].score):
             best = (model, found)
         if goal is not None and goal >= settings.forecast_acc_threshold:
             break
     model, found = best
     model.write().overwrite().save(path)
-    y, p = F.col(label).cast("double"), F.col("predictions")
-    scores = boosted.score_model(model, test).groupBy(*keys).agg(
+    y, p = F.col("_actual"), F.col("predictions")
+    scores = on_test(model).groupBy(*keys).agg(
         M.regression_metric(settings.metric, y, p).alias("test_score"),
         M.mean_forecast_accuracy(y, p).alias("forecast_accuracy"),
     )
@@ -157,22 +182,22 @@ def train_boosted(
     )
     counts = train.groupBy(*keys).agg(F.count("*").alias("n"))
     models = (
-        counts.join(scores, keys, "left")
+        counts.join(scalers, keys)
+        .join(scores, keys, "left")
         .join(importances, keys, "left")
         .withColumns(
             {
                 "feature_names": F.array(*map(F.lit, features)),
                 "coefficients": F.lit(None).cast("array<double>"),
                 "intercept": F.lit(None).cast("double"),
-                "scaler": F.lit(None).cast(REGISTRY["scaler"].dataType),
                 "validation_score": F.lit(float(found.score)),
                 "model_name": F.lit(model_name),
                 "model_path": F.lit(path),
-                "model_parameters": F.lit(str(found.params)),
+                "model_parameters": F.lit(json.dumps(found.params)),
             }
         )
     )
-    return models, found
+    return materialize(models), found
 
 
 def registry_rows(models: DataFrame, registry: DataFrame, settings: TrainSettings, model_date) -> DataFrame:
@@ -202,6 +227,29 @@ def registry_rows(models: DataFrame, registry: DataFrame, settings: TrainSetting
     return rows.select(*[F.col(f.name).cast(f.dataType) for f in REGISTRY.fields])
 
 
+def run_train_job(
+    spark: SparkSession,
+    root: str,
+    panel: DataFrame,
+    features: Sequence[str],
+    label: str,
+    settings: TrainSettings,
+    model_date,
+) -> None:
+    """Train the series that are due, upsert their registry rows below ``root`` and advance the training marks."""
+    place = f"{root}/registry"
+    registry = spark.read.parquet(place) if table_exists(spark, place) else spark.createDataFrame([], REGISTRY)
+    registry = registry.select(*[F.col(f.name).cast(f.dataType) for f in REGISTRY.fields])
+    rows = materialize(
+        train_and_register(spark, panel, features, label, registry, settings, model_date, f"{root}/models")
+    )
+    if rows.isEmpty():
+        return
+    save_table(spark, root, "registry", rows)
+    trained = panel.join(rows.select(*TARGET).distinct(), TARGET, "left_semi")
+    save_table(spark, root, "marks", marks_of(trained, "training", model_date))
+
+
 def train_and_register(
     spark: SparkSession,
     panel: DataFrame,

@@ -70,8 +70,6 @@ def published(df: DataFrame, location: str | None = None) -> DataFrame:
     return df.withColumn("target_variable", strip_location(F.col("target_variable"), prefix))
 
 
-def publish_predictions(df: DataFrame, path: str, location: str | None = None) -> None:
-    """One output folder per target variable."""
-    published(df, location).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-        "target_variable"
-    ).parquet(path)
+def publish_predictions(spark: SparkSession, df: DataFrame, path: str, location: str | None = None) -> None:
+    """One output folder per target variable. Rows of other keys, as of other locations, stay as they are."""
+    upsert_table(spark, path, published(df, location), PREDICTIONS_KEY, ["target_variable"])

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from seriesloom.functions.dates import require_utc
 from seriesloom.operators.linear import score_linear
 from seriesloom.operators.merge import upsert_table, with_month
 from seriesloom.operators.validate import TARGET, prediction_records
@@ -63,7 +64,7 @@ def stream_score(
     """
 
     def write(batch: DataFrame, _: int) -> None:
-        scored = score_linear(batch, models, TARGET, features, label).withColumn(
+        scored = score_linear(batch, models, TARGET, features, label, strict=True).withColumn(
             "real_value", F.col(label).cast("double")
         )
         records = prediction_records(
@@ -76,25 +77,24 @@ def stream_score(
 
 
 def stream_features(
-    spark: SparkSession, cents: DataFrame, out: str, checkpoint: str, update_date=None, late: str | None = None
+    spark: SparkSession, observations: DataFrame, out: str, checkpoint: str, update_date=None, *, late: str
 ) -> DataFrame:
     """Hourly means per series from a stream of single observations.
 
-    ``cents`` has (timestamp = hour, latitude, longitude, variable_code, cents bigint). The state per
-    (series, hour) is a sum and a count; each batch upserts the hours it changed, so the table always
-    equals the batch result and late rows correct their hour. ``late`` (e.g. "7 days") bounds the state:
-    hours older than that are closed.
+    ``observations`` has (timestamp = hour, latitude, longitude, variable_code, value double or decimal). The state
+    per (series, hour) is a sum and a count; each batch upserts the hours it changed, so the table equals the batch
+    result and late rows correct their hour. ``late`` (e.g. "7 days") bounds the state: hours older than that
+    are closed and rows that come later are left out.
     """
-    if late:
-        # Watermarks need a time with a zone; the session runs in UTC.
-        cents = cents.withColumn("timestamp", F.col("timestamp").cast("timestamp")).withWatermark("timestamp", late)
+    require_utc()  # watermarks need a time with a zone
+    observations = observations.withColumn("timestamp", F.col("timestamp").cast("timestamp")).withWatermark("timestamp", late)
     means = (
-        cents.groupBy("timestamp", *SERIES)
-        .agg(F.sum("cents").alias("_sum"), F.count("*").alias("_n"))
+        observations.groupBy("timestamp", *SERIES)
+        .agg(F.sum("value").alias("_sum"), F.count("value").alias("_n"))
         .select(
             F.col("timestamp").cast("timestamp_ntz").alias("timestamp"),
             *SERIES,
-            (F.col("_sum").cast("double") / (F.lit(100.0) * F.col("_n"))).alias("value"),
+            (F.col("_sum").cast("double") / F.col("_n")).alias("value"),
             F.lit(update_date).cast("timestamp_ntz").alias("update_date"),
         )
     )
