@@ -117,7 +117,7 @@ def calendar_rows(source: str) -> str:
         "hour": "hour(timestamp)",
         "month": "month(timestamp)",
         "weekday": WEEKDAY.format("timestamp"),
-        "season": SEASON.format("timestamp"),
+        "year_season": SEASON.format("timestamp"),
     }
     return " UNION ALL ".join(
         f"SELECT timestamp, latitude, longitude, '{k}' AS variable_code, CAST({v} AS DOUBLE) AS value, "
@@ -152,18 +152,29 @@ laxis AS (SELECT latitude, longitude, unnest(generate_series(a, z, INTERVAL 1 HO
 SELECT timestamp, {SERIES}, {line()} AS value, TIMESTAMP '{UPDATED}' AS update_date FROM near
 UNION ALL {calendar_rows('laxis')}"""
 
+FULL = GRID.replace(
+    "SELECT latitude, longitude, min(timestamp) AS min_date, max(timestamp) AS max_date FROM obs GROUP BY ALL",
+    "SELECT latitude, longitude, variable_code, min(timestamp) AS min_date, max(timestamp) AS max_date FROM obs GROUP BY ALL",
+).replace("JOIN span USING (latitude, longitude)", "JOIN span USING (latitude, longitude, variable_code)")
+O["preprocess_incremental"] = f"""WITH {FULL}, {near('grid')}, lspan AS (
+  SELECT latitude, longitude, min(timestamp) AS a, max(timestamp) AS z FROM obs GROUP BY ALL),
+laxis AS (SELECT latitude, longitude, unnest(generate_series(a, z, INTERVAL 1 HOUR))::TIMESTAMP AS timestamp FROM lspan)
+SELECT timestamp, {SERIES}, {line()} AS value, TIMESTAMP '{UPDATED}' AS update_date FROM near
+UNION ALL {calendar_rows('laxis')}"""
+
 # ---------------------------------------------------------------- sources
 
 # The arrays hold the hours of a day in order; hours are complete, so a value's index is its step.
 SHORT = "(CAST(round(latitude * 100) AS INTEGER) % 3 = 0 AND step >= 5)"
 ARRAYS = f"""hours AS (SELECT *, row_number() OVER (PARTITION BY latitude, longitude, date_trunc('day', timestamp)
-  ORDER BY timestamp) - 1 AS step FROM ({pivoted(['click', 'view'], 'filled')}))"""
+  ORDER BY timestamp) - 1 AS step FROM ({pivoted(VARIABLES, 'filled')}))"""
 # A day in the middle of the range always has all its hours for every variable of a site.
 O["expand_hourly_arrays"] = f"""WITH {FILLED}, {ARRAYS}
-SELECT latitude, longitude, timestamp, click, CASE WHEN {SHORT} THEN NULL ELSE view END AS view FROM hours"""
-O["preprocess_landed"] = f"""WITH {FILLED}, wide AS ({pivoted(['click', 'view'], 'filled')})
+SELECT latitude, longitude, timestamp, {', '.join(v for v in VARIABLES if v != 'view')},
+  CASE WHEN {SHORT} THEN NULL ELSE view END AS view FROM hours"""
+O["preprocess_landed"] = f"""WITH {FILLED}, wide AS ({pivoted(VARIABLES, 'filled')})
 SELECT timestamp, {SERIES}, value, TIMESTAMP '{UPDATED}' AS update_date FROM (
-  SELECT timestamp, latitude, longitude, unnest(['click', 'view']) AS variable_code, unnest([click, view]) AS value FROM wide)
+  SELECT timestamp, latitude, longitude, unnest({VARIABLES}) AS variable_code, unnest([{', '.join(VARIABLES)}]) AS value FROM wide)
 UNION ALL {calendar_rows('wide')}"""
 O["feature_scan"] = f"""WITH {OBS} SELECT * FROM obs WHERE latitude = 41.01::DOUBLE AND longitude = 2.01::DOUBLE
   AND timestamp BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20'"""
@@ -223,6 +234,8 @@ SELECT * REPLACE (
 UNION ALL SELECT timestamp, stage, 'n_iter_extra', '9', TIMESTAMP '{UPDATED}', TIMESTAMP '{UPDATED}' FROM config
   WHERE parameter_code = 'n_iter'"""
 O["delete_config"] = f"WITH {CONFIG} SELECT * FROM config WHERE timestamp <> TIMESTAMP '1995-01-04 21:00:00'"
+O["delete_stored"] = f"""WITH {CONFIG} SELECT * FROM config
+  WHERE stage <> 'prediction' AND timestamp <> TIMESTAMP '1995-01-04 21:00:00'"""
 O["high_water_mark"] = f"""WITH {OBS} SELECT latitude, longitude, 'engineered_data' AS data_type,
   max(timestamp) AS timestamp, TIMESTAMP '2024-02-03' AS update_date FROM obs GROUP BY latitude, longitude"""
 O["incremental_since_mark"] = f"""WITH {MARKS} SELECT o.* FROM obs o LEFT JOIN marks m USING (latitude, longitude)
@@ -237,12 +250,7 @@ O["nan_to_null"] = f"WITH {OBS} SELECT * REPLACE (CASE WHEN value > 100 THEN NUL
 O["pivot_wide"] = f"WITH {OBS} {pivoted(VARIABLES)}"
 O["unpivot_long"] = f"""WITH {OBS}, wide AS ({pivoted(VARIABLES)}) SELECT latitude, longitude, timestamp,
   unnest({VARIABLES}) AS variable_code, unnest([{', '.join(VARIABLES)}]) AS value FROM wide"""
-O["align_outer"] = f"""WITH {OBS},
-  c AS (SELECT latitude, longitude, timestamp, value AS click FROM obs WHERE variable_code = 'click'),
-  v AS (SELECT latitude, longitude, timestamp, value AS view FROM obs WHERE variable_code = 'view'),
-  s AS (SELECT latitude, longitude, timestamp, value AS signup FROM obs WHERE variable_code = 'signup')
-SELECT latitude, longitude, timestamp, click, view, signup FROM c FULL JOIN v USING (latitude, longitude, timestamp)
-  FULL JOIN s USING (latitude, longitude, timestamp)"""
+O["align_outer"] = f"WITH {OBS} {pivoted(VARIABLES)}"
 O["pivot_predictions"] = (
     f"WITH {PREDS} SELECT latitude, longitude, timestamp, "
     + ", ".join(
@@ -280,8 +288,9 @@ GROUP BY {SERIES}, epoch_us(timestamp) // (30 * 86400000000::BIGINT)"""
 # ---------------------------------------------------------------- gaps
 
 O["interpolate_time"] = f"WITH {GRID}, {near('grid')} SELECT {SERIES}, timestamp, {line()} AS value FROM near"
-O["interpolate_linear"] = f"""WITH {GRID}, g AS (SELECT *, row_number() OVER (PARTITION BY {SERIES} ORDER BY timestamp) AS pos
-  FROM grid WHERE value IS NOT NULL OR hour(timestamp) % 3 = 0), {near('g', order='pos')}
+O["interpolate_linear"] = f"""WITH {GRID}, g AS (SELECT * REPLACE (CASE WHEN hour(timestamp) >= 12
+    THEN timestamp + INTERVAL 1 HOUR ELSE timestamp END AS timestamp),
+  row_number() OVER (PARTITION BY {SERIES} ORDER BY timestamp) AS pos FROM grid), {near('g', order='pos')}
 SELECT {SERIES}, timestamp, {line(axis='{}', order='pos')} AS value FROM near"""
 O["forward_fill"] = f"WITH {GRID}, {near('grid')} SELECT {SERIES}, timestamp, pv AS value FROM near"
 O["backward_fill"] = f"WITH {GRID}, {near('grid')} SELECT {SERIES}, timestamp, nv AS value FROM near"
@@ -302,15 +311,17 @@ O["null_counts"] = (
     + ", ".join(f"count(*) - count({c}) AS {c}" for c in ["latitude", "longitude", "timestamp", *VARIABLES])
     + " FROM wide"
 )
-O["drop_incomplete"] = f"""WITH {OBS}, wide AS ({pivoted(['click', 'view'])})
-SELECT * FROM wide WHERE click IS NOT NULL AND view IS NOT NULL"""
+O["drop_incomplete"] = f"""WITH {OBS}, wide AS ({pivoted(VARIABLES)})
+SELECT * FROM wide WHERE {' AND '.join(v + ' IS NOT NULL' for v in VARIABLES)}"""
 
 # ---------------------------------------------------------------- ordered operators
 
 O["smooth_predictions"] = f"""WITH {PREDS}, m AS (
   SELECT {TARGET}, timestamp, CASE WHEN count(predictions) OVER w = 100
     THEN avg(CASE WHEN predictions IS NOT NULL THEN greatest(0.0, predictions) END) OVER w END AS mean
-  FROM preds WINDOW w AS (PARTITION BY {TARGET} ORDER BY timestamp ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)),
+  FROM (SELECT * REPLACE (CASE hour(timestamp) + 24 * day(timestamp) WHEN 100 THEN CAST('nan' AS DOUBLE) WHEN 300 THEN 1e17
+    ELSE predictions END AS predictions) FROM preds)
+  WINDOW w AS (PARTITION BY {TARGET} ORDER BY timestamp ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)),
 {near('m', 'mean', TARGET, name='near2')}
 SELECT {TARGET}, timestamp, {r('coalesce(nv, pv)')} AS predictions FROM near2"""
 O["lag_features"] = f"""WITH {FILLED}, l AS (SELECT {SERIES}, timestamp, value,
@@ -343,14 +354,14 @@ def pacf(nlags: int, source: str) -> str:
     )
 
 
-O["acf"] = f"""WITH {FILLED}, {acf(24, 'filled')}
+O["acf"] = f"""WITH {FILLED}, {acf(50, 'filled')}
 SELECT {SERIES}, n, CAST(lag AS INTEGER) AS lag, {r('g')} AS autocovariance FROM gamma"""
-O["select_lags"] = f"""WITH RECURSIVE {FILLED}, {pacf(24, 'filled')}
+O["select_lags"] = f"""WITH RECURSIVE {FILLED}, {pacf(50, 'filled')}
 SELECT {SERIES}, CAST(k AS INTEGER) AS lag, {r('pacf')} AS pacf,
   CAST(CASE WHEN k > 0 AND abs(pacf) >= 0.2 THEN 1 ELSE 0 END AS INTEGER) AS kept FROM d"""
 O["supervised_lags"] = f"""WITH RECURSIVE {GRID}, g0 AS (SELECT *, row_number() OVER (PARTITION BY {SERIES} ORDER BY timestamp) AS pos FROM grid),
 {near('g0', order='pos')}, f AS (SELECT {SERIES}, timestamp, pos, coalesce({line(axis='{}', order='pos')}, nv) AS value FROM near),
-{pacf(12, 'f')},
+{pacf(50, 'f')},
 chosen AS (SELECT {SERIES}, list(k ORDER BY k) FILTER (k > 0 AND abs(pacf) >= 0.2) AS lags FROM d GROUP BY {SERIES}),
 l AS (SELECT f.*, lags, lag(value, coalesce(lags[1], 1)) OVER (PARTITION BY {SERIES} ORDER BY pos) AS a
   FROM f JOIN chosen USING (latitude, longitude, variable_code))
@@ -370,16 +381,16 @@ def blocks(splits: int, source: str, keys: str) -> str:
     AS block FROM p)"""
 
 
-O["time_series_folds"] = f"""WITH {OBS}, {blocks(4, 'obs', SERIES)}
+O["time_series_folds"] = f"""WITH {OBS}, {blocks(10, 'obs', SERIES)}
 SELECT {SERIES}, CAST(fold AS INTEGER) AS fold, CASE WHEN block = fold + 1 THEN 'test' ELSE 'train' END AS role,
   count(*) AS n, min(timestamp) AS first, max(timestamp) AS last
-FROM b, range(4) t(fold) WHERE block <= fold + 1 GROUP BY ALL"""
+FROM b, range(10) t(fold) WHERE block <= fold + 1 GROUP BY ALL"""
 
 # ---------------------------------------------------------------- scalars
 
 O["calendar_features"] = f"""SELECT event_id, ts AS timestamp, CAST(hour(ts) AS INTEGER) AS hour,
   CAST(month(ts) AS INTEGER) AS month, CAST({WEEKDAY.format('ts')} AS INTEGER) AS weekday,
-  CAST({SEASON.format('ts')} AS INTEGER) AS season, CAST(day(ts) AS INTEGER) AS day_of_month FROM events"""
+  CAST({SEASON.format('ts')} AS INTEGER) AS year_season, CAST(day(ts) AS INTEGER) AS day_of_month FROM events"""
 O["season"] = f"""SELECT o_orderdate, CAST({SEASON.format('o_orderdate')} AS INTEGER) AS season, count(*) AS n
   FROM orders GROUP BY o_orderdate"""
 O["shift_date"] = """SELECT o_orderkey, date_trunc('day', t - INTERVAL 100 DAY)::TIMESTAMP AS days_back,
@@ -529,10 +540,10 @@ O["linear_fit"] = f"WITH {ONE}, {FIT} SELECT {TARGET}, n, {r('slope')} AS slope,
 
 
 def cross_validation(source: str) -> str:
-    return f"""{blocks(4, source, TARGET)},
+    return f"""{blocks(10, source, TARGET)},
   cv AS (SELECT {TARGET}, fold, coalesce(regr_slope(value, lag_1), 0) AS slope,
     coalesce(regr_intercept(value, lag_1), avg(value)) AS intercept
-    FROM b, range(4) t(fold) WHERE block <= fold GROUP BY ALL),
+    FROM b, range(10) t(fold) WHERE block <= fold GROUP BY ALL),
   sc AS (SELECT {TARGET}, fold, sqrt(avg((value - intercept - slope * lag_1) * (value - intercept - slope * lag_1))) AS rmse,
     avg(abs(value - intercept - slope * lag_1)) AS mae
     FROM b JOIN cv USING ({TARGET}) WHERE b.block = cv.fold + 1 GROUP BY ALL)"""
@@ -572,9 +583,15 @@ m AS (SELECT *, CASE WHEN count(predictions) OVER w = 100 THEN avg(greatest(0.0,
 SELECT {TARGET}, timestamp, real_value, validation_boolean, {r('coalesce(nv, pv)')} AS predictions,
   {r('data_quality_percentage')} AS data_quality_percentage, {r('suggested_value')} AS suggested_value FROM near2"""
 
+O["run_jobs"] = O["predict_and_validate"]
+O["job_marks"] = f"""WITH {ONE}, t AS (SELECT DISTINCT {TARGET} FROM panel)
+SELECT latitude, longitude, max(timestamp) AS timestamp,
+  (SELECT count(*) FROM t WHERE t.latitude = panel.latitude AND t.longitude = panel.longitude) AS n_models,
+  CAST(1 AS INTEGER) AS version FROM panel GROUP BY latitude, longitude"""
+
 # ---------------------------------------------------------------- streams
 
-O["stream_features"] = f"WITH {OBS} SELECT *, TIMESTAMP '{UPDATED}' AS update_date FROM obs"
+O["stream_features"] = f"WITH {OBS} SELECT * REPLACE ({r('value')} AS value), TIMESTAMP '{UPDATED}' AS update_date FROM obs"
 O["stream_score"] = f"""WITH {ONE}, {FIT}, preds AS (SELECT {TARGET}, timestamp, value AS real_value,
   intercept + slope * lag_1 AS predictions FROM panel JOIN fit USING ({TARGET})), {QUARTILES}, {CHECKED}
 SELECT {TARGET}, timestamp, real_value, {r('predictions')} AS predictions, {r('data_quality_percentage')} AS data_quality_percentage,

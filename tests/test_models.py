@@ -146,9 +146,9 @@ def test_train_register_predict(spark, panel):
     again = train.targets_to_train(panel.withColumn("model_type", F.lit("autoval_reg")), reg, F.lit(START), 7)
     assert again.count() == 0
     linear_only = reg.where(F.col("model_name") == train.LINEAR)
-    records = predict.predict_and_validate(panel, linear_only, ["a", "b"], "value", update_date=START)
+    records = predict.predict_and_validate(panel, linear_only, "value", update_date=START)
     assert records.columns == PREDICTIONS.names and records.count() == panel.count()
-    scored = predict.score_with_registry(panel, linear_only, ["a", "b", "absent"], "value")
+    scored = predict.score_with_registry(panel, linear_only, "value")
     pdf = scored.where("latitude = 41.0").toPandas().sort_values("timestamp")
     cut = len(pdf) - 60
     w = least_squares(pdf[["a", "b"]].to_numpy()[:cut], pdf["value"].to_numpy()[:cut])
