@@ -1,5 +1,8 @@
 """Metrics, validation, scaling, regression, boosted trees, search, attributions, streams."""
 
+import json
+import time
+
 import numpy as np
 import pytest
 from helpers import START, hours
@@ -202,3 +205,77 @@ def test_pruning_and_order():
     assert found.score == min(s for _, _, s, pruned in found.trials if not pruned)
     assert any(pruned for *_, pruned in found.trials)
     assert len(seen) < 36
+
+
+def test_pruning_does_not_depend_on_timing():
+    def score(panel, features, label, params, fold, metric, seed):
+        time.sleep(0.002 * (params["x"] % 5))
+        return float(params["x"] + fold)
+
+    runs = [
+        search.search(None, [], "", {"x": [0, 1000]}, 16, 3, search.StopRules(50), parallelism=4, score=score).trials
+        for _ in range(3)
+    ]
+    assert runs[0] == runs[1] == runs[2] and any(pruned for *_, pruned in runs[0])
+
+
+def squares(spark):
+    """The value is a square, which no line fits."""
+    rng = np.random.default_rng(1)
+    rows = [(41.0 + k, 2.0, "v", t, float(a)) for k in range(2) for t, a in zip(hours(200), rng.normal(0, 3, 200))]
+    df = spark.createDataFrame(rows, "latitude double, longitude double, target_variable string, timestamp timestamp_ntz, a double")
+    return df.withColumn("value", F.col("a") * F.col("a") + 10).cache()
+
+
+def test_a_polynomial_winner_scores_by_its_terms(spark):
+    panel, empty = squares(spark), spark.createDataFrame([], REGISTRY)
+    cfg = settings(model_names=[train.LINEAR, train.POLYNOMIAL])
+    reg = train.train_and_register(spark, panel, ["a"], "value", empty, cfg, START).cache()
+    out = predict.score_with_registry(panel, reg, "value").cache()
+    assert {r["model_name"] for r in out.select("model_name").distinct().collect()} == {train.POLYNOMIAL}
+    assert out.count() == panel.count()
+    assert out.agg(F.max(F.abs(F.col("predictions") - F.col("value")))).first()[0] < 1e-6
+    with pytest.raises(ValueError, match="a model needs"):
+        predict.score_with_registry(panel.withColumnRenamed("a", "b"), reg, "value")
+
+
+def test_a_boosted_winner_scores_every_row(spark, tmp_path):
+    panel, empty = squares(spark), spark.createDataFrame([], REGISTRY)
+    ranges = {"n_estimators": [20, 20], "max_depth": [4, 4], "learning_rate": [0.3, 0.3]}
+    cfg = settings(model_names=[train.LINEAR, train.BOOSTED], n_iter=1, params={train.LINEAR: {}, train.BOOSTED: ranges})
+    reg = train.train_and_register(spark, panel, ["a"], "value", empty, cfg, START, str(tmp_path)).cache()
+    assert json.loads(reg.where("model_path is not null").first()["model_parameters"])["max_depth"] == 4
+    out = predict.score_with_registry(panel, reg, "value").cache()
+    assert out.count() == panel.count() and out.where("predictions is null").count() == 0
+    assert {r[0] for r in out.select("model_name").distinct().collect()} == {train.BOOSTED}
+    error = out.agg(F.avg(F.abs(F.col("predictions") - F.col("value")))).first()[0]
+    assert error < 2
+    # One model for the target, scaled for each series; a mixed registry scores each row by its own series' model.
+    mixed = reg.where("(latitude = 41.0) = (model_path is null)")
+    kinds = predict.score_with_registry(panel, mixed, "value").groupBy("latitude", "model_name").count().collect()
+    assert {(r["latitude"], r["model_name"], r["count"]) for r in kinds} == {(41.0, train.LINEAR, 200), (42.0, train.BOOSTED, 200)}
+
+
+def test_a_series_without_a_model_fails_the_job(spark):
+    panel, empty = squares(spark), spark.createDataFrame([], REGISTRY)
+    reg = train.train_and_register(spark, panel, ["a"], "value", empty, settings(), START).cache()
+    with pytest.raises(Exception, match="no usable model"):
+        predict.score_with_registry(panel, reg.where("latitude = 41.0"), "value").collect()
+
+
+@pytest.mark.parametrize("bad", [{"learning_rate": 0.0}, {"learning_rate": 1.5}, {"max_depth": 31}, {"reg_alpha": 2.0}])
+def test_parameters_without_effect_are_refused(bad):
+    with pytest.raises(ValueError):
+        boosted.to_mllib(bad)
+    assert boosted.to_mllib({"reg_lambda": 0, "learning_rate": 1}) == {"stepSize": 1.0}
+
+
+def test_attributions_draw_from_the_whole_background(spark, panel):
+    model = boosted.fit_gbt(panel, ["a", "b"], "value", {"n_estimators": 2, "max_depth": 2})
+    phi = boosted.attributions(model, panel, [*T, "timestamp"], panel, ["a", "b"], permutations=1, per_bucket=30)
+    total = phi.groupBy(*T, "timestamp").agg(F.sum("phi").alias("s"))
+    scored = boosted.score_model(model, panel).join(total, [*T, "timestamp"])
+    # Prediction less attributions is the prediction of the row that was drawn: many different ones, right on average.
+    drawn = scored.select((F.col("predictions") - F.col("s")).alias("v")).agg(F.avg("v"), F.count("v")).first()
+    mean = boosted.score_model(model, panel).agg(F.avg("predictions")).first()[0]
+    assert drawn[1] == panel.count() and drawn[0] == pytest.approx(mean, abs=0.6)
