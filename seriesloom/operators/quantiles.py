@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 ACCURACY = 10_000
+#: Ranges of values that a bracket is counted in.
+SLICES = 64
 
 
 def exact_quantiles(
@@ -16,19 +18,17 @@ def exact_quantiles(
     """(keys, n, probability, quantile) with linear interpolation between order statistics.
 
     The built-in exact percentile keeps every distinct value of a group in one task. Here a sketch
-    with a known rank error brackets each quantile, one map-side combined count gives the exact rank
-    of the bracket, and only the values inside the bracket (a few in ``accuracy``) are ordered.
+    with a known rank error brackets each quantile, and one map-side combined count gives the exact ranks of
+    the bracket's ``SLICES`` ranges of values. Only the values of the range that holds the rank are ordered.
     """
     keys = list(keys)
     rows = df.select(*keys, F.col(column).cast("double").alias("_v")).where(
         F.col("_v").isNotNull() & ~F.isnan("_v")
     )
-    # The bracket must reach both order statistics: the sketch is off by at most 1 / accuracy, and
-    # they lie within three ranks of p * n. Fewer rows need a wider share.
-    margins = [(max(30_000, 3 * accuracy), 2.0 / accuracy), (400, 0.01), (40, 0.1)]
-    edges = [
-        min(1.0, max(0.0, p + side * share)) for p in probabilities for _, share in margins for side in (-1, 1)
-    ]
+    # The bracket must reach both order statistics: the sketch is off by a share of 1 / accuracy at most, and
+    # they lie within three ranks of p * n. So it is the tightest share s with s * n >= n / accuracy + 3.
+    shares = [2.0 * 4**k / accuracy for k in range(20) if 2.0 * 4**k < accuracy]
+    edges = [min(1.0, max(0.0, p + side * share)) for p in probabilities for share in shares for side in (-1, 1)]
     sketch = rows.groupBy(*keys).agg(
         F.count("*").alias("n"),
         F.percentile_approx("_v", edges, accuracy).alias("_edges"),
@@ -40,10 +40,11 @@ def exact_quantiles(
         """The tightest edge that is safe for n rows; an edge at rank 0 or 1 is the extreme itself."""
         extreme = F.col("_max" if side else "_min")
         out = None
-        for j, (least, _) in enumerate(margins):
-            k = 2 * (i * len(margins) + j) + side
+        for j, share in enumerate(shares):
+            k = 2 * (i * len(shares) + j) + side
             value = extreme if edges[k] in (0.0, 1.0) else F.get("_edges", F.lit(k))
-            out = F.when(F.col("n") >= least, value) if out is None else out.when(F.col("n") >= least, value)
+            wide = F.lit(share - 1.0 / accuracy) * F.col("n") >= 3
+            out = F.when(wide, value) if out is None else out.when(wide, value)
         return out.otherwise(extreme)
 
     brackets = F.array(
@@ -52,23 +53,36 @@ def exact_quantiles(
             for i, p in enumerate(probabilities)
         ]
     )
+    low, high = F.col("_b.low"), F.col("_b.high")
+    slice_of = F.when(
+        F.col("_v").isNotNull(),
+        F.when(high > low, F.floor((F.col("_v") - low) / (high - low) * SLICES)).otherwise(0).cast("int"),
+    )
     bracketed = sketch.select(*keys, "n", brackets.alias("_brackets"))
-    # Rows below a bracket count as one null value, rows above it are not needed.
+    # Rows below a bracket count as one null value in range -1, rows above it are not needed.
     placed = (
         rows.join(bracketed, keys)
         .select(*keys, "n", "_v", F.explode("_brackets").alias("_b"))
         .where(F.col("_v") <= F.col("_b.high"))
         .withColumn("_v", F.when(F.col("_v") >= F.col("_b.low"), F.col("_v")))
-        .select(*keys, "n", F.col("_b.probability").alias("probability"), "_v")
-    )
-    counts = placed.groupBy(*keys, "probability", "_v").agg(F.count("*").alias("_c"), F.first("n").alias("n"))
-    upto = Window.partitionBy(*keys, "probability").orderBy(F.col("_v").asc_nulls_first())
-    ranked = counts.withColumn(
-        "_rank", F.sum("_c").over(upto.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        .withColumn("_slice", F.coalesce(slice_of, F.lit(-1)))
+        .select(*keys, "n", F.col("_b.probability").alias("probability"), "_slice", "_v")
     )
+    counts = placed.groupBy(*keys, "probability", "_slice", "_v").agg(F.count("*").alias("_c"), F.first("n").alias("n"))
     place = (F.col("n") - 1) * F.col("probability")
     lower = F.floor(place) + 1
     upper = F.least(F.floor(place) + 2, F.col("n"))
+    ranges = counts.groupBy(*keys, "probability", "_slice").agg(F.sum("_c").alias("_rows"), F.first("n").alias("n"))
+    in_order = Window.partitionBy(*keys, "probability").orderBy("_slice")  # at most SLICES + 2 rows
+    before = F.coalesce(F.sum("_rows").over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    wanted = (
+        ranges.withColumn("_before", before)
+        .where((F.col("_slice") >= 0) & (F.col("_before") < upper) & (F.col("_before") + F.col("_rows") >= lower))
+        .select(*keys, "probability", "_slice", "_before")
+    )
+    upto = Window.partitionBy(*keys, "probability", "_slice").orderBy("_v")
+    running = F.sum("_c").over(upto.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = counts.join(wanted, [*keys, "probability", "_slice"]).withColumn("_rank", F.col("_before") + running)
     stats = ranked.groupBy(*keys, "probability", "n").agg(
         F.min(F.when(F.col("_rank") >= lower, F.struct("_rank", "_v"))).alias("_lo"),
         F.min(F.when(F.col("_rank") >= upper, F.struct("_rank", "_v"))).alias("_hi"),
