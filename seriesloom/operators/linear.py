@@ -12,6 +12,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +23,8 @@ FIT = (
     "struct<coefficients:array<double>,intercept:double,n:bigint,"
     "folds:array<struct<fold:int,coefficients:array<double>,intercept:double,n_test:bigint,sse:double,sst:double>>>"
 )
+#: Most features whose products are summed one by one in generated code, and tasks' matrices added in one round.
+UNROLLED, ROUND = 20, 32
 # Metrics that follow from the sums of a test block, without reading its rows again.
 FROM_SUMS = {
     "mean_squared_error": lambda f: F.try_divide(f["sse"], f["n_test"]),
@@ -36,6 +39,57 @@ def product_sums(features: Sequence[str], label: str) -> Column:
     return F.array(*[F.sum(z[i] * z[j]) for i in range(len(z)) for j in range(i, len(z))])
 
 
+def matrix_sums(df: DataFrame, keys: Sequence[str], features: Sequence[str], label: str) -> DataFrame:
+    """(keys, block, sums) as ``product_sums`` gives them, for so many features that single sums would not compile.
+
+    Each task sorts its rows by series and block and multiplies one matrix after the other; a series' matrices, one
+    from each task that holds it, are added in two rounds, so a hot series sends no long list to one place.
+    """
+    by, columns = [*keys, "_number"], [*features, label]
+    numbers = df.select(*by, F.array(*[F.col(c).cast("double") for c in columns]).alias("_x")).sortWithinPartitions(*by)
+    kinds = {f.name: f.dataType.simpleString() for f in numbers.schema.fields}
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in by)
+    upper = np.triu_indices(len(columns) + 1)
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, held, total = TaskContext.get().partitionId() % ROUND, None, None
+
+        def row(key: pa.RecordBatch, m: np.ndarray) -> pa.RecordBatch:
+            arrays = [*key.columns, pa.array([part], pa.int32()), pa.array([m[upper].tolist()], pa.list_(pa.float64()))]
+            return pa.RecordBatch.from_arrays(arrays, names=[*by, "_part", "sums"])
+
+        for batch in batches:
+            key = batch.select(by)
+            x = batch.column("_x").flatten().to_numpy().reshape(batch.num_rows, len(columns))
+            z = np.column_stack([np.ones(len(x)), x])
+            same = np.ones(max(0, len(x) - 1), bool)
+            for c in key.columns:
+                v = np.asarray(c.to_pylist(), dtype=object)
+                same &= v[1:] == v[:-1]
+            starts = [0, *(np.flatnonzero(~same) + 1).tolist(), len(x)]
+            for a, b in zip(starts, starts[1:]):
+                own = key.slice(a, 1)
+                if held is not None and not own.equals(held):
+                    yield row(held, total)
+                    total = None
+                m = z[a:b].T @ z[a:b]
+                held, total = own, m if total is None else total + m
+        if held is not None:
+            yield row(held, total)
+
+    def add(group: pd.DataFrame) -> pd.DataFrame:
+        first = group.iloc[[0]].copy()
+        first["sums"] = [np.sum(np.stack(group["sums"].to_list()), axis=0)]
+        return first
+
+    out = numbers.mapInArrow(multiply, f"{schema}, _part int, sums array<double>")
+    out = out.groupBy(*by, "_part").applyInPandas(add, out.schema)
+    out = out.groupBy(*by).applyInPandas(add, out.schema)
+    return out.select(*keys, F.col("_number").alias("block"), "sums")
+
+
 def _matrix(flat) -> np.ndarray:
     flat = np.asarray(flat, float)
     size = int((np.sqrt(8 * len(flat) + 1) - 1) / 2)
@@ -100,7 +154,10 @@ def linear_fit(
     keys, features = list(keys), list(features)
     complete = complete_rows(df, [*features, label])
     number = F.col(block) if block else F.lit(0)
-    sums = complete.groupBy(*keys, number.alias("block")).agg(product_sums(features, label).alias("sums"))
+    if len(features) <= UNROLLED:
+        sums = complete.groupBy(*keys, number.alias("block")).agg(product_sums(features, label).alias("sums"))
+    else:
+        sums = matrix_sums(complete.withColumn("_number", number.cast("int")), keys, features, label)
     per_series = sums.groupBy(*keys).agg(F.collect_list(F.struct("block", "sums")).alias("_blocks"))
     return per_series.select(*keys, F.pandas_udf(_fit, FIT)("_blocks").alias("_fit")).select(
         *keys, F.array(*map(F.lit, features)).alias("feature_names"), "_fit.*"

@@ -279,3 +279,15 @@ def test_attributions_draw_from_the_whole_background(spark, panel):
     drawn = scored.select((F.col("predictions") - F.col("s")).alias("v")).agg(F.avg("v"), F.count("v")).first()
     mean = boosted.score_model(model, panel).agg(F.avg("predictions")).first()[0]
     assert drawn[1] == panel.count() and drawn[0] == pytest.approx(mean, abs=0.6)
+
+
+def test_wide_sums_equal_single_sums(spark, panel, monkeypatch):
+    wide, names = scaling.with_polynomial(split.with_fold_block(panel, T, 3), ["a", "b", "c"])
+    want = {r["latitude"]: r for r in linear.linear_fit(wide, T, names, "value", "fold_block").collect()}
+    monkeypatch.setattr(linear, "UNROLLED", 1)
+    got = {r["latitude"]: r for r in linear.linear_fit(wide, T, names, "value", "fold_block").collect()}
+    assert got.keys() == want.keys()
+    for k, r in got.items():
+        assert r["n"] == want[k]["n"] and len(r["folds"]) == 3
+        for a, b in zip(r["folds"], want[k]["folds"]):
+            assert a["sse"] == pytest.approx(b["sse"], rel=1e-6) and a["n_test"] == b["n_test"]
