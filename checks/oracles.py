@@ -282,8 +282,8 @@ SELECT timestamp, stage, model_name, parameter_code, parameter_value FROM config
   WHERE contains(parameter_code, model_name)"""
 O["series_points"] = f"""WITH {OBS} SELECT {SERIES}, min(timestamp) AS page_start, count(*) AS n_points,
   max(timestamp) AS last_time, arg_max(value, timestamp) AS last_value
-FROM obs WHERE variable_code IN ('click', 'view')
-GROUP BY {SERIES}, epoch_us(timestamp) // (30 * 86400000000::BIGINT)"""
+FROM (SELECT *, (row_number() OVER (PARTITION BY {SERIES} ORDER BY timestamp) - 1) // 100 AS page FROM obs
+  WHERE variable_code IN ('click', 'view')) GROUP BY {SERIES}, page"""
 
 # ---------------------------------------------------------------- gaps
 

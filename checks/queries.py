@@ -363,7 +363,7 @@ def model_parameters(s, d):
 
 @query
 def series_points(s, d):
-    pages = reshape.series_points(D.obs(s, d), variables=["click", "view"])
+    pages = reshape.series_points(D.obs(s, d), page_rows=100, variables=["click", "view"])
     last = F.get("points", F.size("points") - 1)
     return pages.select(
         *SERIES, "page_start", "n_points", last["timestamp"].alias("last_time"), last["value"].alias("last_value")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriesloom.schema import HIGH_WATER_KEY, LOCATION
-from seriesloom.session import materialize
+from seriesloom.session import materialize, remove_path
 
 
 def unique_rows(source: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -104,10 +104,8 @@ def delete_from_table(spark: SparkSession, path: str, condition: Column, partiti
     kept = found.where("_gone < _all").select(*partition_by)
     rest = delete_where(table.join(kept, list(partition_by), "left_semi"), condition)
     _overwrite_partitions(materialize(rest.select(*table.columns)), path, list(partition_by))
-    jvm = spark.sparkContext._jvm
     for row in found.where("_gone = _all").select("_file").collect():  # one file name for each emptied partition
-        folder = jvm.org.apache.hadoop.fs.Path(row["_file"]).getParent()
-        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        remove_path(spark, row["_file"].rpartition("/")[0])
 
 
 def _overwrite_partitions(df: DataFrame, path: str, partition_by: Sequence[str]) -> None:

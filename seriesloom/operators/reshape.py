@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.functions.text import remove_literal
-from seriesloom.operators.segments import segment_of
+from seriesloom.operators.segments import POSITION, with_positions
 from seriesloom.schema import LOCATION, PREDICTION_MEASURES
 
 
@@ -109,13 +109,14 @@ def series_points(
     df: DataFrame,
     keys: Sequence[str] = (*LOCATION, "variable_code"),
     order: str = "timestamp",
-    width: str = "30D",
+    page_rows: int = 1000,
     variables: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Ordered points per series in pages of one time segment, so that no row holds a whole series."""
+    """Ordered points per series in pages of ``page_rows`` points, so that no row holds more of a series."""
     if variables:
         df = df.where(F.col("variable_code").isin(*variables))
     points = F.sort_array(F.collect_list(F.struct(F.col(order), F.col("value"))))
-    return df.groupBy(*keys, segment_of(F.col(order), width).alias("page")).agg(
+    placed = with_positions(df, keys, order)
+    return placed.groupBy(*keys, F.floor((F.col(POSITION) - 1) / page_rows).alias("page")).agg(
         F.min(order).alias("page_start"), F.count("*").alias("n_points"), points.alias("points")
     )

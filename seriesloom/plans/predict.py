@@ -14,7 +14,7 @@ from seriesloom.operators.scaling import with_named_terms
 from seriesloom.operators.smoothing import smooth_predictions
 from seriesloom.operators.validate import TARGET, prediction_records
 from seriesloom.schema import LOCATION
-from seriesloom.session import materialize
+from seriesloom.session import materialize, scratch_scope
 from seriesloom.sources.sinks import publish_predictions, save_table
 
 IDENTITY = ["model_date", "model_name", "model_type", "model_version", "lower_limit", "upper_limit"]
@@ -89,14 +89,15 @@ def run_predict_job(
     Scores and validates with the registry, smooths, upserts the records, advances the marks and publishes the records.
     Smoothing and thresholds see the whole panel; only new records are written.
     """
-    registry = spark.read.parquet(f"{root}/registry")
-    records = predict_and_validate(panel, registry, label, update_date=update_date, **how)
-    if table_exists(spark, f"{root}/marks"):
-        records = since_mark(records, spark.read.parquet(f"{root}/marks"), "predictions")
-    records = materialize(records)
-    if records.isEmpty():
-        return
-    save_table(spark, root, "predictions", records)
-    save_table(spark, root, "marks", marks_of(records.select(*LOCATION, "timestamp"), "predictions", update_date))
-    if publish_to:
-        publish_predictions(spark, records, publish_to)
+    with scratch_scope(spark):
+        registry = spark.read.parquet(f"{root}/registry")
+        records = predict_and_validate(panel, registry, label, update_date=update_date, **how)
+        if table_exists(spark, f"{root}/marks"):
+            records = since_mark(records, spark.read.parquet(f"{root}/marks"), "predictions")
+        records = materialize(records)
+        if records.isEmpty():
+            return
+        save_table(spark, root, "predictions", records)
+        save_table(spark, root, "marks", marks_of(records.select(*LOCATION, "timestamp"), "predictions", update_date))
+        if publish_to:
+            publish_predictions(spark, records, publish_to)

@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriesloom.functions.calendar import DEFAULT_FEATURES, FEATURES, with_calendar
-from seriesloom.functions.dates import frequency_seconds
+from seriesloom.functions.dates import epoch_micros, frequency_seconds
 from seriesloom.operators.grid import complete_axis
 from seriesloom.operators.impute import interpolate_time
-from seriesloom.operators.segments import suggest_width
+from seriesloom.operators.segments import floor_div, suggest_width
 from seriesloom.schema import LOCATION, SERIES
-from seriesloom.session import materialize
+from seriesloom.session import materialize, scratch_scope
 from seriesloom.sources.landed import expand_hourly_arrays
 from seriesloom.sources.sinks import long_features, save_features
 
@@ -42,16 +42,16 @@ def preprocess_observations(
     filled = interpolate_time(full, SERIES, ["value"], width=width)
     stamp = F.lit(update_date).cast("timestamp_ntz")
     values = filled.select("timestamp", *LOCATION, "variable_code", "value", stamp.alias("update_date"))
-    # One axis per location: all its series share the same steps.
-    axis = complete_axis(
-        obs.groupBy(*LOCATION, "timestamp").agg(F.lit(None).cast("double").alias("value")),
-        LOCATION,
-        step=step,
-        width=width,
-        bounds=None if bounds is None else bounds.groupBy(*LOCATION).agg(
-            F.min("min_date").alias("min_date"), F.max("max_date").alias("max_date")
-        ),
-    )
+    # One axis per location: all its series share the same steps, so the bounds make it; only observations
+    # off the steps add to it.
+    if bounds is None:
+        spans = obs.groupBy(*LOCATION).agg(F.min("timestamp").alias("min_date"), F.max("timestamp").alias("max_date"))
+    else:
+        spans = bounds.groupBy(*LOCATION).agg(F.min("min_date").alias("min_date"), F.max("max_date").alias("max_date"))
+    apart = epoch_micros(F.col("timestamp")) - floor_div(epoch_micros(F.col("min_date")), 1_000_000) * 1_000_000
+    off = obs.join(spans, LOCATION).where(F.pmod(apart, F.lit(frequency_seconds(step) * 1_000_000)) != 0)
+    off = off.select(*LOCATION, "timestamp", F.lit(None).cast("double").alias("value")).distinct()
+    axis = complete_axis(off, LOCATION, step=step, width=width, bounds=spans)
     codes = F.array(
         *[
             F.struct(F.lit(f).alias("variable_code"), FEATURES[f](F.col("timestamp")).cast("double").alias("value"))
@@ -85,12 +85,12 @@ def run_preprocess(
     With marks, each series starts from its last observation up to the mark, looked for in ``lookback`` before it,
     so the hours between that and the first new observation are filled as a full run fills them.
     """
-    fresh = obs if marks is None else with_last_known(obs, marks, lookback)
-    fresh = materialize(fresh)
-    # The completed axis has one row per step, or the observed rows where they are denser.
-    steps = max(60, frequency_seconds(step) * 50_000 // 60)
-    width = min(suggest_width(fresh, SERIES, "timestamp"), f"{steps}min", key=frequency_seconds)
-    save_features(spark, root, preprocess_observations(fresh, update_date, step, width), update_date)
+    with scratch_scope(spark):
+        fresh = materialize(obs if marks is None else with_last_known(obs, marks, lookback))
+        # The completed axis has one row per step, or the observed rows where they are denser.
+        steps = max(60, frequency_seconds(step) * 50_000 // 60)
+        width = min(suggest_width(fresh, SERIES, "timestamp"), f"{steps}min", key=frequency_seconds)
+        save_features(spark, root, preprocess_observations(fresh, update_date, step, width), update_date)
 
 
 def trailing_days(df: DataFrame, end, days: int = 7) -> DataFrame:

@@ -22,7 +22,7 @@ from seriesloom.operators.segments import POSITION, SERIES_ROWS, with_positions
 from seriesloom.operators.split import fold_block, rows_in_test
 from seriesloom.operators.validate import TARGET
 from seriesloom.schema import REGISTRY
-from seriesloom.session import materialize
+from seriesloom.session import materialize, scratch_scope
 from seriesloom.sources.sinks import save_table
 
 LINEAR = "linear_regression"
@@ -237,17 +237,18 @@ def run_train_job(
     model_date,
 ) -> None:
     """Train the series that are due, upsert their registry rows below ``root`` and advance the training marks."""
-    place = f"{root}/registry"
-    registry = spark.read.parquet(place) if table_exists(spark, place) else spark.createDataFrame([], REGISTRY)
-    registry = registry.select(*[F.col(f.name).cast(f.dataType) for f in REGISTRY.fields])
-    rows = materialize(
-        train_and_register(spark, panel, features, label, registry, settings, model_date, f"{root}/models")
-    )
-    if rows.isEmpty():
-        return
-    save_table(spark, root, "registry", rows)
-    trained = panel.join(rows.select(*TARGET).distinct(), TARGET, "left_semi")
-    save_table(spark, root, "marks", marks_of(trained, "training", model_date))
+    with scratch_scope(spark):
+        place = f"{root}/registry"
+        registry = spark.read.parquet(place) if table_exists(spark, place) else spark.createDataFrame([], REGISTRY)
+        registry = registry.select(*[F.col(f.name).cast(f.dataType) for f in REGISTRY.fields])
+        rows = materialize(
+            train_and_register(spark, panel, features, label, registry, settings, model_date, f"{root}/models")
+        )
+        if rows.isEmpty():
+            return
+        save_table(spark, root, "registry", rows)
+        trained = panel.join(rows.select(*TARGET).distinct(), TARGET, "left_semi")
+        save_table(spark, root, "marks", marks_of(trained, "training", model_date))
 
 
 def train_and_register(

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,9 +39,29 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+_scope: ContextVar[str | None] = ContextVar("scratch_scope", default=None)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path for one run below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path below the shared folder, or below the scope that is open."""
+    return f"{_scope.get() or shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables made inside go at the end. For jobs that leave only stored tables behind."""
+    path = f"{shared_dir(spark)}/scope-{uuid.uuid4().hex}"
+    token = _scope.set(path)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+        remove_path(spark, path)
 
 
 def materialize(df: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Stored tables end to end: dense and skewed input, re-runs, streams that continue."""
 
 from datetime import timedelta
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from seriesloom.operators import impute, segments
 from seriesloom.plans import preprocess
 from seriesloom.schema import SERIES
-from seriesloom.session import materialize
+from seriesloom.session import materialize, shared_dir
 from seriesloom.sources import tables
 from seriesloom.streaming import jobs
 
@@ -98,3 +99,27 @@ def test_gaps_over_whole_segments(spark):
     )
     got = by_series(impute.interpolate_time(to_spark(spark, pdf), ["k"], ["value"], width="6h"))
     same(got, {"a": np.minimum(np.arange(950.0), 900.0)})
+
+
+def test_jobs_leave_no_intermediate_tables(spark, tmp_path):
+    shared = Path(shared_dir(spark))
+    obs = materialize(observations(spark, 48))
+    before = set(shared.iterdir())
+    preprocess.run_preprocess(spark, str(tmp_path), obs, UPDATED)
+    assert set(shared.iterdir()) == before
+    assert spark.read.parquet(f"{tmp_path}/features").count() > 0
+
+
+def test_a_run_from_the_marks_fills_the_gap_before_it(spark, tmp_path):
+    """Hours 0, 1, 10, 11, 12 of one series: a full run has 13 hours, and so have two runs."""
+    rows = [(START + timedelta(hours=h), 41.0, 2.0, "wind", float(h)) for h in (0, 1, 10, 11, 12)]
+    obs = spark.createDataFrame(
+        rows, "timestamp timestamp_ntz, latitude double, longitude double, variable_code string, value double"
+    )
+    preprocess.run_preprocess(spark, f"{tmp_path}/full", obs, UPDATED)
+    preprocess.run_preprocess(spark, f"{tmp_path}/parts", obs.limit(2), UPDATED)
+    marks = materialize(spark.read.parquet(f"{tmp_path}/parts/marks"))
+    preprocess.run_preprocess(spark, f"{tmp_path}/parts", obs, UPDATED, marks)
+    full, parts = (spark.read.parquet(f"{tmp_path}/{x}/features") for x in ("full", "parts"))
+    assert full.where("variable_code = 'wind'").count() == 13
+    assert full.exceptAll(parts.select(*full.columns)).count() == 0 and parts.count() == full.count()

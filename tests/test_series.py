@@ -192,7 +192,7 @@ def test_unpivot_undoes_pivot(spark):
 
 def test_points_come_in_pages(spark):
     frame = series(spark, [float(i) for i in range(100)]).withColumn("variable_code", F.lit("v"))
-    pages = reshape.series_points(frame, ["k", "variable_code"], width="1D").orderBy("page_start").collect()
+    pages = reshape.series_points(frame, ["k", "variable_code"], page_rows=24).orderBy("page_start").collect()
     assert [r["n_points"] for r in pages] == [24, 24, 24, 24, 4]
     assert [p["value"] for r in pages for p in r["points"]] == [float(i) for i in range(100)]
 
