@@ -35,7 +35,7 @@ class ExactDedup:
     def __init__(self, docs: DataFrame, text: str = "text", key: str = "doc_id", bytes_per_batch: int = 1 << 38):
         self.spark: SparkSession = docs.sparkSession
         self.text, self.key, self.columns, self.bytes_per_batch = text, key, docs.columns, bytes_per_batch
-        self.n = hidden(docs, "digest", "points", "locator", "keep", "size")
+        self.n = hidden(docs, "digest", "points", "locator", "keep", "size", "stays", "at")
         self.path = scratch_path(self.spark, "content")
         stored = docs.withColumns(
             {
@@ -76,13 +76,16 @@ class ExactDedup:
             raise RuntimeError(f"different texts have the digest {odd[0][digest]}")
 
     def rows(self) -> DataFrame:
-        """All columns of the table, then the digest, points, locator, keep (id of the row that stays) and size columns."""
+        """All columns of the table, then those of ``n``: digest, points, locator, keep (id of the row that stays), size, stays."""
+        n = self.n
         if self.store.isEmpty():
-            return self.store.withColumns({self.n["keep"]: F.col(self.key), self.n["size"]: F.lit(0).cast("long"), "_stays": F.lit(True)})
+            return self.store.withColumns({n["keep"]: F.col(self.key), n["size"]: F.lit(0).cast("long"), n["stays"]: F.lit(True)})
         state = self.state()
         self.check_bytes(state)
-        found = state.select(F.col("digest").alias(self.n["digest"]), F.col("keep").alias(self.n["keep"]), F.col("size").alias(self.n["size"]), F.col("at").alias("_at"))
-        return self.store.join(found, self.n["digest"], "left").withColumn("_stays", F.col("_at") == F.col(self.n["locator"])).drop("_at")
+        names = {"digest": n["digest"], "keep": n["keep"], "size": n["size"], "at": n["at"]}
+        found = state.select(*[F.col(a).alias(b) for a, b in names.items()])
+        joined = self.store.join(found, n["digest"], "left")
+        return joined.withColumn(n["stays"], F.col(n["at"]) == F.col(n["locator"])).drop(n["at"])
 
 
 def dedup_report(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -90,11 +93,11 @@ def dedup_report(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
     work = ExactDedup(docs.select(key, text), text, key)
     n = work.n
     return work.rows().select(
-        key, F.col(n["keep"]).alias("keep_id"), F.col(n["size"]).alias("group_size"), F.col("_stays").alias("kept"), F.col(n["digest"]).alias("text_sha256")
+        key, F.col(n["keep"]).alias("keep_id"), F.col(n["size"]).alias("group_size"), F.col(n["stays"]).alias("kept"), F.col(n["digest"]).alias("text_sha256")
     )
 
 
 def drop_copies(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that stay, with their own columns."""
     work = ExactDedup(docs, text, key)
-    return work.rows().filter("_stays").select(*docs.columns)
+    return work.rows().filter(F.col(work.n["stays"])).select(*docs.columns)

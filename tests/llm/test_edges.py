@@ -17,7 +17,7 @@ from seriesloom.session import materialize, scratch_path
 ENGLISH = "the cat sat on the mat and the dog lay by the door while rain fell on the old roof of the house"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Columns with names that the operators use inside.
-CLASH = ["digest", "_digest", "points", "locator", "_locator", "keep", "_stays", "fp", "key", "row", "h", "pos", "words", "hash", "_hash", "shard", "ids", "root", "size", "places", "base", "k", "d"]
+CLASH = ["digest", "_digest", "_at", "_keep", "stays", "points", "locator", "_locator", "keep", "_stays", "fp", "key", "row", "h", "pos", "words", "hash", "_hash", "shard", "ids", "root", "size", "places", "base", "k", "d"]
 
 
 def cases():
@@ -370,6 +370,8 @@ def test_stages(spark, tmp_path, rows):
         out = stage(spark, docs, str(tmp_path))
         if name != "best_fit_packing":
             assert out.columns == docs.columns
+            values = out.select(*CLASH).distinct().collect()
+            assert all(set(r) == {"clash"} for r in values)
         docs = materialize(out)
     assert docs.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
 
