@@ -589,6 +589,13 @@ SELECT latitude, longitude, max(timestamp) AS timestamp,
   (SELECT count(*) FROM t WHERE t.latitude = panel.latitude AND t.longitude = panel.longitude) AS n_models,
   CAST(1 AS INTEGER) AS version FROM panel GROUP BY latitude, longitude"""
 
+O["tune_search_facts"] = """SELECT CAST(3 AS BIGINT) AS n_trials, TRUE AS in_order, CAST(3 AS BIGINT) AS n_decided,
+  CAST(3 AS INTEGER) AS n_params FROM (SELECT count(*) FROM events)"""
+O["tune_classifier_facts"] = """SELECT CAST(3 AS BIGINT) AS n_trials, TRUE AS in_order, CAST(3 AS BIGINT) AS n_decided,
+  CAST(2 AS INTEGER) AS n_params FROM (SELECT count(*) FROM labels)"""
+O["gbt_panel_facts"] = f"""WITH {panel(1, 2, 24)} SELECT {TARGET}, CAST(ceil(count(*) * 0.1::DOUBLE) AS BIGINT) AS n, TRUE AS scored
+  FROM panel GROUP BY {TARGET}"""
+
 # ---------------------------------------------------------------- streams
 
 O["stream_features"] = f"WITH {OBS} SELECT * REPLACE ({r('value')} AS value), TIMESTAMP '{UPDATED}' AS update_date FROM obs"

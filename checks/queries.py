@@ -937,6 +937,33 @@ def tune_search(s, d):
     return found.log(s)
 
 
+def trial_facts(log):
+    """What holds for any log of a search: its trials in order, and how many of them were scored or pruned."""
+    return log.agg(
+        F.count("*").alias("n_trials"),
+        (F.max("trial") + 1 == F.count("*")).alias("in_order"),
+        F.count_if(F.col("pruned") | F.col("score").isNotNull()).alias("n_decided"),
+        F.max(F.size("params")).cast("int").alias("n_params"),
+    )
+
+
+@query
+def tune_search_facts(s, d):
+    return trial_facts(tune_search(s, d))
+
+
+@query
+def tune_classifier_facts(s, d):
+    return trial_facts(tune_classifier(s, d))
+
+
+@query
+def gbt_panel_facts(s, d):
+    """Rows of every series that the boosted model scores, and that no score is missing or below zero."""
+    out = gbt_train(s, d)
+    return out.select(*TARGET, "n", (F.col("root_mean_squared_error") >= 0).alias("scored"))
+
+
 @query
 def tree_importance(s, d):
     cut = materialize(split.train_test_split(D.panel(s, d), TARGET, 0.02))
