@@ -43,6 +43,28 @@ def op3_benchmark_decontamination(spark: SparkSession, path: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), decontam.contaminated().alias("contaminated"))
 
 
+def _words(name: str) -> str:
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return rf"SELECT {name}, regexp_extract_all({lower}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w"
+
+
+O["op3_benchmark_decontamination"] = f"""
+WITH d AS ({_words('doc_id')} FROM documents),
+b AS ({_words('item_id')} FROM benchmark),
+items AS (SELECT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS gram FROM (
+  SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM (SELECT *, least(13, len(w)) AS n FROM b) WHERE n > 0)),
+grams AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS gram FROM (
+  SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM items) WHERE len(w) >= n)),
+met AS (SELECT DISTINCT doc_id, n, i, item_id FROM grams JOIN items USING (n, gram)),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM met) GROUP BY doc_id),
+ids AS (SELECT doc_id, count(DISTINCT item_id) AS n_items,
+  string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS items FROM met GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN ids USING (doc_id)
+"""
+
+
 @query
 def op4_warc_round_trip(spark: SparkSession, path: str) -> DataFrame:
     files = materialize(warc.write_warc(warc.with_revisits(table(spark, path, "pages")), scratch_path(spark, "warc")))
