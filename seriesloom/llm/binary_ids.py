@@ -18,7 +18,7 @@ SCHEMA = "doc_id long, shard int, start_in_shard long, n_tokens long, ids array<
 
 
 def write_ids(docs: DataFrame, folder: str, path: str | None = None, text: str = "text", key: str = "doc_id", end_id: int = 1, stripe_bytes: int = 32 << 20, index_rows: int = 1000) -> None:
-    """Encode whole texts, append ``end_id``, and write ORC files in ascending order of the key (nulls first, ties by text).
+    """Encode whole texts, append ``end_id``, and write ORC files in ascending order of the key (nulls first, ties by a hash of the text).
 
     The files of ascending shards follow each other; a shard's rows are sorted. ORC codes runs of integers; every ``index_rows`` rows
     have an index entry and a Bloom filter on ``doc_id``, so a reader prunes stripes by metadata and takes them in parallel.
@@ -42,8 +42,9 @@ def write_ids(docs: DataFrame, folder: str, path: str | None = None, text: str =
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(len(blobs), shard, np.int32)), pa.array(at + ends - sizes), pa.array(sizes), ids], names=["doc_id", "shard", "start_in_shard", "n_tokens", "ids"])
                 at += int(ends[-1])
 
-    cols = docs.select(F.col(key).cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
-    ordered = cols.repartitionByRange(partitions(spark), "doc_id", "text").sortWithinPartitions("doc_id", "text")
+    cols = docs.select(F.col(key).cast("long").alias("doc_id"), text_or_empty(text).alias("text")).withColumn("tie", F.xxhash64("text"))
+    # The bounds of the ranges are sampled by the driver: numbers only, no texts.
+    ordered = cols.repartitionByRange(partitions(spark), "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
     writer = ordered.mapInArrow(run, SCHEMA).write.format("orc").mode("error")
     options = {"compression": "snappy", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": str(index_rows), "orc.stripe.size": str(stripe_bytes)}
     writer.options(**options).save(folder)
