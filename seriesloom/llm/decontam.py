@@ -79,8 +79,8 @@ def bit_map(hashes: DataFrame) -> np.ndarray:
     slot, powers = F.col("h").bitwiseAND(F.lit(SLOTS - 1)), F.array(*[F.lit(1 << k) for k in range(8)])
     bits = hashes.select(F.shiftright(slot, 3).alias("at"), F.element_at(powers, (slot.bitwiseAND(F.lit(7)) + 1).cast("int")).alias("bit"))
     out = np.zeros(SLOTS // 8, np.uint8)
-    for r in bits.groupBy("at").agg(F.bit_or("bit").alias("bit")).collect():
-        out[r["at"]] = r["bit"]
+    found = bits.groupBy("at").agg(F.bit_or("bit").alias("bit")).toArrow()
+    out[found["at"].to_numpy()] = found["bit"].to_numpy()
     return out
 
 
