@@ -274,8 +274,8 @@ O["parse_config"] = f"""WITH {CONFIG}, w AS (SELECT timestamp, stage,
 SELECT timestamp, stage, CAST(n_iter AS INTEGER) AS n_iter, CAST(test_size AS DOUBLE) AS test_size, direction,
   CAST(CAST(auto_training AS BOOLEAN) AS INTEGER) AS auto_training,
   array_to_string(from_json(model_names, '["VARCHAR"]'), ',') AS model_names,
-  CAST(json_extract(xgboost_regression_params, '$.max_depth[1]') AS DOUBLE) AS max_depth_high,
-  CAST(json_extract(xgboost_regression_params, '$.subsample[0]') AS DOUBLE) AS subsample_low FROM w"""
+  CAST(json_extract(xgboost_regression_params, '$.xgbregressor__max_depth[1]') AS DOUBLE) AS max_depth_high,
+  CAST(json_extract(xgboost_regression_params, '$.xgbregressor__subsample[0]') AS DOUBLE) AS subsample_low FROM w"""
 O["model_parameters"] = f"""WITH {CONFIG}, names AS (SELECT timestamp, stage,
   unnest(from_json(parameter_value, '["VARCHAR"]')) AS model_name FROM config WHERE parameter_code = 'model_names')
 SELECT timestamp, stage, model_name, parameter_code, parameter_value FROM config JOIN names USING (timestamp, stage)

@@ -351,8 +351,8 @@ def parse_config(s, d):
         "timestamp", "stage", "n_iter", "test_size", "direction",
         F.col("auto_training").cast("int").alias("auto_training"),
         F.array_join("model_names", ",").alias("model_names"),
-        F.col("xgboost_regression_params")["max_depth"][1].alias("max_depth_high"),
-        F.col("xgboost_regression_params")["subsample"][0].alias("subsample_low"),
+        F.col("xgboost_regression_params")["xgbregressor__max_depth"][1].alias("max_depth_high"),
+        F.col("xgboost_regression_params")["xgbregressor__subsample"][0].alias("subsample_low"),
     )
 
 

@@ -48,15 +48,17 @@ SEED_CONFIG = [
     (
         "training",
         "xgboost_regression_params",
-        '{"n_estimators": [100, 1000], "max_depth": [2, 8], "learning_rate": [0.0, 0.5], '
-        '"min_split_loss": [0, 100], "min_child_weight": [100], "max_delta_step": [0, 100], '
-        '"subsample": [0.2, 1.0], "reg_alpha": [0, 100], "reg_lambda": [0, 100]}',
+        '{"xgbregressor__n_estimators": [100, 1000], "xgbregressor__max_depth": [2, 8], '
+        '"xgbregressor__learning_rate": [0.0, 0.5], "xgbregressor__min_split_loss": [0, 100], '
+        '"xgbregressor__min_child_weight": [100], "xgbregressor__max_delta_step": [0, 100], '
+        '"xgbregressor__subsample": [0.2, 1.0], "xgbregressor__reg_alpha": [0, 100], '
+        '"xgbregressor__reg_lambda": [0, 100]}',
     ),
     (
         "training",
         "mlpregressor_params",
-        '{"hidden_layer_sizes": [10, 512], "alpha": [0.0001], "learning_rate_init": [0.0001], '
-        '"max_iter": [100, 10000]}',
+        '{"mlpregressor__hidden_layer_sizes": [10, 512], "mlpregressor__alpha": [0.0001], '
+        '"mlpregressor__learning_rate_init": [0.0001], "mlpregressor__max_iter": [100, 10000]}',
     ),
     ("training", "direction", "backward"),
     ("prediction", "direction", "backward"),

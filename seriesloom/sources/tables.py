@@ -31,13 +31,17 @@ def in_range(df: DataFrame, start=None, end=None, end_inclusive_day: bool = Fals
 
 
 def at_location(df: DataFrame, latitude=None, longitude=None, locations: DataFrame | None = None) -> DataFrame:
-    """One location by value, or many by a table of (latitude, longitude)."""
+    """One location by its coordinates to three decimals, or many by a table of (latitude, longitude).
+
+    Stored coordinates may come from single precision or from text, so equality is that of rounded values; as a range
+    it still reaches the files.
+    """
     if locations is not None:
         return df.join(locations.select(*LOCATION).distinct(), LOCATION, "left_semi")
-    if latitude is not None:
-        df = df.where(F.col("latitude") == float(latitude))
-    if longitude is not None:
-        df = df.where(F.col("longitude") == float(longitude))
+    for name, value in (("latitude", latitude), ("longitude", longitude)):
+        if value is not None:
+            middle = round(float(value), 3)
+            df = df.where((F.col(name) >= middle - 0.0005) & (F.col(name) < middle + 0.0005))
     return df
 
 

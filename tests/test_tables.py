@@ -71,7 +71,7 @@ def test_filters_reach_the_files(spark, tmp_path):
     spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
     plan = scan._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(variable_code" in plan and "RLIKE" in plan.split("PartitionFilters")[1]
-    assert "EqualTo(latitude,41.0)" in plan and "GreaterThanOrEqual(timestamp" in plan
+    assert "GreaterThanOrEqual(latitude,40.9995)" in plan and "GreaterThanOrEqual(timestamp" in plan
 
 
 def test_range_rules(spark):
@@ -138,7 +138,7 @@ def test_seed_config_parses(spark):
     codes = sorted({c for _, c, _ in params.SEED_CONFIG})
     typed = params.parse_config(pivot_config(frame, codes)).where("stage = 'training'").first()
     assert typed["cv_splits"] == 10 and typed["test_size"] == 0.1 and typed["auto_training"] is True
-    assert typed["xgboost_regression_params"]["max_depth"] == [2.0, 8.0] and typed["direction"] == "backward"
+    assert typed["xgboost_regression_params"]["xgbregressor__max_depth"] == [2.0, 8.0] and typed["direction"] == "backward"
 
 
 def models(spark, *rows):
@@ -200,3 +200,9 @@ def test_jdbc_options():
     assert options["numPartitions"] == "16" and options["upperBound"] == "90" and "user" not in options
     with pytest.raises(ValueError):
         jdbc.read_options("u", "t", partition_column="latitude")
+
+
+def test_locations_match_to_three_decimals(spark):
+    rows = spark.createDataFrame([(41.38899993896484, 2.1589999198913574), (41.389, 2.159), (41.39, 2.159)], "latitude double, longitude double")
+    assert tables.at_location(rows, 41.389, 2.159).count() == 2
+    assert tables.at_location(rows, "41.3894").count() == 2
