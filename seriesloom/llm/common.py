@@ -14,6 +14,21 @@ from pyspark.sql import types as T
 WORD_BYTES = re.compile(rb"[0-9a-z\x80-\xff]+")
 
 
+_kept: tuple = (None, None)
+
+
+def worker_state(key, make: Callable):
+    """What a Python worker keeps from task to task: the caches of one operator at a time.
+
+    Workers are reused, so caches of all the operators of a pipeline would add up in each of them. Another key drops what is kept.
+    """
+    global _kept
+    if _kept[0] != key:
+        _kept = (None, None)
+        _kept = (key, make())
+    return _kept[1]
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit("")).alias(name)
 

@@ -10,12 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import WORD_BYTES, hidden, map_batches, text_or_empty
+from .common import WORD_BYTES, hidden, map_batches, text_or_empty, worker_state
 
 #: Slots of the bit map that spares shingles no window can have. Its size is fixed, whatever the tables hold.
 SLOTS = 1 << 22
 #: Words whose hashes a worker remembers.
-WORDS_HELD = 400_000
+WORDS_HELD = 250_000
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
 
 
@@ -31,9 +31,6 @@ class WordHashes(dict):
         return out
 
 
-HASHES = WordHashes()
-
-
 def words_of(text: str) -> list[bytes]:
     return WORD_BYTES.findall(text.encode().lower())
 
@@ -51,7 +48,8 @@ def shingles(hashes: np.ndarray, size: int) -> np.ndarray:
 
 
 def hashed(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(HASHES.__getitem__, words), np.uint64, len(words))
+    known = worker_state("word hashes", WordHashes)
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
 def windows(items: DataFrame, size: int, text: str = "text", key: str = "item_id") -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, text_or_empty
+from .common import map_batches, text_or_empty, worker_state
 
 # Elements of HTML by role, and words of class and id attributes that name a part of a page.
 BLOCK = set("address article aside blockquote body br button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html label legend li main menu nav ol optgroup option p pre search section select summary table tbody td textarea tfoot th thead title tr ul".split())
@@ -159,9 +159,6 @@ class WordSlots(dict):
         return out
 
 
-SLOTS = WordSlots()
-
-
 class Labeller:
     """Hashed tag-path and word vectors, an LSTM in either direction, and a logistic output for every block."""
 
@@ -177,7 +174,8 @@ class Labeller:
     @staticmethod
     def slots(blocks: list[Block]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
         paths = [np.array([zlib.crc32(f"{n}".encode()) % PATH_SLOTS for n in b.path] or [0]) for b in blocks]
-        words = [np.fromiter(map(SLOTS.__getitem__, w), np.int64, len(w)) for w in (b.text.lower().split() for b in blocks)]
+        known = worker_state("word slots", WordSlots)
+        words = [np.fromiter(map(known.__getitem__, w), np.int64, len(w)) for w in (b.text.lower().split() for b in blocks)]
         return paths, words, np.array([[np.log1p(len(w)) / 5, b.linked] for b, w in zip(blocks, words)], np.float32)
 
     def inputs(self, slots) -> np.ndarray:

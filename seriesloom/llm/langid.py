@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, text_or_empty
+from .common import map_batches, text_or_empty, worker_state
 
 #: Characters of labelled text for each language, equal for all so that counts compare; and most documents they come from.
 SAMPLE_CHARS = 48_000
@@ -18,7 +16,7 @@ SAMPLE_DOCS = 200
 DOC_CHARS = 2_000
 UNKNOWN = "und"
 LANE = 48
-WORDS_HELD = 400_000
+WORDS_HELD = 250_000
 
 
 class SuffixAutomaton:
@@ -97,9 +95,8 @@ class PhraseCounts(dict):
         return [total >> LANE * k & self.mask for k in range(len(self.automata) + 1)]
 
 
-@lru_cache(maxsize=2)
 def worker_counts(samples: tuple[tuple[str, str], ...]) -> PhraseCounts:
-    return PhraseCounts(samples)
+    return worker_state(("phrases", samples), lambda: PhraseCounts(samples))
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> tuple[tuple[str, str], ...]:

@@ -4,22 +4,21 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, partitions, text_or_empty
-from .tokens import PieceEncoder, tokenizer_path, worker_encoder
+from .common import map_batches, partitions, text_or_empty, worker_state
+from .tokens import PieceEncoder, tokenizer_path
 
 #: Entries of the broadcast table. A pre-token group is what one space leads, see ``tokens``.
 FREQUENT = 16_384
 #: Entries that a task, or a merge of tasks' summaries, keeps while it counts.
 SUMMARY = 8_192
 #: Lengths that a worker remembers besides the table.
-HELD = 500_000
+HELD = 300_000
 
 
 def frequent_pieces(docs: DataFrame, text: str = "text") -> list[str]:
@@ -95,11 +94,6 @@ class Lengths(dict):
         return (len(self.encoder.heads[head]) // 4 if head else 0) + sum(map(self.__getitem__, rest))
 
 
-@lru_cache(maxsize=1)
-def worker_lengths(path: str, key: int, held) -> Lengths:
-    return Lengths(held.value, worker_encoder(path))
-
-
 def token_counts(docs: DataFrame, path: str | None = None, text: str = "text", key: str = "doc_id", limit: int = 512) -> DataFrame:
     """key, n_bytes, n_tokens, over_limit of every row.
 
@@ -113,26 +107,9 @@ def token_counts(docs: DataFrame, path: str | None = None, text: str = "text", k
     number = held._jbroadcast.id()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        of = worker_lengths(path, number, Held(held)).of
+        of = worker_state(("lengths", path, number), lambda: Lengths(held.value, PieceEncoder(path))).of
         n = [of(t) for t in batch.column(1).to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64())], names=["key", "n_bytes", "n_tokens"])
 
     cols = docs.select(F.col(key).cast("long").alias("key"), text_or_empty(text), F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long").alias("n_bytes"))
     return map_batches(cols, run, "key long, n_bytes long, n_tokens long").select(F.col("key").alias(key), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
-
-
-class Held:
-    """A broadcast that does not count as part of a cache key."""
-
-    def __init__(self, broadcast):
-        self.broadcast = broadcast
-
-    @property
-    def value(self):
-        return self.broadcast.value
-
-    def __hash__(self) -> int:
-        return 0
-
-    def __eq__(self, other) -> bool:
-        return isinstance(other, Held)

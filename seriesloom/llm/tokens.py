@@ -12,12 +12,13 @@ from __future__ import annotations
 import json
 import re
 from array import array
-from functools import lru_cache
 
 import numpy as np
 
+from .common import worker_state
+
 #: Most pieces that a worker remembers in each of two generations; a piece that is used again moves to the younger one.
-CACHE_PIECES = 250_000
+CACHE_PIECES = 150_000
 #: Letters of the Latin blocks that every Unicode version has, but for the dotted I, whose lower case is two characters; then ASCII signs but for the apostrophe, which can open a
 #: contraction. Such a piece is one pre-token, or two.
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([!-&(-/:-@\[-`{-~]*)")
@@ -169,7 +170,6 @@ class Stops(Pieces):
         return out
 
 
-@lru_cache(maxsize=2)
 def worker_encoder(path: str) -> PieceEncoder:
-    """One encoder for each Python worker and file."""
-    return PieceEncoder(path)
+    """The encoder that this Python worker keeps."""
+    return worker_state(("encoder", path), lambda: PieceEncoder(path))
