@@ -10,6 +10,8 @@ from .common import hidden
 
 #: The characters that the comparison leaves out.
 BLANKS = " \t\n\x0b\x0c\r"
+#: Tasks, at most, that the rows of one digest are dealt over for the comparison of their bytes.
+SALTS = 16
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: State on disk without space set aside in advance, which would be 4 MB for each of many small stores.
 STATE = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
@@ -35,7 +37,7 @@ class ExactDedup:
     def __init__(self, docs: DataFrame, text: str = "text", key: str = "doc_id", bytes_per_batch: int = 1 << 38):
         self.spark: SparkSession = docs.sparkSession
         self.text, self.key, self.columns, self.bytes_per_batch = text, key, docs.columns, bytes_per_batch
-        self.n = hidden(docs, "digest", "points", "locator", "keep", "size", "stays", "at")
+        self.n = hidden(docs, "digest", "points", "locator", "keep", "size", "stays", "at", "salt")
         self.path = scratch_path(self.spark, "content")
         stored = docs.withColumns(
             {
@@ -67,9 +69,15 @@ class ExactDedup:
         return materialize(found.select("key.digest", F.col("value.count").alias("size"), F.col("value.min.k").alias("keep"), F.col("value.min.l").alias("at")))
 
     def check_bytes(self, state: DataFrame) -> None:
-        """Compare the full bytes of every hit with the others of its digest."""
-        digest = self.n["digest"]
-        hits = self.store.join(state.filter("size > 1").select(F.col("digest").alias(digest)), digest, "left_semi")
+        """Compare the full bytes of every hit with the others of its digest.
+
+        Rows meet the digests in question under a salt, so a large group is in many tasks and each sends its least and
+        greatest text on.
+        """
+        digest, salt = self.n["digest"], self.n["salt"]
+        asked = state.filter("size > 1").select(F.col("digest").alias(digest), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias(salt))
+        rows = self.store.select(digest, self.text, F.pmod(self.n["locator"], F.lit(SALTS)).cast("int").alias(salt))
+        hits = rows.join(asked, [digest, salt], "left_semi")
         body = normalised(self.text)
         odd = hits.groupBy(digest).agg(F.min(body).alias("lo"), F.max(body).alias("hi")).filter("lo != hi").limit(1).collect()
         if odd:
