@@ -157,13 +157,13 @@ def held_out(key: str = "doc_id"):
 
 
 def keep_known(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", **how) -> DataFrame:
-    """The rows of ``docs`` for which some language is found: those with a letter."""
+    """The rows of ``docs`` in which a language can be told: those with a letter, also when no row has a label to learn from."""
     samples = fit(docs.filter(~held_out(key)), text, lang, key, **how)
     held = docs.sparkSession.sparkContext.broadcast(samples)
-    names, at = [k for k, _ in samples], docs.columns.index(text)
+    at = docs.columns.index(text)
 
     def known(batch: pa.RecordBatch) -> pa.RecordBatch:
         counts = worker_counts(held.value)
-        return batch.filter(pa.array([bool(names) and counts.of(t or "")[-1] > 0 for t in batch.column(at).to_pylist()], pa.bool_()))
+        return batch.filter(pa.array([counts.of(t or "")[-1] > 0 for t in batch.column(at).to_pylist()], pa.bool_()))
 
     return map_batches(docs, known, docs.schema)

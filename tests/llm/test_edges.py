@@ -267,6 +267,17 @@ def test_language(spark):
     assert {r["lang_pred"] for r in nothing.collect()} == {"und"}
 
 
+def test_documents_stay_without_labels(spark):
+    """Labels all null, or all in the held-out fifth: no language is learned, and still only rows without a letter go."""
+    odd = [(100, None, None, None, None), (101, " 12 !", None, None, None), (None, "a house", None, None, None)]
+    unlabelled = frame(spark, [(i, ENGLISH, None, None, None) for i in range(10)] + odd)
+    out = [r[0] for r in spark.range(60).filter(langid.held_out("id")).collect()]
+    small = frame(spark, [(i, ENGLISH, "en", None, None) for i in out] + odd)
+    assert langid.fit(small.filter(~langid.held_out())) == ()
+    assert langid.keep_known(unlabelled).count() == 11
+    assert langid.keep_known(small).count() == len(out) + 1
+
+
 def test_suffix_automaton():
     rng = random.Random(6)
     for _ in range(60):
