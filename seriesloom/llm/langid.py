@@ -1,7 +1,9 @@
-"""Language by cross-parsing entropy: the language whose labelled text yields the fewest phrases wins."""
+"""Language by cross-parsing entropy: the language whose labelled text describes a text's phrases at the least cost wins."""
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .common import map_batches, text_or_empty, worker_state
 
-#: Characters of labelled text for each language, equal for all so that counts compare; and most documents they come from.
+#: Most characters of labelled text for each language, and most documents they come from.
 SAMPLE_CHARS = 48_000
 SAMPLE_DOCS = 200
 #: Characters that one document adds to the labelled text of its language.
@@ -103,7 +105,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     """(language, labelled text) from a bounded sample of the labelled rows, at most ``sample_chars`` characters for each.
 
     Rows are taken by the hash of their id, at a rate that gives about twice ``sample_docs`` for each language. Null texts and
-    null languages teach nothing. All labelled texts are cut to the shortest one's length, but not below a quarter of the bound.
+    null languages teach nothing. A language with less labelled text keeps all of it and shortens no other one.
     """
     labelled = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.trim(F.col(text)) != ""))
     counts = {r[lang]: r["n"] for r in labelled.groupBy(lang).agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -118,21 +120,32 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
             words = "".join(c if c.isalpha() else " " for c in r["text"].lower()).split()
             held[r["lang"]] += " " + " ".join(words) + " "
     held = {k: v for k, v in held.items() if v.strip()}
-    even = max(sample_chars // 4, min((len(v) for v in held.values()), default=0))
-    return tuple((k, v[: min(even, sample_chars)]) for k, v in held.items())
+    return tuple((k, v[:sample_chars]) for k, v in held.items())
+
+
+def phrase_costs(samples: tuple[tuple[str, str], ...]) -> list[float]:
+    """What a phrase costs in each language, as a share of the dearest.
+
+    A phrase names a place of the labelled text or a letter, so it costs the logarithm of the number of both. Longer labelled
+    texts have longer phrases that cost more each, which makes texts of unlike size comparable; the letters, counted over all
+    languages, keep a text of a few characters from being cheap.
+    """
+    letters = len(set().union(*(text for _, text in samples)))
+    costs = [math.log(len(text) + letters) for _, text in samples]
+    return [c / max(costs) for c in costs]
 
 
 def predict(docs: DataFrame, samples: tuple[tuple[str, str], ...], text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, lang_pred, score of every row.
 
     A text is parsed word by word, with the white space around a word, so that a worker parses each distinct word once; all
-    words of the text count, and phrases are normalised by the equal size of the labelled texts. The fewest phrases win, ties go to
-    the first language by name. The score is the saving against the second language, as a share of its phrases (0 to 1). Null texts, texts
+    words of the text count, and phrases are normalised for the size of the labelled texts (``phrase_costs``). The least cost wins, ties go to
+    the first language by name. The score is the saving against the second language, as a share of its cost (0 to 1). Null texts, texts
     without a letter, and a model without languages give ``und`` with score 0. Repeated rows give repeated results, other
     columns are ignored, an empty table gives no rows.
     """
     held = docs.sparkSession.sparkContext.broadcast(samples)
-    names = [k for k, _ in samples]
+    names, each = [k for k, _ in samples], phrase_costs(samples)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         counts, langs, scores = worker_counts(held.value), [], []
@@ -142,9 +155,10 @@ def predict(docs: DataFrame, samples: tuple[tuple[str, str], ...], text: str = "
                 langs.append(UNKNOWN)
                 scores.append(0.0)
                 continue
-            best, *rest = sorted(range(len(names)), key=lambda k: (phrases[k], k))
+            costs = [n * c for n, c in zip(phrases, each)]
+            best, *rest = sorted(range(len(names)), key=lambda k: (costs[k], k))
             langs.append(names[best])
-            scores.append(1 - phrases[best] / phrases[rest[0]] if rest else 1.0)
+            scores.append(1 - costs[best] / costs[rest[0]] if rest else 1.0)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(np.asarray(scores, float))], names=["key", "lang_pred", "score"])
 
     cols = docs.select(F.col(key).cast("long").alias("key"), text_or_empty(text))

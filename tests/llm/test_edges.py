@@ -278,6 +278,21 @@ def test_documents_stay_without_labels(spark):
     assert langid.keep_known(small).count() == len(out) + 1
 
 
+def test_language_with_little_labelled_text(spark):
+    """One language has a few hundred labelled characters and a junk label two; neither biases nor shortens the others."""
+    rng = random.Random(5)
+    stems = {lang: ["".join(rng.choices(letters, k=rng.randint(3, 8))) for _ in range(150)] for lang, letters in (("en", "theaoinsrwdly"), ("de", "enrtsuhcbgkzm"), ("fr", "leaouispvtqdn"))}
+    text = lambda lang: " ".join(rng.choices(stems[lang], k=100))
+    rows = [(i, text(lang), lang, None, None) for i, lang in enumerate(["de", "fr"] * 150)]
+    rows += [(500, text("en")[:300], "en", None, None), (501, "zz", "junk", None, None)]
+    samples = langid.fit(frame(spark, rows))
+    assert {k: len(v) for k, v in samples}["de"] == {k: len(v) for k, v in samples}["fr"] == langid.SAMPLE_CHARS
+    assert 200 < dict((k, len(v)) for k, v in samples)["en"] < 400
+    asked = [(i, text(("en", "de", "fr")[i % 3]), ("en", "de", "fr")[i % 3], None, None) for i in range(90)]
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.predict(frame(spark, asked), samples).collect()}
+    assert all(got[i] == lang for i, _, lang, _, _ in asked)
+
+
 def test_suffix_automaton():
     rng = random.Random(6)
     for _ in range(60):
