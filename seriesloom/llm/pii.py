@@ -158,17 +158,21 @@ def places(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFram
     return map_batches(cols, run, f"row long, key long, places {PLACES}")
 
 
-def lower_bound(hits: Column, n: Column, z: float) -> Column:
-    """The lower end of Wilson's interval for a share."""
+def wilson(hits: Column, n: Column, z: float) -> Column:
+    """An end of Wilson's interval for a share: the lower one for a positive ``z``, the upper one for a negative."""
     p = hits / n
-    return (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+    return (p + z * z / (2 * n) - z * F.sqrt(F.greatest(p * (1 - p), F.lit(0.0)) / n + z * z / (4 * n * n))) / (1 + z * z / n)
 
 
-def bootstrap(found: DataFrame, rounds: int = 3, support: int = 5, confidence: float = 0.85, z: float = 1.645) -> tuple[DataFrame, DataFrame]:
-    """Score the graph of patterns and instances. Returns (pattern, kind, confidence) and (inst, kind, score), both new ones only.
+def bootstrap(found: DataFrame, support: int = 5, confidence: float = 0.6, z: float = 1.645) -> tuple[DataFrame, DataFrame]:
+    """Score the graph of patterns and instances until nothing changes. Returns (pattern, kind, confidence) and (inst, kind, score), both new ones only.
 
-    A pattern's confidence in a kind is the lower bound of the share of its instances of that form which are known: seeds
-    count 1, discovered ones their score. A pattern needs ``support`` distinct seeds. An instance scores as its best pattern.
+    Seeds count 1, discovered instances their score, in the kind they are known as; the others are unlabelled. A pattern's
+    confidence in a kind is the lower bound of the share of that kind among its known instances and its contradicted ones:
+    unlabelled instances of the form that also stand in a context which denies the kind. A pattern denies a kind if it has
+    ``support`` known instances and the upper bound of the kind's share of them is below a half. A pattern counts if it has
+    ``support`` distinct known instances of the kind and reaches ``confidence``, which 5 seeds without a contradiction do (0.65);
+    not if the upper bound of the kind's share of all instances, unlabelled ones included, is below a half. An instance scores as its best pattern. Patterns that count stay, so rounds end.
     Copies of a place count once. Frequent patterns and instances are combined on the map side, and joins put edges on the left.
     """
     spots = found.select(F.explode("places").alias("p")).select("p.inst", "p.kind", "p.shapes", F.explode("p.patterns").alias("pattern"))
@@ -176,15 +180,31 @@ def bootstrap(found: DataFrame, rounds: int = 3, support: int = 5, confidence: f
     edges = materialize(by_kind.select("pattern", "inst", "seed", F.explode("kinds").alias("kind")).groupBy("pattern", "inst", "kind").agg(F.max("seed").alias("seed")))
     spark = found.sparkSession
     known = spark.createDataFrame([], "inst long, kind int, score double")
-    strong = None
-    for _ in range(rounds):
-        scored = edges.join(known, ["inst", "kind"], "left").select("pattern", "inst", "kind", "seed", F.greatest(F.col("seed").cast("double"), F.coalesce("score", F.lit(0.0))).alias("score"))
-        stats = scored.groupBy("pattern", "kind").agg(F.sum("score").alias("hits"), F.count(F.lit(1)).alias("n"), F.sum("seed").alias("seeds"))
-        share = lower_bound(F.col("hits"), F.col("n").cast("double"), z).alias("confidence")
-        strong = materialize(stats.filter(F.col("seeds") >= support).select("pattern", "kind", "n", "seeds", share).filter(F.col("confidence") >= confidence))
-        met = edges.filter("seed = 0").join(strong, ["pattern", "kind"]).groupBy("inst", "kind").agg(F.max("confidence").alias("score"))
-        known = materialize(met)
-    return strong, known
+    strong = spark.createDataFrame([], "pattern string, kind int, confidence double")
+    while True:
+        labelled = edges.join(known.select("inst", F.col("kind").alias("as"), F.col("score").alias("_score")), "inst", "left")
+        score = F.when(F.col("seed") == 1, 1.0).when(F.col("as") == F.col("kind"), F.col("_score")).otherwise(0.0)
+        scored = labelled.select("pattern", "inst", "kind", score.alias("score"), ((F.col("seed") == 0) & F.col("as").isNull()).alias("open"))
+        sums = []
+        for k in range(len(KINDS)):
+            own = F.col("kind") == k
+            sums += [F.sum(F.when(own, F.col("score")).otherwise(0.0)).alias(f"hits{k}"), F.count_if(own & (F.col("score") > 0)).alias(f"known{k}"), F.count_if(own & F.col("open")).alias(f"open{k}")]
+        every = sum((F.col(f"known{k}") for k in range(1, len(KINDS))), F.col("known0"))
+        each = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"hits{k}").alias("hits"), F.col(f"known{k}").alias("known"), F.col(f"open{k}").alias("open"), every.alias("every")) for k in range(len(KINDS))])
+        stats = scored.groupBy("pattern").agg(*sums).select("pattern", F.inline(each)).filter("known + open > 0")
+        every, met = F.col("every").cast("double"), (F.col("every") + F.col("open")).cast("double")
+        denies = F.when(F.col("every") >= support, wilson(F.col("hits"), every, -z) < 0.5).otherwise(F.lit(False))
+        stats = materialize(stats.withColumns({"denies": denies, "rare": wilson(F.col("hits"), met, -z) < 0.5}))
+        denied = scored.filter("open").join(stats.filter("denies").select("pattern", "kind"), ["pattern", "kind"]).select("inst", "kind").distinct()
+        against = scored.filter("open").join(denied, ["inst", "kind"]).groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("against"))
+        able = stats.filter(~F.col("rare") & (F.col("known") >= support)).join(against, ["pattern", "kind"], "left")
+        share = wilson(F.col("hits"), (F.col("every") + F.coalesce("against", F.lit(0))).cast("double"), z)
+        fresh = materialize(able.select("pattern", "kind", share.alias("confidence")).filter(F.col("confidence") >= confidence).join(strong, ["pattern", "kind"], "left_anti"))
+        if fresh.isEmpty():
+            return strong, known
+        strong = materialize(strong.unionByName(fresh))
+        reached = edges.filter("seed = 0").join(strong, ["pattern", "kind"]).groupBy("inst").agg(F.max(F.struct(F.col("confidence").alias("score"), (-F.col("kind")).alias("k"))).alias("best"))
+        known = materialize(reached.select("inst", (-F.col("best.k")).alias("kind"), "best.score"))
 
 
 def span_text(spans: Column) -> Column:
@@ -200,7 +220,7 @@ def personal_data(docs: DataFrame, text: str = "text", key: str = "doc_id", **ho
     """
     found = materialize(places(docs, text, key))
     _, known = bootstrap(found, **how)
-    best = known.groupBy("inst").agg(F.max_by("kind", F.struct("score", -F.col("kind"))).alias("kind"))
+    best = known.select("inst", "kind")
     spots = found.select("row", F.explode("places").alias("p")).filter("p.kind < 0").select("row", "p.start", "p.end", "p.inst")
     new = spots.join(best, "inst").groupBy("row").agg(F.collect_list(F.struct("start", "kind", "end")).alias("new"))
     base = F.transform(F.filter("places", lambda p: p["kind"] >= 0), lambda p: F.struct(p["start"].alias("start"), p["kind"].alias("kind"), p["end"].alias("end")))

@@ -65,6 +65,31 @@ def test_context_discovers_what_no_form_covers(spark):
     assert all([s for s in r["spans"] if s in r["base"]] == r["base"] for r in found)
 
 
+def test_contexts_with_few_seeds(spark):
+    """5 seeds alone, 10 seeds with a third unseen, discoveries that carry a further pattern, and contexts that kinds or counts deny."""
+    rng, rows = random.Random(9), []
+    word = lambda: "".join(rng.choices("bcdfgklm", k=7))
+    short = lambda: f"{rng.randint(100, 999)} {rng.randint(1000, 9999)}"
+    put = lambda doc, text: rows.append((doc, text, None, None, None))
+    for at, seeds, unseen, left in ((0, 5, 1, "ring me"), (100, 10, 5, "reach us"), (300, 5, 40, "part no")):
+        for i in range(seeds + unseen):
+            put(at + i, f"{left} {'+1 555 ' if i < seeds else ''}{short()} {word()}")
+    for i in range(5):  # as many addresses as phones: the context tells no kind
+        put(400 + i, f"seen near +1 555 {short()} {word()}")
+        put(410 + i, f"seen near {word()}@{word()}.com {word()}")
+    put(420, f"seen near {short()} {word()}")
+    shared = [short() for _ in range(12)]
+    for i in range(40):
+        put(500 + i, f"my line +1 555 {short()} {word()}")
+    for i, number in enumerate(shared):
+        put(600 + i, f"my line {number} {word()}")
+        put(700 + i, f"desk extension {number} {word()}")  # no seed stands here
+    put(800, f"desk extension {short()} {word()}")
+    found = pii.personal_data(frame(spark, rows, clash=False)).collect()
+    new = {r["doc_id"] for r in found if len(r["spans"]) > len(r["base"])}
+    assert new == {5, *range(110, 115), *range(600, 612), *range(700, 712), 800}
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_piece_encoder_equals_library(name):
     encoder = tokens.PieceEncoder(tokens.tokenizer_path(name), capacity=50)
