@@ -30,19 +30,34 @@ TOKEN = re.compile(
 )
 NAMED = re.compile(r"""\b(?:class|id|role)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++))""", re.I)
 WORDS_IN_NAME = re.compile("[a-z]+")
-#: Ancestors that describe a block; a description's length, not a text's.
-PATH = 16
-
 PATH_SLOTS, WORD_SLOTS, PATH_DIM, WORD_DIM, HIDDEN = 2048, 4096, 24, 8, 16
 #: Pages that the labeller is fitted on, epochs, and pages that it reads at once.
 SAMPLE_PAGES, EPOCHS, FIT_BATCH = 240, 6, 24
+#: Consecutive blocks of a page that an epoch reads, from another place of the whole page each time; shorter pages are read whole.
+FIT_BLOCKS = 120
+
+
+class Path:
+    """All elements around a place, the innermost with a link to those around it, so that depth costs nothing.
+
+    ``own`` has the names of the innermost element, each with its weight: 1 over the number of times that it is open by now. So a name counts
+    by the logarithm of its repeats, and deep nesting does not drown the other names.
+    """
+
+    __slots__ = ("above", "own", "main", "other")
+
+    def __init__(self, above: Path | None, own: list[tuple[str, float]]):
+        self.above, self.own = above, own
+        self.main = bool(above and above.main) or any(n in MAIN_TAGS or n[:1] == "." and n[1:] in MAIN_WORDS for n, _ in own)
+        self.other = bool(above and above.other) or any(n in OTHER_TAGS or n[:1] == "." and n[1:] in OTHER_WORDS for n, _ in own)
 
 
 class Block:
     __slots__ = ("path", "text", "linked")
 
-    def __init__(self, path: tuple[str, ...], text: str, linked: float):
-        self.path, self.text, self.linked = path, text, linked
+    def __init__(self, path: Path | tuple[str, ...], text: str, linked: float):
+        self.path = path if isinstance(path, Path) else Path(None, [(n, 1.0) for n in path])
+        self.text, self.linked = text, linked
 
 
 def leaf_blocks(page: str) -> list[Block]:
@@ -51,8 +66,9 @@ def leaf_blocks(page: str) -> list[Block]:
     Scripts, styles, comments and markup go. Inline elements stay inside their block. Character references are decoded and
     white space becomes one space. Unclosed and stray tags are taken as browsers do for paragraphs and list items.
     """
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    top, stack = Path(None, []), []
     open_tags: dict[str, int] = {}
+    open_names: dict[str, int] = {}
     found: list[Block] = []
     parts: list[str] = []
     linked = 0
@@ -62,16 +78,17 @@ def leaf_blocks(page: str) -> list[Block]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                path = tuple(n for _, names in stack[-PATH:] for n in names)
-                found.append(Block(path, text, min(1.0, linked / len(text))))
+                found.append(Block(stack[-1][1] if stack else top, text, min(1.0, linked / len(text))))
             parts.clear()
         linked = 0
 
     def pop(tag: str) -> None:
         while stack:
-            top, _ = stack.pop()
-            open_tags[top] -= 1
-            if top == tag:
+            last, path = stack.pop()
+            open_tags[last] -= 1
+            for name, _ in path.own:
+                open_names[name] -= 1
+            if last == tag:
                 return
 
     def add(text: str) -> None:
@@ -101,7 +118,11 @@ def leaf_blocks(page: str) -> list[Block]:
         if tag in VOID or m[4].endswith("/"):
             continue
         words = [w for n in NAMED.findall(m[4]) for w in WORDS_IN_NAME.findall("".join(n).lower())] if "=" in m[4] else []
-        stack.append((tag, (tag, *("." + w for w in words))))
+        own = []
+        for name in (tag, *("." + w for w in words)):
+            open_names[name] = open_names.get(name, 0) + 1
+            own.append((name, 1 / open_names[name]))
+        stack.append((tag, Path(stack[-1][1] if stack else top, own)))
         open_tags[tag] = open_tags.get(tag, 0) + 1
     add(page[at:])
     flush()
@@ -109,15 +130,16 @@ def leaf_blocks(page: str) -> list[Block]:
 
 
 def teacher(block: Block) -> bool:
-    """The weak label: inside a main element or one named so, and in no other part of the page below it."""
-    inside = False
-    for name in block.path:
-        word = name[1:] if name[0] == "." else ""
-        if name in MAIN_TAGS or word in MAIN_WORDS:
-            inside = True
-        elif word in OTHER_WORDS or name in OTHER_TAGS:
-            return False
-    return inside
+    """The weak label: inside a main element or one named so, and in no other part of the page."""
+    return block.path.main and not block.path.other
+
+
+def drawn(items: list, rng: np.random.Generator, most: int = FIT_BLOCKS) -> slice:
+    """At most ``most`` consecutive ones, from anywhere; either end is as likely to be met as the middle."""
+    if len(items) <= most:
+        return slice(0, len(items))
+    at = min(max(int(rng.integers(-most // 2, len(items) - most // 2)), 0), len(items) - most)
+    return slice(at, at + most)
 
 
 def rewrapped(blocks: list[Block], foreign: list[str], rng: np.random.Generator) -> str:
@@ -142,12 +164,14 @@ def rewrapped(blocks: list[Block], foreign: list[str], rng: np.random.Generator)
         tag, name = pick(["div", "section"]), pick(sorted(MAIN_WORDS))
         opened, closed = f'<{tag} {pick(["class", "id"])}="{pick(["", "page-", "post "])}{name}">', f"</{tag}>"
     inner = [f"<h1>{escape(body[0][:60])}</h1>"] if body and rng.random() < 0.7 else []
-    for text in body[:40]:
+    for text in body[drawn(body, rng)]:
         tag = pick(["p", "p", "p", "div", "li", "h2", "blockquote"])
         inner.append(f"<{tag}>{escape(text)}</{tag}>")
         if rng.random() < 0.08:
             inner.append(other())
     around = [other() for _ in range(int(rng.integers(1, 4)))], [other() for _ in range(int(rng.integers(1, 4)))]
+    wraps = [int(rng.integers(30)) if rng.random() < 0.3 else 0 for _ in range(2)]
+    opened, closed = "<div>" * wraps[0] + opened + "<div>" * wraps[1], "</div>" * wraps[1] + closed + "</div>" * wraps[0]
     return "<html><head><title>x</title></head><body>" + "".join(around[0]) + opened + "".join(inner) + closed + "".join(around[1]) + "</body></html>"
 
 
@@ -172,21 +196,38 @@ class Labeller:
             self.p[f"c{d}"][HIDDEN : 2 * HIDDEN] = 1  # remember at first
 
     @staticmethod
-    def slots(blocks: list[Block]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
-        paths = [np.array([zlib.crc32(f"{n}".encode()) % PATH_SLOTS for n in b.path] or [0]) for b in blocks]
+    def slots(blocks: list[Block]) -> tuple[tuple, list[np.ndarray], np.ndarray]:
+        """Of every block its path, words and two numbers. Paths are nodes, each after the one above it: its own slots and weights."""
+        number: dict[int, int] = {}
+        above, own, at = [], [], []
+        for b in blocks:
+            path, line = b.path, []
+            while path is not None and id(path) not in number:
+                line.append(path)
+                path = path.above
+            for path in reversed(line):
+                above.append(-1 if path.above is None else number[id(path.above)])
+                number[id(path)] = len(own)
+                own.append([(zlib.crc32(n.encode()) % PATH_SLOTS, w) for n, w in path.own])
+            at.append(number[id(b.path)])
+        node = np.repeat(np.arange(len(own)), [len(x) for x in own])
+        flat = [x for part in own for x in part]
+        paths = (above, node, np.array([k for k, _ in flat], np.int64), np.array([w for _, w in flat], np.float32), np.array(at, np.int64))
         known = worker_state("word slots", WordSlots)
         words = [np.fromiter(map(known.__getitem__, w), np.int64, len(w)) for w in (b.text.lower().split() for b in blocks)]
         return paths, words, np.array([[np.log1p(len(w)) / 5, b.linked] for b, w in zip(blocks, words)], np.float32)
 
     def inputs(self, slots) -> np.ndarray:
-        paths, words, extra = slots
-
-        def sums(rows: list[np.ndarray], table: np.ndarray, mean: bool) -> np.ndarray:
-            size = np.array([len(r) for r in rows])
-            out = np.add.reduceat(table[np.concatenate(rows)], np.append(0, np.cumsum(size)[:-1]), axis=0)
-            return out / size[:, None] if mean else out
-
-        return np.concatenate([sums(paths, self.p["path"], False), sums(words, self.p["word"], True), extra], axis=1).astype(np.float32)
+        (above, node, slot, weight, at), words, extra = slots
+        table = self.p["path"]
+        sums = np.zeros((len(above), PATH_DIM), table.dtype)
+        np.add.at(sums, node, table[slot] * weight[:, None])
+        for k, up in enumerate(above):
+            if up >= 0:
+                sums[k] += sums[up]
+        size = np.array([len(w) for w in words])
+        means = np.add.reduceat(self.p["word"][np.concatenate(words)], np.append(0, np.cumsum(size)[:-1]), axis=0) / size[:, None]
+        return np.concatenate([sums[at], means, extra], axis=1).astype(np.float32)
 
     @staticmethod
     def padded(pages: list[np.ndarray], back: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -268,8 +309,13 @@ class Labeller:
                 n = len(page)
                 dx_pages[k] += dx[:n, k][::-1] if d == "b" else dx[:n, k]
         for (paths, words, _), dx in zip(slots, dx_pages):
-            size = np.array([len(p) for p in paths])
-            np.add.at(grads["path"], np.concatenate(paths), np.repeat(dx[:, :PATH_DIM], size, axis=0))
+            above, node, slot, weight, at = paths
+            sums = np.zeros((len(above), PATH_DIM), np.float32)
+            np.add.at(sums, at, dx[:, :PATH_DIM])
+            for k in reversed(range(len(above))):
+                if above[k] >= 0:
+                    sums[above[k]] += sums[k]
+            np.add.at(grads["path"], slot, sums[node] * weight[:, None])
             size = np.array([len(w) for w in words])
             np.add.at(grads["word"], np.concatenate(words), np.repeat(dx[:, PATH_DIM : PATH_DIM + WORD_DIM] / size[:, None], size, axis=0))
         state["t"] = t = state.get("t", 0) + 1
@@ -282,25 +328,27 @@ class Labeller:
 
 
 def fit(pages: DataFrame, html: str = "html", key: str = "page_id", sample_pages: int = SAMPLE_PAGES, epochs: int = EPOCHS, seed: int = 7) -> Labeller | None:
-    """Fit on a bounded sample: ``sample_pages`` pages by the hash of their key, each also in two other wrappings."""
+    """Fit on a bounded sample: ``sample_pages`` pages by the hash of their key, each also in two other wrappings.
+
+    Every epoch reads all blocks of a page, or FIT_BLOCKS consecutive ones from a place of the whole page that is drawn anew.
+    """
     rows = pages.filter(F.col(html) != "").orderBy(F.xxhash64(F.col(key)), F.xxhash64(F.col(html))).limit(sample_pages).select(html).collect()
     real = [b for r in rows if (b := leaf_blocks(r[html]))]
     if not real:
         return None
     rng, shown = np.random.default_rng(seed), list(real)
-    texts = [b.text for page in real for b in page][:5000]
+    texts = [b.text for page in real for b in page]
     for page in real:
         for _ in range(2):
             foreign = [texts[int(k)] for k in rng.integers(len(texts), size=6)]
             shown.append(leaf_blocks(rewrapped(page, foreign, rng)))
-    shown = [[Block(b.path, b.text, b.linked) for b in page[:120]] for page in shown if page]
-    data = [(Labeller.slots(page), np.array([teacher(b) for b in page])) for page in shown]
+    shown = [page for page in shown if page]
     model, state = Labeller(seed), {}
     for epoch in range(epochs):
-        order = rng.permutation(len(data))
+        order = rng.permutation(len(shown))
         for at in range(0, len(order), FIT_BATCH):
-            part = [data[int(k)] for k in order[at : at + FIT_BATCH]]
-            model.step([s for s, _ in part], [y for _, y in part], state, 0.02 / (1 + epoch))
+            part = [page[drawn(page, rng)] for page in (shown[int(k)] for k in order[at : at + FIT_BATCH])]
+            model.step([Labeller.slots(page) for page in part], [np.array([teacher(b) for b in page]) for page in part], state, 0.02 / (1 + epoch))
     return model
 
 

@@ -366,6 +366,37 @@ def test_page_text(spark):
     assert all(r["n_chars"] == len(r["text"]) for r in got.values())
 
 
+def test_deep_pages(spark):
+    """More than 16 levels above a block, unclosed elements, and pages of which only the end has an article."""
+    for depth in (17, 40, 3000):
+        deep = "<article>" + "<div>" * depth + "<p>text" + "</div>" * depth + "</article><div class=comments>" + "<ul><li><b>" * depth + "reply"
+        assert [(b.text, html_extract.teacher(b)) for b in html_extract.leaf_blocks(deep)] == [("text", True), ("reply", False)]
+    rng = random.Random(12)
+    text = lambda n: " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(n))
+    rows, want = [], {}
+    for i in range(160):
+        body, wraps = [text(rng.randint(3, 40)) for _ in range(4)], 25 if i % 2 else 1
+        want[i] = " ".join(body)
+        menu = "".join(f"<li>{text(2)}" for _ in range(150 if i % 3 == 0 else 2))
+        inner = "".join(f"<p>{b}</p>" for b in body)
+        rows.append((i, "u", f"<body><nav><ul>{menu}</ul></nav><article>{'<div>' * wraps}{inner}{'</div>' * wraps}</article><section id=comments>{'<div>' * wraps}<p>{text(8)}</p>{'</div>' * wraps}</section></body>"))
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_extract.main_text(table, html_extract.fit(table, sample_pages=160)).collect()}
+    assert got == want
+
+
+def test_fitting_reads_whole_pages():
+    rng, met = np.random.default_rng(1), set()
+    for _ in range(200):
+        part = range(1000)[html_extract.drawn(range(1000), rng)]
+        assert len(part) == html_extract.FIT_BLOCKS
+        met |= set(part)
+    assert met == set(range(1000))
+    page = html_extract.leaf_blocks("<article>" + "".join(f"<p>t{i}</p>" for i in range(300)) + "</article>")
+    shown = {w for _ in range(30) for w in html_extract.rewrapped(page, ["x"], rng).replace("<", " ").replace(">", " ").split()}
+    assert {f"t{i}" for i in range(300)} <= shown
+
+
 def test_labeller_gradients():
     """Back-propagation through time against finite differences."""
     pages = [[html_extract.Block(("body", "p"), "a b", 0.0), html_extract.Block(("nav", "li"), "c", 1.0)], [html_extract.Block(("article",), "d e f", 0.0)] * 3]
