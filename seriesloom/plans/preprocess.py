@@ -62,15 +62,14 @@ def preprocess_observations(
     return values.unionByName(calendar)
 
 
-def with_last_known(obs: DataFrame, marks: DataFrame, lookback: str, data_type: str = "engineered_data") -> DataFrame:
-    """Observations newer than their location's mark, and each series' last one up to it within ``lookback``."""
+def with_last_known(obs: DataFrame, marks: DataFrame, data_type: str = "engineered_data") -> DataFrame:
+    """Observations newer than their location's mark, and each series' last one up to it, however old."""
     known = marks.where(F.col("data_type") == data_type).select(*LOCATION, F.col("timestamp").alias("_mark"))
-    age = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(frequency_seconds(lookback)))
-    near = obs.join(known, LOCATION, "left").where(F.col("_mark").isNull() | (F.col("timestamp") >= F.col("_mark") - age))
-    old = near.where((F.col("timestamp") <= F.col("_mark")) & F.col("value").isNotNull())
+    marked = obs.join(known, LOCATION, "left")
+    old = marked.where((F.col("timestamp") <= F.col("_mark")) & F.col("value").isNotNull())
     last = old.groupBy(*SERIES).agg(F.max("timestamp").alias("_last"))
     return (
-        near.join(last, SERIES, "left")
+        marked.join(last, SERIES, "left")
         .where(F.col("_mark").isNull() | (F.col("timestamp") > F.col("_mark")) | (F.col("timestamp") >= F.col("_last")))
         .drop("_mark", "_last")
     )
@@ -78,15 +77,14 @@ def with_last_known(obs: DataFrame, marks: DataFrame, lookback: str, data_type:
 
 def run_preprocess(
     spark: SparkSession, root: str, obs: DataFrame, update_date, marks: DataFrame | None = None, step: str = "1h",
-    lookback: str = "30D",
 ) -> None:
     """Process what is newer than the marks (everything without marks) and save it.
 
-    With marks, each series starts from its last observation up to the mark, looked for in ``lookback`` before it,
+    With marks, each series starts from its last observation up to the mark, however old,
     so the hours between that and the first new observation are filled as a full run fills them.
     """
     with scratch_scope(spark):
-        fresh = materialize(obs if marks is None else with_last_known(obs, marks, lookback))
+        fresh = materialize(obs if marks is None else with_last_known(obs, marks))
         # The completed axis has one row per step, or the observed rows where they are denser.
         steps = max(60, frequency_seconds(step) * 50_000 // 60)
         width = min(suggest_width(fresh, SERIES, "timestamp"), f"{steps}min", key=frequency_seconds)

@@ -123,3 +123,19 @@ def test_a_run_from_the_marks_fills_the_gap_before_it(spark, tmp_path):
     full, parts = (spark.read.parquet(f"{tmp_path}/{x}/features") for x in ("full", "parts"))
     assert full.where("variable_code = 'wind'").count() == 13
     assert full.exceptAll(parts.select(*full.columns)).count() == 0 and parts.count() == full.count()
+
+
+def test_a_run_from_the_marks_fills_gaps_of_any_length(spark, tmp_path):
+    """One series is silent for over 30 days before the mark, which another one of its location sets: two runs equal one."""
+    hours = [("wind", h) for h in (0, 1000, 1005)] + [("rain", h) for h in (0, 1, 1010)]
+    rows = [(START + timedelta(hours=h), 41.0, 2.0, name, float(h)) for name, h in hours]
+    obs = spark.createDataFrame(
+        rows, "timestamp timestamp_ntz, latitude double, longitude double, variable_code string, value double"
+    )
+    preprocess.run_preprocess(spark, f"{tmp_path}/full", obs, UPDATED)
+    preprocess.run_preprocess(spark, f"{tmp_path}/parts", obs.where("value <= 1000"), UPDATED)
+    marks = materialize(spark.read.parquet(f"{tmp_path}/parts/marks"))
+    preprocess.run_preprocess(spark, f"{tmp_path}/parts", obs, UPDATED, marks)
+    full, parts = (spark.read.parquet(f"{tmp_path}/{x}/features") for x in ("full", "parts"))
+    assert full.where("variable_code = 'rain'").count() == 1011
+    assert full.exceptAll(parts.select(*full.columns)).count() == 0 and parts.count() == full.count()
