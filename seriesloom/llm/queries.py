@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize, scratch_path
-from . import binary_ids, decontam, exact_dedup, html_extract, langid, packing, pii, simhash, token_count, warc
+from . import binary_ids, decontam, exact_dedup, html_extract, langid, minhash, packing, phrases, pii, resample, simhash, token_count, warc
 
 Q, O = {}, {}
 
@@ -128,3 +128,79 @@ def op10_language_id(spark: SparkSession, path: str) -> DataFrame:
     docs = table(spark, path, "documents").select("doc_id", "text", "lang").withColumn("held_out", langid.held_out())
     samples = langid.fit(docs.filter(~F.col("held_out")))
     return langid.predict(docs, samples).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op11_importance_resampling(spark: SparkSession, path: str) -> DataFrame:
+    return resample.resample(documents(spark, path), table(spark, path, "benchmark"))
+
+
+# crc32 by its bits: one byte at a time against a table that the polynomial gives.
+O["op11_importance_resampling"] = f"""
+WITH d AS ({_words('doc_id')} FROM documents),
+b AS ({_words('item_id')} FROM benchmark),
+dw AS (SELECT doc_id, unnest(w) AS word FROM d),
+bw AS (SELECT unnest(w) AS word FROM b),
+poly AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i,
+  list_reduce(list_prepend(i, range(8)), lambda x, _: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) AS v
+  FROM range(256) g(i))),
+bytes AS (SELECT word, list_transform(range(1, strlen(word) + 1), lambda k: CAST(('0x' || substr(hex(encode(word)), CAST(2 * k - 1 AS INT), 2)) AS BIGINT)) AS u
+  FROM (SELECT word FROM dw UNION SELECT word FROM bw)),
+sums AS (SELECT word, xor(list_reduce(list_prepend(4294967295, u), lambda x, y: xor(x >> 8, t[xor(x & 255, y) + 1])), 4294967295) % 10000 AS bucket FROM bytes, poly),
+s AS (SELECT bucket, count(*) AS s FROM dw JOIN sums USING (word) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM bw JOIN sums USING (word) GROUP BY bucket),
+gain AS (SELECT s.bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM dw) + 10000)
+  / ((s + 1)::DOUBLE * ((SELECT count(*) FROM bw) + 10000)))) AS BIGINT) AS g FROM s LEFT JOIN t USING (bucket)),
+weights AS (SELECT doc_id, count(*) AS n_features, CAST(floor(sum(g)::DOUBLE / count(*)) AS BIGINT) AS weight
+  FROM dw JOIN sums USING (word) JOIN gain USING (bucket) GROUP BY doc_id),
+scored AS (SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+  coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+  FROM d LEFT JOIN weights USING (doc_id)),
+best AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= n * 10 // 100 THEN place END AS rank FROM scored LEFT JOIN best USING (doc_id)
+"""
+
+
+@query
+def op12_minhash_near_dedup(spark: SparkSession, path: str) -> DataFrame:
+    return minhash.keep_one(documents(spark, path))
+
+
+O["op12_minhash_near_dedup"] = r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(
+  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM d),
+f AS (SELECT doc_id, len(g) AS n, unnest(g) AS h FROM s),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b FROM f x JOIN f y ON x.h = y.h AND x.doc_id < y.doc_id AND 100 * least(x.n, y.n) >= 85 * greatest(x.n, y.n)
+  GROUP BY a, b HAVING 100 * count(*) >= 85 * (max(x.n) + max(y.n) - count(*))),
+e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r AS (SELECT doc_id AS node, doc_id AS root FROM s UNION SELECT e.b, r.root FROM r JOIN e ON r.node = e.a WHERE r.root < e.b)
+SELECT doc_id, CAST(len(g) AS BIGINT) AS n_shingles, least(doc_id, root) AS component_id, doc_id = least(doc_id, root) AS kept
+FROM s JOIN (SELECT node, min(root) AS root FROM r GROUP BY node) ON doc_id = node
+"""
+
+
+@query
+def op13_phrase_collocations(spark: SparkSession, path: str) -> DataFrame:
+    return phrases.collocations(table(spark, path, "documents").select("lang", "text"))
+
+
+O["op13_phrase_collocations"] = r"""
+WITH pieces AS (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?
+-]')) AS p FROM (SELECT coalesce(lang, 'und') AS lang,
+  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents)),
+w AS (SELECT lang, list_filter(regexp_split_to_array(p, '[ 	]+'), lambda x: x <> '') AS w FROM pieces),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, range(1, 4) g(k) WHERE len(w) >= k)) GROUP BY ALL),
+n AS (SELECT lang, sum(len(w)) AS n FROM w GROUP BY lang),
+c AS (SELECT lang, phrase, a, string_split(phrase, ' ') AS v FROM f WHERE k > 1 AND a >= 10),
+cut AS (SELECT lang, phrase, a, k, array_to_string(v[:k], ' ') AS first, array_to_string(v[k + 1:], ' ') AS rest FROM c, range(1, 3) g(k) WHERE k < len(v)),
+scored AS (SELECT cut.lang, cut.phrase, cut.a, cut.k, x.a AS l, y.a AS r, CAST(1000000::HUGEINT * cut.a * cut.a // (x.a::HUGEINT * y.a) AS BIGINT) AS score
+  FROM cut JOIN f x ON x.lang = cut.lang AND x.phrase = first JOIN f y ON y.lang = cut.lang AND y.phrase = rest),
+worst AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS o FROM scored),
+inner_ AS (SELECT lang, array_to_string(v[i:i + 1], ' ') AS phrase, max(a) AS longer FROM c, range(1, 3) g(i) WHERE len(v) = 3 GROUP BY ALL),
+kept AS (SELECT worst.* FROM worst LEFT JOIN inner_ USING (lang, phrase) WHERE o = 1 AND (longer IS NULL OR 100 * longer < 50 * a)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score FROM placed JOIN n USING (lang) WHERE rank <= 2000
+"""
