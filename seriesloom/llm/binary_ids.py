@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,9 +15,24 @@ from ..session import materialize
 from .common import map_batches, partitions, text_or_empty
 from .tokens import tokenizer_path, worker_encoder
 
+#: Rows and bytes of text that are encoded at a time; a longer text alone.
+SLICE_ROWS, SLICE_BYTES = 4096, 8 << 20
 SCHEMA = "doc_id long, shard int, start_in_shard long, n_tokens long, ids array<int>"
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of a bounded number of rows and bytes of the second column."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+    first = held = 0
+    for k, size in enumerate(sizes.tolist()):
+        if k > first and (k - first >= SLICE_ROWS or held + size > SLICE_BYTES):
+            yield batch.slice(first, k - first)
+            first, held = k, 0
+        held += size
+    if batch.num_rows > first:
+        yield batch.slice(first)
+
+
 def write_ids(docs: DataFrame, folder: str, path: str | None = None, text: str = "text", key: str = "doc_id", end_id: int = 1, stripe_bytes: int = 32 << 20, index_rows: int = 1000) -> None:
     """Encode whole texts, append ``end_id``, and write ORC files in ascending order of the key (nulls first, ties by a hash of the text).
 
@@ -25,21 +41,20 @@ def write_ids(docs: DataFrame, folder: str, path: str | None = None, text: str =
     """
     path = path or tokenizer_path("word_bpe_49k.json")
     spark = docs.sparkSession
-    end = np.asarray([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         shard, at = TaskContext.get().partitionId(), 0
         for whole in batches:
-            for first in range(0, whole.num_rows, 512):
-                batch = whole.slice(first, 512)
-                encode = worker_encoder(path).blob
-                blobs = [encode(t) + end for t in batch.column(1).to_pylist()]
-                sizes = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
-                ends = np.cumsum(sizes)
-                ids = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(np.frombuffer(b"".join(blobs), "<i4")))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(len(blobs), shard, np.int32)), pa.array(at + ends - sizes), pa.array(sizes), ids], names=["doc_id", "shard", "start_in_shard", "n_tokens", "ids"])
+            for batch in slices(whole):
+                flat, ends = worker_encoder(path).batch(batch.column(1).to_pylist())
+                n = np.arange(1, len(ends) + 1)
+                ids = np.insert(flat.view("<i4"), ends, end_id)
+                ends = ends + n
+                sizes = np.diff(np.append(0, ends))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(len(n), shard, np.int32)), pa.array(at + ends - sizes), pa.array(sizes), lists], names=["doc_id", "shard", "start_in_shard", "n_tokens", "ids"])
                 at += int(ends[-1])
 
     cols = docs.select(F.col(key).cast("long").alias("doc_id"), text_or_empty(text).alias("text")).withColumn("tie", F.xxhash64("text"))

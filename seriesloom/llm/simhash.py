@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import map_batches, partitions, text_or_empty
+from .common import hidden, map_batches, partitions, text_or_empty, worker_state
 
 SEED = 42
 #: Bits of the blocks that a pair at distance 3 or less must share two of.
@@ -41,15 +41,16 @@ def fingerprint(text: str, words_per_shingle: int = 3) -> int:
     return int(np.packbits(2 * set_bits > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", words_per_shingle: int = 3) -> DataFrame:
-    """key and fp (the fingerprint as a signed long) of every row."""
+def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", words_per_shingle: int = 3, *carried: str) -> DataFrame:
+    """key, fp (the fingerprint as a signed long) and the ``carried`` numbers of every row."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        worker_state("fingerprints", dict)  # caches of other operators go
         found = np.fromiter((fingerprint(t, words_per_shingle) for t in batch.column(1).to_pylist()), np.uint64, batch.num_rows)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=[key, "fp"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64)), *batch.columns[2:]], names=[key, "fp", *carried])
 
-    cols = docs.select(F.col(key).cast("long").alias(key), text_or_empty(text))
-    return map_batches(cols, run, f"`{key}` long, fp long")
+    cols = docs.select(F.col(key).cast("long").alias(key), text_or_empty(text), *[F.col(c).cast("long").alias(c) for c in carried])
+    return map_batches(cols, run, ", ".join(f"`{c}` long" for c in (key, "fp", *carried)))
 
 
 def pivots(n: int) -> np.ndarray:
@@ -110,7 +111,7 @@ def link_groups(group: np.ndarray, fp: np.ndarray, most: int, n_pivots: int) ->
 def links(classes: DataFrame, most: int = 3, n_pivots: int = 16) -> DataFrame:
     """Pairs (a, b) of class ids that connect all classes whose fingerprints differ in at most ``most`` bits.
 
-    ``classes``: root (class id), fp. Two fingerprints at distance 3 or less agree on two of five blocks of bits, which gives ten
+    ``classes``: root (class id, unique and never null), fp. Two fingerprints at distance 3 or less agree on two of five blocks of bits, which gives ten
     buckets for each; buckets of one row go. A bucket of more than TILE rows is dealt into tiles, and every pair of tiles is a
     group, so no group has more than 2 x TILE rows whatever a bucket's size. A group gives one link for each row that it joins to
     a smaller one, not all pairs.
@@ -185,22 +186,34 @@ def near_components(docs: DataFrame, text: str = "text", key: str = "doc_id", mo
     """key, fp and component_id of every row: the smallest id reachable over links of at most ``most`` differing bits.
 
     Rows of one fingerprint are one class, so copies cost nothing beyond their class. Null texts count as empty; texts without
-    words have fingerprint 0 and are linked like any other. Null ids take no part in the choice of a smallest id; a component
+    words have fingerprint 0 and are linked like any other. Null ids take no part in the choice of a smallest id, but their rows link others; a component
     of null ids alone has a null one. Repeated rows share a class. Other columns are ignored; an empty table gives no rows.
     """
     fps = materialize(fingerprints(docs, text, key, words_per_shingle))
-    classes = materialize(fps.groupBy("fp").agg(F.min(key).alias("root")))
-    found = components(links(classes.filter("root IS NOT NULL"), most, n_pivots))
-    named = classes.join(found.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left")
-    named = named.select("fp", F.coalesce("to", "root").alias("component_id"))
-    return fps.join(named, "fp", "left").select(key, "fp", "component_id")
+    return fps.join(named_classes(fps, key, most, n_pivots), "fp").select(key, "fp", "component_id")
+
+
+def named_classes(fps: DataFrame, key: str, most: int, n_pivots: int) -> DataFrame:
+    """fp and component_id of every distinct fingerprint. Classes are linked by their fingerprints, ids are attached after."""
+    classes = materialize(fps.groupBy("fp").agg(F.min(key).alias("least")))
+    found = components(links(classes.select(F.col("fp").alias("root"), "fp"), most, n_pivots))
+    named = materialize(classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    return named.join(smallest, "root").select("fp", "component_id")
 
 
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", **how) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of their component; rows with a null id stay."""
-    found = near_components(docs, text, key, **how)
-    gone = found.filter(F.col(key) != F.col("component_id")).select(key).distinct()
-    return docs.join(gone, key, "left_anti").select(*docs.columns)
+    """The rows of ``docs`` whose id is the smallest of their component, in it; rows with a null id stay.
+
+    Rows go by id and text, so a row that repeats an id with a text of another component stands for itself.
+    """
+    own = hidden(docs, "hash", "doc")
+    held = docs.withColumns({own["hash"]: F.xxhash64(F.coalesce(F.col(text), F.lit(""))), own["doc"]: F.col(key).cast("long")})
+    cols = docs.select(F.col(key).cast("long").alias("doc"), text_or_empty(text).alias("text"))
+    fps = materialize(fingerprints(cols.withColumn("hash", F.xxhash64("text")), "text", "doc", how.get("words_per_shingle", 3), "hash"))
+    named = named_classes(fps, "doc", how.get("most", 3), how.get("n_pivots", 16))
+    gone = fps.join(named, "fp").filter(F.col("doc") != F.col("component_id")).select("doc", "hash").distinct()
+    return held.join(gone, (held[own["doc"]] == gone["doc"]) & (held[own["hash"]] == gone["hash"]), "left_anti").select(*docs.columns)
 
 
 def hex_digits(fp: str = "fp"):

@@ -1,10 +1,10 @@
 """Token ids of whole texts as the ``tokenizers`` library gives them, with a cache of space-led pieces.
 
-A byte-level tokenizer without a normaliser, and the lower-casing one that drops white space, never join what stands on
+Texts of Latin letters, ASCII signs and single spaces go to ``tiktoken`` whole, which is given the vocabulary of the very same file and a
+pattern that equals the file's on such texts. Others are put together from pieces: a byte-level tokenizer without a normaliser, and the lower-casing one that drops white space, never join what stands on
 both sides of a single space. So a text is cut before every space, each distinct piece is encoded once for a worker, and a
-text's ids are the joined ids of its pieces. Pieces of letters, stops and line ends go through ``tiktoken``, which is given the
-vocabulary of the very same file and merges three times as fast; every other piece, texts with two spaces in a row, and
-tokenizers of any other make go to the library itself. The tests hold both ways against each other.
+text's ids are the joined ids of its pieces. Pieces of letters, stops and line ends go through ``tiktoken``, too; every other piece, texts with two spaces in a row, and
+tokenizers of any other make go to the library itself. The tests hold the ways against each other.
 """
 
 from __future__ import annotations
@@ -14,14 +14,27 @@ import re
 from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from .common import worker_state
 
 #: Most pieces that a worker remembers in each of two generations; a piece that is used again moves to the younger one.
-CACHE_PIECES = 150_000
+CACHE_PIECES = 100_000
+#: Longer pieces are encoded anew each time, so a cache holds some 30 MB at most.
+CACHE_LENGTH = 128
 #: Letters of the Latin blocks that every Unicode version has, but for the dotted I, whose lower case is two characters; then ASCII signs but for the apostrophe, which can open a
 #: contraction. Such a piece is one pre-token, or two.
-PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([!-&(-/:-@\[-`{-~]*)")
+LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ɏ"
+PLAIN = re.compile(rf"([{LETTERS}]+)([!-&(-/:-@\[-`{{-~]*)")
+#: Texts of these alone can go to ``tiktoken`` whole.
+SIMPLE = re.compile(rf"[ -~\n{LETTERS}]*")
+#: The pattern of the file that marks ends of words, and what it finds besides letters in a simple text whose white space is the mark.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+MARK = "\x01"
+SIGNS = re.compile(rf"'(?:[sdmt]|ll|ve|re)|[0-9]|[^{MARK}0-9{LETTERS}]+")
+#: The byte-level pattern where no white space follows white space.
+BYTE_PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s"
 END_OF_WORD = "</w>"
 
 
@@ -38,10 +51,10 @@ def byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def merge_engine(spec: dict, suffix: str | None):
+def merge_engine(spec: dict, suffix: str | None, pattern: str = r"\S+", end: bytes = b"\xff"):
     """A ``tiktoken`` encoding with the file's ids as ranks, or None where ids don't follow the order of the merges.
 
-    The end of a word is the byte 255, which UTF-8 never has.
+    The end of a word is the byte 255, which UTF-8 never has, or another one that the texts in question don't have.
     """
     import tiktoken
 
@@ -57,10 +70,12 @@ def merge_engine(spec: dict, suffix: str | None):
         if token not in special:
             word_end = bool(suffix) and token.endswith(suffix)
             body = token[: -len(suffix)] if word_end else token
-            ranks[bytes(symbols[c] for c in body) + b"\xff" * word_end] = i
+            raw = bytes(symbols[c] for c in body)
+            if not suffix or end not in raw:
+                ranks[raw + end * word_end] = i
     if suffix:
-        ranks[b"\xff"] = max(vocab.values()) + 1  # never left alone: a word's last byte takes it first
-    return tiktoken.Encoding("file", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})
+        ranks[end] = max(vocab.values()) + 1  # never left alone: a word's last byte takes it first
+    return tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
 class PieceEncoder:
@@ -76,6 +91,14 @@ class PieceEncoder:
         spec = json.loads(self.tok.to_str())
         self.kind = self._kind(spec)
         self.engine = None if self.kind == "whole" else merge_engine(spec, END_OF_WORD if self.kind == "bare" else None)
+        self.texts = None
+        if self.engine is not None and self.kind == "led":
+            self.texts = merge_engine(spec, None, BYTE_PATTERN)
+        elif self.engine is not None and spec["pre_tokenizer"]["pretokenizers"][0]["pattern"] == {"Regex": WORD_PATTERN}:
+            self.texts = merge_engine(spec, END_OF_WORD, rf"[^{MARK}]+{MARK}", MARK.encode())
+            vocabulary = spec["model"]["vocab"]
+            self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends_word[[i for token, i in vocabulary.items() if token.endswith(END_OF_WORD)]] = True
         self.pieces = Pieces(self, " " if self.kind == "led" else "")
         self.heads = self.pieces if self.kind == "bare" else Pieces(self, "")
         self.stops = Stops(self, "")
@@ -117,7 +140,54 @@ class PieceEncoder:
     def blobs(self, texts: list[str]) -> list[bytes]:
         return [self.blob(t) for t in texts]
 
+    def simple(self, text: str) -> list[int] | None:
+        """The ids of a simple text, or None for any other."""
+        if self.texts is None or "<|" in text or not SIMPLE.fullmatch(text):
+            return None
+        if self.kind == "led":
+            if "  " in text or "\n" in text and ("\n\n" in text or " \n" in text or "\n " in text):
+                return None
+            return self.texts._core_bpe.encode_ordinary(text)
+        return self.texts._core_bpe.encode_ordinary(self.marked(text) + MARK)
+
+    @staticmethod
+    def marked(text: str) -> str:
+        """A simple text with a mark between its words and runs of signs."""
+        return SIGNS.sub(rf"{MARK}\g<0>{MARK}", text.lower().replace(" ", MARK).replace("\n", MARK))
+
+    def batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and where each text ends."""
+        plain = []
+        if self.kind == "bare" and self.texts is not None:
+            plain = [k for k, t in enumerate(texts) if "<|" not in t and SIMPLE.fullmatch(t)]
+        ids, ends = self._by_words([texts[k] for k in plain]) if plain else (np.zeros(0, "<u4"), np.zeros(0, np.int64))
+        if len(plain) == len(texts):
+            return ids, ends
+        cuts = [0, *ends.tolist()]
+        done = {k: ids[a:b].tobytes() for k, a, b in zip(plain, cuts, cuts[1:])}
+        blobs = [done[k] if k in done else self.blob(t) for k, t in enumerate(texts)]
+        return np.frombuffer(b"".join(blobs), "<u4"), np.cumsum([len(b) // 4 for b in blobs], dtype=np.int64)
+
+    def _by_words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Each distinct word of the batch is encoded once; a token that ends a word tells where the next begins."""
+        parts = pc.split_pattern(pa.array([self.marked(t) for t in texts], pa.large_string()), MARK)
+        coded = parts.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        ids = np.array(self.texts._core_bpe.encode_ordinary(MARK.join(w for w in words if w) + MARK), "<u4")
+        if not any(words):
+            return np.zeros(0, "<u4"), np.zeros(len(texts), np.int64)
+        last = np.flatnonzero(self.ends_word[ids]) + 1
+        sizes = np.zeros(len(words), np.int64)
+        sizes[[k for k, w in enumerate(words) if w]] = np.diff(np.append(0, last))
+        first, at = np.cumsum(sizes) - sizes, coded.indices.to_numpy()
+        lengths = sizes[at]
+        stops = np.cumsum(lengths)
+        flat = ids[np.repeat(first[at] - (stops - lengths), lengths) + np.arange(stops[-1])]
+        return flat, np.append(0, stops)[parts.offsets.to_numpy()[1:]]
+
     def blob(self, text: str) -> bytes:
+        if (ids := self.simple(text)) is not None:
+            return array("I", ids).tobytes()
         if self.kind == "whole" or (self.kind == "led" and "  " in text):
             return self.whole(text)
         for held in (self.pieces, self.heads, self.stops):
@@ -155,10 +225,12 @@ class Pieces(dict):
                 if (out := self.old_words.get(word)) is None:
                     raw = (self.space + word.lower() if self.end else self.space + word).encode() + self.end
                     out = array("I", self.single(raw)).tobytes()
-                self.words[word] = out
+                if len(word) <= CACHE_LENGTH:
+                    self.words[word] = out
             if stops:
                 out += self.encoder.stops[stops]
-        self[piece] = out
+        if len(piece) <= CACHE_LENGTH:
+            self[piece] = out
         return out
 
 
