@@ -318,17 +318,60 @@ def test_language_with_little_labelled_text(spark):
     assert all(got[i] == lang for i, _, lang, _, _ in asked)
 
 
-def test_suffix_automaton():
+def phrases(text, known):
+    """The greedy parse: each phrase is the longest start of the rest that stands in ``known``, or a letter."""
+    n, at = 0, 0
+    while at < len(text):
+        size = 1
+        while at + size < len(text) and text[at : at + size + 1] in known:
+            size += 1
+        n, at = n + 1, at + size
+    return n
+
+
+@pytest.mark.parametrize(("block", "most"), [(7, 1 << 31), (1024, 700)])
+def test_parser(monkeypatch, block, most):
+    monkeypatch.setattr(langid, "MOST_KEYS", most)
+    monkeypatch.setattr(langid, "BLOCK", block)
+    monkeypatch.setattr(langid, "AT_A_TIME", 60)
     rng = random.Random(6)
-    for _ in range(60):
-        text, other = ("".join(rng.choices("abc", k=rng.randint(0, 30))) for _ in range(2))
-        n, at = 0, 0
-        while at < len(other):
-            size = 1
-            while at + size < len(other) and other[at : at + size + 1] in text and other[at : at + size] in text:
-                size += 1
-            n, at = n + 1, at + size
-        assert langid.SuffixAutomaton(text).phrases(other) == n
+    for _ in range(40):
+        samples = tuple((str(k), f" {' '.join(''.join(rng.choices('abcé', k=rng.randint(1, 6))) for _ in range(rng.randint(1, 12)))} ") for k in range(rng.randint(0, 4)))
+        texts = ["".join(rng.choices("abcéÉXİ中 .1\n", k=rng.randint(0, 40))) for _ in range(20)] + ["", " ", "..a", "b"]
+        got = langid.parse(langid.parsers(langid.tables_of(samples)), texts).tolist()
+        for text, counts in zip(texts, got):
+            words = langid.normal(text).split()
+            run = f" {' '.join(words)} " if words else ""
+            parts = [run[k : k + block] for k in range(0, len(run), block)]
+            assert counts == [*(sum(phrases(p, known) for p in parts) for _, known in samples), sum(map(len, words))]
+
+
+def test_more_labels_than_are_learned(spark):
+    rows = [(i, ENGLISH, f"junk{i}" if i % 2 else "en", None, None) for i in range(60)]
+    samples = langid.fit(frame(spark, rows), most=3)
+    assert [k for k, _ in samples] == ["en", "junk1", "junk11"]
+
+
+def test_a_null_language_is_told(spark):
+    rows = [(i, ENGLISH, "en", None, None) for i in range(20)] + [(100, ENGLISH, None, None, None), (101, "1 2", None, None, None)]
+    kept = {r["doc_id"]: r["lang"] for r in langid.keep_known(frame(spark, rows)).collect()}
+    assert kept[100] == "en" and 101 not in kept and len(kept) == 21
+
+
+def test_near_copies_bridged_by_a_null_id(spark):
+    """Texts too far apart are linked through one whose id is null, and rows that repeat an id go by their text."""
+    rng = random.Random(9)
+    words = [f"w{k}" for k in range(60)]
+    while True:
+        a, n, b = (" ".join(x) for x in (words, [*words[:-1], f"x{rng.random()}"], [f"y{rng.random()}", *words[1:-1], f"x{rng.random()}"]))
+        f = [simhash.fingerprint(t) for t in (a, n, b)]
+        if (f[0] ^ f[1]).bit_count() <= 3 and (f[1] ^ f[2]).bit_count() <= 3 < (f[0] ^ f[2]).bit_count():
+            break
+    docs = frame(spark, [(1, a, None, None, None), (2, b, None, None, None), (None, n, None, None, None)])
+    assert {r["doc_id"]: r["component_id"] for r in simhash.near_components(docs).collect()} == {1: 1, 2: 1, None: 1}
+    other = "quite another text that is like none of the others at all"
+    docs = frame(spark, [(2, a, None, None, None), (5, a, None, None, None), (5, other, None, None, None)])
+    assert sorted((r["doc_id"], r["text"]) for r in simhash.keep_one(docs).collect()) == sorted([(2, a), (5, other)])
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><nav><ul><li><a href="/">Menu one</a><li>two</ul></nav>
