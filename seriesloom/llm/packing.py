@@ -5,10 +5,11 @@ from __future__ import annotations
 import random
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -120,7 +121,7 @@ def evolve(lengths: list[int], capacity: int, seed: int, known: list[list[int]],
     return min(people, key=Grouping.fitness).assignment()
 
 
-SHARD = "shard long, doc array<long>, piece array<int>, start array<long>, length array<int>, crc array<long>"
+SHARD = "part long, number long, doc array<long>, piece array<int>, start array<long>, length array<int>, crc array<long>"
 
 
 def shards(pieces: DataFrame, size: int) -> DataFrame:
@@ -129,12 +130,12 @@ def shards(pieces: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        number, held = TaskContext.get().partitionId() << 32, []
+        part, number, held = TaskContext.get().partitionId(), 0, []
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64())
 
         def row(rows: pa.Table) -> pa.RecordBatch:
             lists = [pa.array([rows.column(c).to_pylist()], pa.list_(t)) for c, t in enumerate(kinds)]
-            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *lists], names=["shard", "doc", "piece", "start", "length", "crc"])
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([number], pa.int64()), *lists], names=["part", "number", "doc", "piece", "start", "length", "crc"])
 
         for batch in batches:
             held = pa.Table.from_batches([*(held.to_batches() if held else []), batch])
@@ -144,12 +145,45 @@ def shards(pieces: DataFrame, size: int) -> DataFrame:
         if held and held.num_rows:
             yield row(held)
 
-    return pieces.mapInArrow(run, SHARD)
+    dealt = materialize(pieces.mapInArrow(run, SHARD))
+    # One row for each task: shards are numbered without gaps, so that ids stay small whatever the number of tasks.
+    sizes = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return dealt.join(before, "part").withColumn("shard", F.col("before") + F.col("number")).drop("part", "number", "before")
 
 
 def pack(pieces: DataFrame, capacity: int = 2048, shard_pieces: int = 4096, islands: int = 2, epochs: int = 2, population: int = 4, generations: int = 6) -> DataFrame:
     """``pieces`` (see PIECE, none longer than ``capacity``) with sequence_id and offset.
 
+    Shards are packed apart (``pack_shards``). The pieces of sequences with more than ``capacity`` / 32 free then come together in new, full
+    shards and are packed again, until they fit one shard or the number of their sequences doesn't shrink, so that the result hardly
+    depends on how the rows lie in partitions. Of both packings of a round the one with fewer sequences counts.
+    """
+    how = (capacity, shard_pieces, islands, epochs, population, generations)
+    packed = materialize(pack_shards(pieces, *how))
+    done, base = [], 0
+    while True:
+        fills = packed.groupBy("sequence_id").agg(F.sum("length").alias("fill"), F.count(F.lit(1)).alias("n"))
+        low = materialize(fills.filter(F.col("fill") < capacity - capacity // 32))
+        before, n = low.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+        top = packed.agg(F.max("sequence_id")).first()[0]
+        if before < 2 or top // shard_pieces == base // shard_pieces:
+            break
+        loose = packed.join(low.select("sequence_id"), "sequence_id")
+        again = loose.drop("sequence_id", "offset").repartition(max(1, n // shard_pieces), F.xxhash64("doc_id", "piece", "start", "ids_crc32"))
+        base = (top // shard_pieces + 1) * shard_pieces
+        new = materialize(pack_shards(again, *how).withColumn("sequence_id", F.col("sequence_id") + base))
+        if new.select("sequence_id").distinct().count() >= before:
+            break
+        done.append(packed.join(low.select("sequence_id"), "sequence_id", "left_anti"))
+        packed = new
+    cols = [c.split()[0] for c in PIECE.split(", ")] + ["sequence_id", "offset"]
+    return reduce(DataFrame.unionByName, [part.select(*cols) for part in [*done, packed]])
+
+
+def pack_shards(pieces: DataFrame, capacity: int, shard_pieces: int, islands: int, epochs: int, population: int, generations: int) -> DataFrame:
+    """``pieces`` with sequence_id and offset, packed shard by shard; ids of a shard lie between its number times ``shard_pieces`` and the next.
+
     Pieces are dealt into shards of a bounded size. On each shard ``islands`` populations evolve apart for an epoch; then every
     island's best grouping migrates to the next island of its shard, by a join, and the next epoch starts from both. The
     best island's grouping counts. Pieces of full length fill a sequence of their own. Ties, nulls in ids and repeated rows
@@ -179,7 +213,7 @@ def pack(pieces: DataFrame, capacity: int = 2048, shard_pieces: int = 4096, isla
         for r in batch.to_pylist():
             used: dict[int, int] = {}
             for doc, piece, start, length, crc, b in zip(r["doc"], r["piece"], r["start"], r["length"], r["crc"], r["bin"]):
-                rows.append((doc, piece, start, length, crc, (r["shard"] << 13) + b, used.get(b, 0)))
+                rows.append((doc, piece, start, length, crc, r["shard"] * shard_pieces + b, used.get(b, 0)))
                 used[b] = used.get(b, 0) + length
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
         names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]

@@ -374,6 +374,26 @@ def test_near_copies_bridged_by_a_null_id(spark):
     assert sorted((r["doc_id"], r["text"]) for r in simhash.keep_one(docs).collect()) == sorted([(2, a), (5, other)])
 
 
+def test_packing_hardly_depends_on_the_layout(spark):
+    rng = random.Random(8)
+    rows = [(k, 0, 0, rng.choice((rng.randint(1, 300), rng.randint(200, 1500))), 0) for k in range(900)]
+    pieces = spark.createDataFrame(rows, packing.PIECE)
+    least = -(-sum(r[3] for r in rows) // 2048)
+    for parts, size in ((1, 4096), (100, 4096), (7, 50)):
+        got = packing.pack(pieces.repartition(parts), shard_pieces=size).collect()
+        assert sorted((r["doc_id"], r["length"]) for r in got) == [(r[0], r[3]) for r in rows]
+        held = collections.defaultdict(list)
+        for r in got:
+            held[r["sequence_id"]].append((r["offset"], r["length"]))
+        for parts_of in held.values():
+            at = 0
+            for offset, length in sorted(parts_of):
+                assert offset == at
+                at += length
+            assert at <= 2048
+        assert len(held) <= 1.01 * least + 1
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><nav><ul><li><a href="/">Menu one</a><li>two</ul></nav>
 <div class="cookie-notice">We use cookies</div><aside>Side <b>bar</b></aside>
 <article><h1>Head&amp;line</h1><p>First   <b>bo</b>ld<!-- no --> text<br>next<p>Unclosed &copy; paragraph<script>var a = "<p>x</p>";</script></article>
