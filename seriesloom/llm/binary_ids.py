@@ -16,7 +16,7 @@ from .common import map_batches, partitions, text_or_empty
 from .tokens import tokenizer_path, worker_encoder
 
 #: Rows and bytes of text that are encoded at a time; a longer text alone.
-SLICE_ROWS, SLICE_BYTES = 4096, 8 << 20
+SLICE_ROWS, SLICE_BYTES = 8192, 16 << 20
 SCHEMA = "doc_id long, shard int, start_in_shard long, n_tokens long, ids array<int>"
 
 

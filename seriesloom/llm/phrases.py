@@ -4,17 +4,18 @@ from __future__ import annotations
 
 import struct
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
 from .common import map_batches, partitions, text_or_empty
+from .resample import ranked
 
 #: Words after which a shard is closed: its counts become automata, so a task's memory doesn't grow with its input. Long texts count on.
 SHARD_WORDS = 2_000_000
@@ -80,9 +81,41 @@ class CountAutomaton:
             at, least = close(stack.pop())
             stack[-1][0].append((numbers.setdefault(last[len(stack) - 1], len(numbers)), at, least))
         states.append((tuple(stack[0][0]), stack[0][1]))
+        return cls(list(numbers), *cls._arrays(states))
+
+    @classmethod
+    def build_rows(cls, words: list[bytes], rows: np.ndarray, counts: np.ndarray) -> CountAutomaton:
+        """The same for n-grams of one length as columns of word places (from 1), in ascending order: a prefix closes its state with all its arcs at once."""
+        used, label = np.unique(rows, return_inverse=True)
+        label = label.reshape(rows.shape)
+        known: dict = {((), 0): 0}
+        states: list = [((), 0)]
+        target, weight = [0] * rows.shape[1], counts.tolist()
+        for depth in range(len(rows) - 1, 0, -1):
+            new = np.append(True, (label[:depth, 1:] != label[:depth, :-1]).any(axis=0))
+            first, last = np.flatnonzero(new).tolist(), label[depth].tolist()
+            target_above, weight_above = [], []
+            for a, b in zip(first, [*first[1:], len(last)]):
+                if b - a == 1:
+                    key, least = (((last[a], target[a], 0),), -1), weight[a]
+                else:
+                    least = min(weight[a:b])
+                    key = (tuple(zip(last[a:b], target[a:b], [w - least for w in weight[a:b]])), -1)
+                at = known.get(key)
+                if at is None:
+                    at = known[key] = len(states)
+                    states.append(key)
+                target_above.append(at)
+                weight_above.append(least)
+            label, target, weight = label[:depth, new], target_above, weight_above
+        states.append((tuple(zip(label[0].tolist(), target, weight)), -1))
+        return cls([words[k - 1] for k in used.tolist()], *cls._arrays(states))
+
+    @staticmethod
+    def _arrays(states: list) -> tuple[np.ndarray, ...]:
         first = np.cumsum([0, *(len(arcs) for arcs, _ in states)], dtype=np.int64)
         flat = np.array([x for arcs, _ in states for x in arcs], np.int64).reshape(-1, 3)
-        return cls(list(numbers), first, flat[:, 0], flat[:, 1], flat[:, 2], np.array([f for _, f in states], np.int64))
+        return first, flat[:, 0], flat[:, 1], flat[:, 2], np.array([f for _, f in states], np.int64)
 
     def grams(self) -> Iterator[tuple[tuple[bytes, ...], int]]:
         """All n-grams with their counts, in ascending order."""
@@ -190,27 +223,32 @@ class GramFilter:
         return reduce(np.logical_and, [(self.bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1).astype(bool) for slot in self.slots(hashes)])
 
 
-def shard_grams(shard: Shard, lang: str, n: int, allowed) -> list[tuple[tuple[bytes, ...], int]]:
-    """The n-grams of a shard in ascending order with their counts; both (n-1)-grams of a longer one must pass the filter."""
+def shard_grams(shard: Shard, lang: str, n: int, allowed) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The words of a shard, and its n-grams as columns of word places in ascending order with their counts.
+
+    Both (n-1)-grams of a longer one must pass the filter.
+    """
     words, seq = shard.ranked()
     size = len(words) + 1
     if n == 1:
-        counts = np.bincount(seq, minlength=size)
-        return [((w,), c) for w, c in zip(words, counts[1:].tolist())]
+        return words, np.arange(1, size)[None], np.bincount(seq, minlength=size)[1:]
     at = np.arange(len(seq) - n + 1)
     for k in range(n):
         at = at[seq[at + k] > 0]
     salt = np.uint64(zlib.crc32(lang.encode()))
     hashes = np.append(np.uint64(0), gram_hashes(words)) ^ salt
-    for k in (0, 1):
-        at = at[allowed.passed(join_hashes([hashes[seq[at + k + j]] for j in range(n - 1)]))] if len(at) else at
-    rows = np.stack([seq[at + k] for k in range(n)])
-    order = np.lexsort(rows[::-1])
-    rows = rows[:, order]
-    new = np.flatnonzero(np.append(True, (rows[:, 1:] != rows[:, :-1]).any(axis=0))) if len(order) else np.zeros(0, np.int64)
-    counts = np.diff(np.append(new, len(order))).tolist()
-    named = [b"", *words]
-    return [(tuple(named[x] for x in row), c) for row, c in zip(rows[:, new].T.tolist(), counts)]
+    if n == 2:  # each word once
+        fine = allowed.passed(hashes)
+        at = at[fine[seq[at]] & fine[seq[at + 1]]]
+    else:
+        for k in (0, 1):
+            at = at[allowed.passed(join_hashes([hashes[seq[at + k + j]] for j in range(n - 1)]))]
+    if size**n < 1 << 63:  # a gram is one number
+        code = reduce(lambda c, k: c * size + seq[at + k], range(1, n), seq[at])
+        code, counts = np.unique(code, return_counts=True)
+        return words, np.stack([code // size ** (n - 1 - k) % size for k in range(n)]), counts
+    rows, counts = np.unique(np.stack([seq[at + k] for k in range(n)]), axis=1, return_counts=True)
+    return words, rows, counts
 
 
 def shards(docs: DataFrame, n: int, allowed, bounds, shard_words: int) -> DataFrame:
@@ -220,22 +258,23 @@ def shards(docs: DataFrame, n: int, allowed, bounds, shard_words: int) -> DataFr
     """
 
     def close(lang: str, shard: Shard) -> Iterator[tuple]:
-        grams = shard_grams(shard, lang, n, allowed.value if allowed else None)
+        names, rows, counts = shard_grams(shard, lang, n, allowed.value if allowed else None)
         words = int(sum(np.count_nonzero(p) for p in shard.parts)) if n == 1 else 0
-        cuts = bounds.value.get(lang, [])
-        sections: dict[int, list] = {}
-        for g in grams:
-            sections.setdefault(section(cuts, g[0]), []).append(g)
-        for k, part in sections.items() or {0: []}.items():
-            yield lang, k, CountAutomaton.build(part).dumps(), words
-            words = 0
+        cuts, total = bounds.value.get(lang, []), rows.shape[1]
+        gram = lambda i: tuple(names[k - 1] for k in rows[:, i].tolist())
+        at = [0, *(bisect_left(range(total), cut, key=gram) for cut in cuts), total]
+        for k, (a, b) in enumerate(zip(at, at[1:])):
+            if a < b or (words and k == len(cuts)):
+                made = CountAutomaton.build_rows(names, rows[:, a:b], counts[a:b]) if a < b else CountAutomaton.build([])
+                yield lang, k, made.dumps(), words
+                words = 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_: dict[str, Shard] = {}
 
-        def rows(lang: str) -> pa.RecordBatch:
-            made = list(close(lang, open_.pop(lang)))
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made), (pa.string(), pa.int32(), pa.binary(), pa.int64()))], names=["lang", "section", "automaton", "n_words"])
+        def rows(lang: str) -> Iterator[pa.RecordBatch]:
+            for row in close(lang, open_.pop(lang)):
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.string(), pa.int32(), pa.binary(), pa.int64()))], names=["lang", "section", "automaton", "n_words"])
 
         for batch in batches:
             langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -247,18 +286,18 @@ def shards(docs: DataFrame, n: int, allowed, bounds, shard_words: int) -> DataFr
                     shard = open_.setdefault(lang, Shard())
                     shard.add(bodies[at : at + 200])
                     if shard.words >= shard_words:
-                        yield rows(lang)
+                        yield from rows(lang)
             while open_ and sum(s.words for s in open_.values()) > shard_words:  # many languages in one task
-                yield rows(max(open_, key=lambda k: open_[k].words))
+                yield from rows(max(open_, key=lambda k: open_[k].words))
         for lang in list(open_):
-            yield rows(lang)
+            yield from rows(lang)
 
     return docs.mapInArrow(run, "lang string, section int, automaton binary, n_words long")
 
 
-def section(cuts: list[bytes], gram: tuple[bytes, ...]) -> int:
+def section(cuts: list[tuple[bytes, ...]], gram: tuple[bytes, ...]) -> int:
     """The prefix range of an n-gram: the number of bounds that are not beyond it."""
-    return bisect_right(cuts, b" ".join(gram))
+    return bisect_right(cuts, gram)
 
 
 def unions(parts: DataFrame, least: int) -> DataFrame:
@@ -290,7 +329,7 @@ def unions(parts: DataFrame, least: int) -> DataFrame:
     return cols.mapInArrow(run, "lang string, section int, n_words long, n long, automaton binary")
 
 
-def range_bounds(docs: DataFrame, ranges: int, longest: int) -> dict[str, list[bytes]]:
+def range_bounds(docs: DataFrame, ranges: int, longest: int) -> dict[str, list[tuple[bytes, ...]]]:
     """For each language the keys that cut its n-grams into prefix ranges, by occurrences in a bounded draw of texts."""
     rate = min(1.0, BOUND_DOCS / max(1, docs.count()))
 
@@ -307,9 +346,9 @@ def range_bounds(docs: DataFrame, ranges: int, longest: int) -> dict[str, list[b
 
     some = docs.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(rate * (1 << 20)))
     drawn = map_batches(some, run, "lang string, key binary").orderBy(F.xxhash64("lang", "key")).limit(BOUND_KEYS).collect()
-    by: dict[str, list[bytes]] = {}
+    by: dict[str, list[tuple[bytes, ...]]] = {}
     for r in drawn:
-        by.setdefault(r["lang"], []).append(bytes(r["key"]))
+        by.setdefault(r["lang"], []).append(tuple(bytes(r["key"]).split(b" ")))
     out = {}
     for lang, keys in by.items():
         keys.sort()
@@ -434,7 +473,9 @@ def collocations(docs: DataFrame, longest: int = 3, least: int = 10, percent: in
     best = cut.groupBy("lang", "phrase", "a").agg(F.min("cut").alias("cut"))
     longer = found.select("lang", F.explode("inner").alias("phrase"), "a").groupBy("lang", "phrase").agg(F.max("a").alias("longer"))
     kept = best.join(longer, ["lang", "phrase"], "left").filter(F.col("longer").isNull() | (100 * F.col("longer") < percent * F.col("a")))
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = kept.select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score").withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= top)
+    kept = materialize(kept.select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score", (-F.col("cut.score")).alias("_score"), (-F.col("a")).alias("_a")))
+    placed = materialize(ranked(kept, ["lang", "_score", "_a", "phrase"], "place"))
+    firsts = placed.groupBy("lang").agg(F.min("place").alias("first"))
+    best = placed.join(firsts, "lang").withColumn("rank", F.col("place") - F.col("first") + 1).filter(F.col("rank") <= top)
     words = counted[0].groupBy("lang").agg(F.sum("n_words").alias("n"))
-    return ranked.join(words, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    return best.join(words, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

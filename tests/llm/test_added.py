@@ -216,5 +216,13 @@ def test_automata():
         asked = {tuple(rng.choices(words, k=rng.randint(1, 4))) for _ in range(30)} | set(list(counts)[:10])
         found = dict(made.compose(phrases.CountAutomaton.build((g, 0) for g in sorted(asked))))
         assert found == {g: counts[g] for g in asked if g in counts}
+    for n in (1, 2, 3):
+        places = sorted(set(words))
+        rows = sorted({tuple(rng.randint(1, len(places)) for _ in range(n)) for _ in range(60)})
+        made = phrases.CountAutomaton.build_rows(places, np.array(rows).T, np.arange(60)[: len(rows)] % 4)
+        plain = [(tuple(places[k - 1] for k in r), i % 4) for i, r in enumerate(rows)]
+        assert list(made.grams()) == plain
+        assert len(made.final) == len(phrases.CountAutomaton.build(plain).final)
+    words = sorted(set(words))
     squares = [((a, b), 1) for a in words for b in words]
     assert len(phrases.CountAutomaton.build(sorted(squares)).final) == 3
