@@ -254,8 +254,14 @@ O["align_outer"] = f"WITH {OBS} {pivoted(VARIABLES)}"
 O["pivot_predictions"] = (
     f"WITH {PREDS} SELECT latitude, longitude, timestamp, "
     + ", ".join(
-        f"max(CASE WHEN target_variable = '{v}' THEN {m} END) AS {m}_{v}"
-        for m in ("real_value", "predictions")
+        f"max(CASE WHEN target_variable = '{v}' THEN {m} END) AS {name}_{v}"
+        for m, name in (
+            ("real_value", "real_value"),
+            ("predictions", "predictions"),
+            ("predictions - real_value", "data_quality_percentage"),
+            ("CAST(CAST(predictions > real_value AS INTEGER) AS DOUBLE)", "validation_boolean"),
+            ("greatest(real_value, predictions)", "suggested_value"),
+        )
         for v in VARIABLES
     )
     + " FROM preds GROUP BY latitude, longitude, timestamp"
@@ -268,16 +274,17 @@ def config_cells(codes) -> str:
 
 O["config_pivot"] = f"""WITH {CONFIG} SELECT timestamp, stage,
   {config_cells(['n_iter', 'cv_splits', 'direction', 'batch_size'])} FROM config GROUP BY timestamp, stage"""
-O["parse_config"] = f"""WITH {CONFIG}, w AS (SELECT timestamp, stage,
-  {config_cells(['n_iter', 'test_size', 'direction', 'auto_training', 'model_names', 'xgboost_regression_params'])}
+O["parse_config"] = rf"""WITH {CONFIG}, w AS (SELECT timestamp, stage,
+  {config_cells(['n_iter', 'test_size', 'direction', 'auto_training', 'model_names', 'xgboost_regression_params', 'mlpregressor_params'])}
   FROM config GROUP BY timestamp, stage)
 SELECT timestamp, stage, CAST(n_iter AS INTEGER) AS n_iter, CAST(test_size AS DOUBLE) AS test_size, direction,
   CAST(CAST(auto_training AS BOOLEAN) AS INTEGER) AS auto_training,
-  array_to_string(from_json(model_names, '["VARCHAR"]'), ',') AS model_names,
+  array_to_string(regexp_extract_all(model_names, '"([^"]+)"', 1), ',') AS model_names,
+  '[' || regexp_extract(mlpregressor_params, '\(([0-9]+),\)\]', 1) || ']' AS layers_high,
   CAST(json_extract(xgboost_regression_params, '$.xgbregressor__max_depth[1]') AS DOUBLE) AS max_depth_high,
   CAST(json_extract(xgboost_regression_params, '$.xgbregressor__subsample[0]') AS DOUBLE) AS subsample_low FROM w"""
 O["model_parameters"] = f"""WITH {CONFIG}, names AS (SELECT timestamp, stage,
-  unnest(from_json(parameter_value, '["VARCHAR"]')) AS model_name FROM config WHERE parameter_code = 'model_names')
+  unnest(regexp_extract_all(parameter_value, '"([^"]+)"', 1)) AS model_name FROM config WHERE parameter_code = 'model_names')
 SELECT timestamp, stage, model_name, parameter_code, parameter_value FROM config JOIN names USING (timestamp, stage)
   WHERE contains(parameter_code, model_name)"""
 O["series_points"] = f"""WITH {OBS} SELECT {SERIES}, min(timestamp) AS page_start, count(*) AS n_points,
@@ -596,6 +603,68 @@ O["tune_classifier_facts"] = """SELECT CAST(3 AS BIGINT) AS n_trials, TRUE AS in
 O["gbt_panel_facts"] = f"""WITH {panel(1, 2, 24)} SELECT {TARGET}, CAST(ceil(count(*) * 0.1::DOUBLE) AS BIGINT) AS n, TRUE AS scored
   FROM panel GROUP BY {TARGET}"""
 
+
+
+def tree_level(rows: str, cells: str, cuts: str, best: str, p: dict) -> str:
+    """CTEs that find the best cut of every node: ``rows`` has the series, node, g, hour and weekday."""
+    a, lam, most = p.get("reg_alpha", 0), p.get("reg_lambda", 1), p.get("max_delta_step", 0)
+
+    def weight(g, n):
+        w = f"(-sign({g}) * greatest(abs({g}) - {a}, 0.0::DOUBLE) / ({n} + {lam}))"
+        return f"greatest(least({w}, {most}), -{most})" if most else w
+
+    def score(g, n):
+        return f"-(2 * {g} * {weight(g, n)} + ({n} + {lam}) * {weight(g, n)} ** 2 + 2 * {a} * abs({weight(g, n)}))"
+
+    return f"""{cells} AS (SELECT {TARGET}, node, feature, v, sum(g) AS g, count(*) AS n FROM (
+    SELECT {TARGET}, node, g, 0 AS feature, hour AS v FROM {rows} UNION ALL SELECT {TARGET}, node, g, 1, weekday FROM {rows}) GROUP BY ALL),
+{cuts} AS (SELECT *, g - gl AS gr, n - nl AS nr FROM (SELECT {TARGET}, node, feature, v, sum(g) OVER (f ORDER BY v) AS gl, sum(n) OVER (f ORDER BY v) AS nl,
+    sum(g) OVER f AS g, sum(n) OVER f AS n FROM {cells} WINDOW f AS (PARTITION BY {TARGET}, node, feature))),
+{cuts}_gain AS (SELECT *, {score('gl', 'nl')} + {score('gr', 'nr')} - {score('g', 'n')} AS gain FROM {cuts}
+    WHERE nr > 0 AND least(nl, nr) >= {p.get('min_child_weight', 1)}),
+{best} AS (SELECT c.*, s.feature, s.v, s.gain, s.gl, s.nl, s.gr, s.nr FROM (SELECT {TARGET}, node, any_value(g) AS g, any_value(n) AS n FROM {cuts} WHERE feature = 0 GROUP BY ALL) c
+    LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {TARGET}, node ORDER BY gain DESC, feature, v) AS o FROM {cuts}_gain
+      WHERE gain > {p.get('min_split_loss', 0)}) WHERE o = 1) s USING ({TARGET}, node))"""
+
+
+def first_tree(p: dict, ending: str = "") -> str:
+    lam, a, most, rate = p.get("reg_lambda", 1), p.get("reg_alpha", 0), p.get("max_delta_step", 0), p.get("learning_rate", 0.3)
+    w = f"(-sign(g) * greatest(abs(g) - {a}, 0.0::DOUBLE) / (n + {lam}))"
+    w = f"greatest(least({w}, {most}), -{most})" if most else w
+    row = "hour, weekday, g"
+    steps = f"""rows0 AS (SELECT {TARGET}, 1 AS node, hour, CAST(isodow(timestamp) - 1 AS DOUBLE) AS weekday,
+    avg(value) OVER (PARTITION BY {TARGET}) - value AS g FROM panel), {tree_level('rows0', 'cells0', 'cuts0', 'best0', p)}"""
+    split, last = ["best0"], "best0"
+    for level in range(1, p["max_depth"]):
+        prev = level - 1
+        steps += f""", rows{level} AS (SELECT {TARGET}, 2 * node + CAST(CASE WHEN feature = 0 THEN hour > v ELSE weekday > v END AS INTEGER) AS node, {row}
+    FROM (SELECT r.{TARGET.replace(', ', ', r.')}, r.node, r.hour, r.weekday, r.g, b.feature, b.v FROM rows{prev} r JOIN best{prev} b USING ({TARGET}, node)
+      WHERE b.feature IS NOT NULL)), {tree_level(f'rows{level}', f'cells{level}', f'cuts{level}', f'best{level}', p)}"""
+        last = f"best{level}"
+        split.append(last)
+    nodes = " UNION ALL ".join(f"SELECT {TARGET}, node, feature, v, gain, g, n FROM {b}" for b in split)
+    ends = " UNION ALL ".join(f"SELECT {TARGET}, 2 * node + {k}, NULL, NULL, NULL, g{side}, n{side} FROM {last} WHERE feature IS NOT NULL" for k, side in ((0, "l"), (1, "r")))
+    if ending:
+        return f"WITH {ONE}, {steps} {ending}"
+    return f"""WITH {ONE}, {steps}, nodes AS ({nodes} UNION ALL {ends})
+SELECT {TARGET}, CAST(node AS INTEGER) AS node, CAST(feature AS INTEGER) AS feature, v AS threshold, {r('gain')} AS gain,
+  CASE WHEN feature IS NULL THEN {r(f'{rate} * {w}')} END AS value, CAST(n AS BIGINT) AS cover FROM nodes"""
+
+
+O["boosted_stump"] = first_tree({"max_depth": 1})
+O["boosted_depth2"] = first_tree(
+    {"max_depth": 2, "reg_alpha": 3.0, "reg_lambda": 5.0, "max_delta_step": 4.0, "min_split_loss": 2.0, "min_child_weight": 20, "learning_rate": 0.1}
+)
+
+# With one split, the split feature explains a leaf's distance from the mean of both leaves, the other feature nothing.
+O["boosted_attributions"] = first_tree(
+    {"max_depth": 1},
+    f""", two AS (SELECT *, -0.3::DOUBLE * gl / (nl + 1) AS vl, -0.3::DOUBLE * gr / (nr + 1) AS vr FROM best0),
+size AS (SELECT *, (nl * abs(vl - (nl * vl + nr * vr) / n) + nr * abs(vr - (nl * vl + nr * vr) / n)) / n AS size FROM two)
+SELECT {TARGET}, name AS feature, {r('CASE WHEN feature = k THEN size ELSE 0.0::DOUBLE END')} AS importance
+FROM size, (VALUES (0, 'hour'), (1, 'weekday')) names(k, name)""",
+)
+
 # ---------------------------------------------------------------- streams
 
 O["stream_features"] = f"WITH {OBS} SELECT * REPLACE ({r('value')} AS value), TIMESTAMP '{UPDATED}' AS update_date FROM obs"

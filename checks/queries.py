@@ -13,6 +13,7 @@ from seriesloom.functions import calendar, dates, metrics, numbers, params, text
 from seriesloom.operators import (
     boosted,
     evaluate,
+    histogram,
     impute,
     lags,
     linear,
@@ -335,7 +336,9 @@ def align_outer(s, d):
 @query
 def pivot_predictions(s, d):
     p = D.preds(s, d).withColumn("target_variable", F.concat(F.lit("valor_"), "target_variable"))
-    return reshape.pivot_predictions(p, VARIABLES, measures=["real_value", "predictions"])
+    real, made = F.col("real_value"), F.col("predictions")
+    p = p.withColumns({"data_quality_percentage": made - real, "validation_boolean": (made > real).cast("int"), "suggested_value": F.greatest(real, made)})
+    return reshape.pivot_predictions(p, VARIABLES)
 
 
 @query
@@ -345,20 +348,21 @@ def config_pivot(s, d):
 
 @query
 def parse_config(s, d):
-    codes = ["n_iter", "test_size", "direction", "auto_training", "model_names", "xgboost_regression_params"]
+    codes = ["n_iter", "test_size", "direction", "auto_training", "model_names", "xgboost_regression_params", "mlpregressor_params"]
     typed = params.parse_config(reshape.pivot_config(D.config(s, d), codes))
     return typed.select(
         "timestamp", "stage", "n_iter", "test_size", "direction",
         F.col("auto_training").cast("int").alias("auto_training"),
         F.array_join("model_names", ",").alias("model_names"),
-        F.col("xgboost_regression_params")["xgbregressor__max_depth"][1].alias("max_depth_high"),
-        F.col("xgboost_regression_params")["xgbregressor__subsample"][0].alias("subsample_low"),
+        F.col("xgboost_regression_params")["xgbregressor__max_depth"][1].cast("double").alias("max_depth_high"),
+        F.col("xgboost_regression_params")["xgbregressor__subsample"][0].cast("double").alias("subsample_low"),
+        F.col("mlpregressor_params")["mlpregressor__hidden_layer_sizes"][1].alias("layers_high"),
     )
 
 
 @query
 def model_parameters(s, d):
-    return params.parameters_of_models(D.config(s, d))
+    return params.parameters_of_models(materialize(D.config(s, d)))
 
 
 @query
@@ -924,6 +928,42 @@ def gbt_train(s, d):
     return evaluate.evaluate_regression(scored, TARGET, "value", "predictions", ["root_mean_squared_error", "r2"])
 
 
+def calendar_rows(s, d):
+    return D.panel(s, d, (1,)).select(*TARGET, "timestamp", "hour", F.weekday("timestamp").cast("double").alias("weekday"), "value")
+
+
+def calendar_trees(s, d, given):
+    model = histogram.fit_trees(calendar_rows(s, d), TARGET, ["hour", "weekday"], "value", given)
+    return rounded(model.where("tree = 0").drop("tree"), "gain", "value")
+
+
+@query
+def boosted_stump(s, d):
+    """The first tree of every series at once, one split deep."""
+    return calendar_trees(s, d, {"n_estimators": 1, "max_depth": 1})
+
+
+@query
+def boosted_depth2(s, d):
+    """The first tree of every series, two splits deep, with every regulariser."""
+    return calendar_trees(s, d, TREE_OF_DEPTH_2)
+
+
+@query
+def boosted_attributions(s, d):
+    """Exact attributions of every row, as the mean size by series and feature."""
+    rows, names = calendar_rows(s, d), ["hour", "weekday"]
+    model = histogram.fit_trees(rows, TARGET, names, "value", {"n_estimators": 1, "max_depth": 1})
+    phi = histogram.attributions(rows, model, TARGET, ["timestamp"], names)
+    return rounded(boosted.mean_attribution(phi, TARGET), "importance")
+
+
+TREE_OF_DEPTH_2 = {
+    "n_estimators": 1, "max_depth": 2, "reg_alpha": 3.0, "reg_lambda": 5.0, "max_delta_step": 4.0, "min_split_loss": 2.0,
+    "min_child_weight": 20, "learning_rate": 0.1,
+}
+
+
 def search_panel(s, d):
     return materialize(split.with_fold_block(D.panel(s, d), TARGET, 2).drop("_position", "_series_rows"))
 

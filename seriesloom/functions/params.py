@@ -1,9 +1,14 @@
-"""Typed run parameters stored as JSON text."""
+"""Typed run parameters stored as literals: numbers, texts, lists, tuples, dictionaries, True, False and None, or the same as JSON."""
 
 from __future__ import annotations
 
+import json
+from ast import literal_eval
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Parameters whose name contains one of these stay text.
 TEXT_PARAMETERS = ["date_frequency", "direction", "early_stop_mode", "model_metric"]
@@ -24,9 +29,10 @@ PARAMETER_TYPES = {
     "batch_size": "int",
     "forecast_acc_threshold": "double",
 }
-RANGES = "map<string,array<double>>"
+# Bounds of a search as JSON text each: "100", "0.5", "[512]".
+RANGES = "map<string,array<string>>"
 
-# The seed configuration (stage, code, value), values as JSON.
+# The seed configuration (stage, code, value).
 SEED_CONFIG = [
     ("training", "start_time_window", "35040"),
     ("prediction", "start_time_window", "100"),
@@ -35,7 +41,7 @@ SEED_CONFIG = [
     ("prediction", "day_frequency", "30"),
     ("training", "model_metric", "root_mean_squared_error"),
     ("training", "model_names", '["linear_regression", "xgboost_regression", "mlpregressor"]'),
-    ("training", "auto_training", "true"),
+    ("training", "auto_training", "True"),
     ("training", "train_models_older_than", "7"),
     ("training", "cv_splits", "10"),
     ("training", "test_size", "0.1"),
@@ -48,16 +54,16 @@ SEED_CONFIG = [
     (
         "training",
         "xgboost_regression_params",
-        '{"xgbregressor__n_estimators": [100, 1000], "xgbregressor__max_depth": [2, 8], '
-        '"xgbregressor__learning_rate": [0.0, 0.5], "xgbregressor__min_split_loss": [0, 100], '
-        '"xgbregressor__min_child_weight": [100], "xgbregressor__max_delta_step": [0, 100], '
-        '"xgbregressor__subsample": [0.2, 1.0], "xgbregressor__reg_alpha": [0, 100], '
-        '"xgbregressor__reg_lambda": [0, 100]}',
+        '{"xgbregressor__n_estimators":[100, 1000], "xgbregressor__max_depth":[2, 8], '
+        '"xgbregressor__learning_rate":[0.0, 0.5], "xgbregressor__min_split_loss":[0, 100], '
+        '"xgbregressor__min_child_weight":[100], "xgbregressor__max_delta_step":[0, 100], '
+        '"xgbregressor__subsample":[0.2, 1.0], "xgbregressor__reg_alpha":[0, 100], '
+        '"xgbregressor__reg_lambda":[0, 100]}',
     ),
     (
         "training",
         "mlpregressor_params",
-        '{"mlpregressor__hidden_layer_sizes": [10, 512], "mlpregressor__alpha": [0.0001], '
+        '{"mlpregressor__hidden_layer_sizes": [(10,), (512,)], "mlpregressor__alpha": [0.0001], '
         '"mlpregressor__learning_rate_init": [0.0001], "mlpregressor__max_iter": [100, 10000]}',
     ),
     ("training", "direction", "backward"),
@@ -72,18 +78,37 @@ def is_text(code: str) -> bool:
     return any(part in code for part in TEXT_PARAMETERS)
 
 
+def json_of(text: str | None) -> str | None:
+    """A literal as JSON; tuples become lists, None becomes null, a null stays one. Any other text is refused."""
+    if text is None:
+        return None
+    try:
+        return json.dumps(json.loads(text))
+    except ValueError:
+        pass
+    try:
+        return json.dumps(literal_eval(text.strip()))
+    except (ValueError, TypeError, SyntaxError, MemoryError, RecursionError) as error:
+        raise ValueError(f"not a literal: {text!r}") from error
+
+
+@F.pandas_udf(T.StringType())
+def literal_json(values: pd.Series) -> pd.Series:
+    """Some tens of rows a run: literals have no parser among the built-in functions."""
+    return values.map(json_of, na_action="ignore")
+
+
 def parse_parameter(value: Column, code: str) -> Column:
-    """One parameter of a pivoted configuration as its own type."""
+    """One parameter of a pivoted configuration as its own type; a text that is no literal, or not of the type, fails the job."""
     if is_text(code):
         return value
-    if code.endswith("_params"):
-        return F.from_json(value, RANGES)
-    kind = PARAMETER_TYPES.get(code)
+    kind = PARAMETER_TYPES.get(code, RANGES if code.endswith("_params") else None)
     if kind is None:
         return value
-    if kind.startswith("array"):
-        return F.from_json(value, kind)
-    return value.try_cast(kind)
+    literal = literal_json(value)
+    if kind.startswith(("array", "map")):
+        return F.from_json(literal, kind, {"mode": "FAILFAST"})
+    return F.nullif(F.trim(literal, F.lit('"')), F.lit("null")).cast(kind)
 
 
 def parse_config(wide: DataFrame) -> DataFrame:
@@ -92,13 +117,17 @@ def parse_config(wide: DataFrame) -> DataFrame:
     return wide.select([c if c in keys else parse_parameter(F.col(c), c).alias(c) for c in wide.columns])
 
 
+#: A text in single or double quotes.
+QUOTED = r"([\"'])(.*?)\1"
+
+
 def parameters_of_models(config: DataFrame) -> DataFrame:
     """(timestamp, stage, model_name, parameter_value) of each configured model.
 
     A parameter belongs to a model when its code contains the model's name.
     """
     names = config.where(F.col("parameter_code") == "model_names").select(
-        "timestamp", "stage", F.explode(F.from_json("parameter_value", "array<string>")).alias("model_name")
+        "timestamp", "stage", F.explode(F.regexp_extract_all("parameter_value", F.lit(QUOTED), F.lit(2))).alias("model_name")
     )
     # Both sides share the equi-key (timestamp, stage): some tens of rows per run.
     return (

@@ -138,7 +138,23 @@ def test_seed_config_parses(spark):
     codes = sorted({c for _, c, _ in params.SEED_CONFIG})
     typed = params.parse_config(pivot_config(frame, codes)).where("stage = 'training'").first()
     assert typed["cv_splits"] == 10 and typed["test_size"] == 0.1 and typed["auto_training"] is True
-    assert typed["xgboost_regression_params"]["xgbregressor__max_depth"] == [2.0, 8.0] and typed["direction"] == "backward"
+    assert typed["xgboost_regression_params"]["xgbregressor__max_depth"] == ["2", "8"] and typed["direction"] == "backward"
+    assert typed["mlpregressor_params"]["mlpregressor__hidden_layer_sizes"] == ["[10]", "[512]"]
+    assert typed["linear_regression_params"] == {} and typed["model_names"][2] == "mlpregressor"
+    assert params.parameters_of_models(frame).count() == 3
+
+
+def test_literals(spark):
+    wanted = {"{'a': [(10,), (512,)]}": '{"a": [[10], [512]]}', "None": "null", "(1, [None, 'x'])": '[1, [null, "x"]]', "true": "true", "False": "false", " 7": "7", '"t"': '"t"'}
+    assert {k: params.json_of(k) for k in wanted} == wanted and params.json_of(None) is None
+    row = spark.createDataFrame([("None", "('a', 'b')", None)], "cv_splits string, model_names string, n_iter string")
+    assert tuple(params.parse_config(row).first()) == (None, ["a", "b"], None)
+    for bad in ("[1, 2", "__import__('os')", "ten", "1.5.2"):
+        with pytest.raises(ValueError):
+            params.json_of(bad)
+    for code, bad in (("cv_splits", "ten"), ("cv_splits", "[1]"), ("model_names", "{}"), ("a_params", "[1]")):
+        with pytest.raises(Exception, match="(?i)cannot be cast|not a literal|malformed"):
+            params.parse_config(spark.createDataFrame([(bad,)], f"{code} string")).collect()
 
 
 def models(spark, *rows):
