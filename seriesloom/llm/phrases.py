@@ -7,9 +7,11 @@ import zlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,8 @@ from .resample import ranked
 
 #: Words after which a shard is closed: its counts become automata, so a task's memory doesn't grow with its input. Long texts count on.
 SHARD_WORDS = 2_000_000
+#: Texts that are split into words at a time.
+ADDED = 1000
 #: The bounds of the prefix ranges come from about so many texts, so many runs of words of each, and so many runs in all, cut to so many bytes.
 #: They only balance the ranges; every text is counted.
 BOUND_DOCS, BOUND_RUNS, BOUND_KEYS, BOUND_BYTES = 20_000, 8, 16_384, 48
@@ -88,33 +92,27 @@ class CountAutomaton:
         """The same for n-grams of one length as columns of word places (from 1), in ascending order: a prefix closes its state with all its arcs at once."""
         used, label = np.unique(rows, return_inverse=True)
         label = label.reshape(rows.shape)
-        known: dict = {((), 0): 0}
-        states: list = [((), 0)]
-        target, weight = [0] * rows.shape[1], counts.tolist()
+        known: dict[bytes, int] = {b"": 0}  # a state by its arcs: label, target and weight of each
+        target, weight = np.zeros(rows.shape[1], np.int64), np.asarray(counts, np.int64)
         for depth in range(len(rows) - 1, 0, -1):
             new = np.append(True, (label[:depth, 1:] != label[:depth, :-1]).any(axis=0))
-            first, last = np.flatnonzero(new).tolist(), label[depth].tolist()
-            target_above, weight_above = [], []
-            for a, b in zip(first, [*first[1:], len(last)]):
-                if b - a == 1:
-                    key, least = (((last[a], target[a], 0),), -1), weight[a]
-                else:
-                    least = min(weight[a:b])
-                    key = (tuple(zip(last[a:b], target[a:b], [w - least for w in weight[a:b]])), -1)
-                at = known.get(key)
-                if at is None:
-                    at = known[key] = len(states)
-                    states.append(key)
-                target_above.append(at)
-                weight_above.append(least)
-            label, target, weight = label[:depth, new], target_above, weight_above
-        states.append((tuple(zip(label[0].tolist(), target, weight)), -1))
-        return cls([words[k - 1] for k in used.tolist()], *cls._arrays(states))
+            first = np.flatnonzero(new)
+            least = np.minimum.reduceat(weight, first)
+            raw = np.stack([label[depth], target, weight - least[np.cumsum(new) - 1]], axis=1).tobytes()
+            cuts = [*(24 * first).tolist(), len(raw)]
+            target = np.array([known.setdefault(raw[a:b], len(known)) for a, b in zip(cuts, cuts[1:])], np.int64)
+            label, weight = label[:depth, new], least
+        blocks = [*known, np.stack([label[0], target, weight], axis=1).tobytes()]
+        flat = np.frombuffer(b"".join(blocks), np.int64).reshape(-1, 3)
+        sizes = [len(x) // 24 for x in blocks]
+        final = np.full(len(blocks), -1)
+        final[0] = 0
+        return cls([words[k - 1] for k in used.tolist()], np.cumsum([0, *sizes], dtype=np.int64), flat[:, 0], flat[:, 1], flat[:, 2], final)
 
     @staticmethod
     def _arrays(states: list) -> tuple[np.ndarray, ...]:
         first = np.cumsum([0, *(len(arcs) for arcs, _ in states)], dtype=np.int64)
-        flat = np.array([x for arcs, _ in states for x in arcs], np.int64).reshape(-1, 3)
+        flat = np.fromiter(chain.from_iterable(chain.from_iterable(arcs for arcs, _ in states)), np.int64).reshape(-1, 3)
         return first, flat[:, 0], flat[:, 1], flat[:, 2], np.array([f for _, f in states], np.int64)
 
     def grams(self) -> Iterator[tuple[tuple[bytes, ...], int]]:
@@ -183,8 +181,11 @@ class Shard:
 
     def add(self, texts: list[str]) -> None:
         raw = "\n".join(texts).encode().translate(PIECES).replace(b"\n", b" \n ")
+        coded = pc.split_pattern(pa.array([raw + b" \n"], pa.large_binary()), " ").flatten().dictionary_encode()
         known = self.numbers
-        self.parts.append(np.array([known.setdefault(w, len(known)) for w in raw.split(b" ") if w] + [0], np.int64))
+        numbers = np.array([known.setdefault(w, len(known)) if w else -1 for w in coded.dictionary.to_pylist()], np.int64)
+        found = numbers[coded.indices.to_numpy()]
+        self.parts.append(found[found >= 0])
         self.words += len(self.parts[-1])
 
     def ranked(self) -> tuple[list[bytes], np.ndarray]:
@@ -282,9 +283,9 @@ def shards(docs: DataFrame, n: int, allowed, bounds, shard_words: int) -> DataFr
             for lang, body in zip(langs, texts):
                 by.setdefault(lang, []).append(body)
             for lang, bodies in by.items():
-                for at in range(0, len(bodies), 200):
+                for at in range(0, len(bodies), ADDED):
                     shard = open_.setdefault(lang, Shard())
-                    shard.add(bodies[at : at + 200])
+                    shard.add(bodies[at : at + ADDED])
                     if shard.words >= shard_words:
                         yield from rows(lang)
             while open_ and sum(s.words for s in open_.values()) > shard_words:  # many languages in one task
