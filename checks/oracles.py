@@ -672,3 +672,4 @@ O["stream_score"] = f"""WITH {ONE}, {FIT}, preds AS (SELECT {TARGET}, timestamp,
   intercept + slope * lag_1 AS predictions FROM panel JOIN fit USING ({TARGET})), {QUARTILES}, {CHECKED}
 SELECT {TARGET}, timestamp, real_value, {r('predictions')} AS predictions, {r('data_quality_percentage')} AS data_quality_percentage,
   validation_boolean FROM final"""
+O["stream_lag_scores"] = O["stream_score"]
