@@ -23,6 +23,8 @@ from seriesloom.sources.tables import date_bounds, series_of
 VARIABLES = ["click", "error", "purchase", "signup", "view"]
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 UPDATED = "2024-02-01 00:00:00"
+# A run from the first to the last of these, which is the second shifted back by so many hours, cut to the date.
+RANGE, RANGE_HOURS = ("2024-01-08 00:00:00", "2024-01-26 12:00:00"), 440
 TIE_SHIFT = 0.1234567  # in units of the last digit that is compared
 NOW = "2001-08-02 00:00:00"
 TARGET = [*LOCATION, "target_variable"]

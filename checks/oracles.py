@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from checks.domain import NOW, PRIORITIES, TIE_SHIFT, UPDATED, VARIABLES
+from checks.domain import NOW, PRIORITIES, RANGE, TIE_SHIFT, UPDATED, VARIABLES
 from seriesloom.functions.params import SEED_CONFIG
 
 SERIES = "latitude, longitude, variable_code"
@@ -673,3 +673,6 @@ O["stream_score"] = f"""WITH {ONE}, {FIT}, preds AS (SELECT {TARGET}, timestamp,
 SELECT {TARGET}, timestamp, real_value, {r('predictions')} AS predictions, {r('data_quality_percentage')} AS data_quality_percentage,
   validation_boolean FROM final"""
 O["stream_lag_scores"] = O["stream_score"]
+O["preprocess_look_back"] = O["preprocess_incremental"]
+IN_RANGE = ONE.replace("WHERE lag_1 IS NOT NULL)", "WHERE lag_1 IS NOT NULL AND timestamp BETWEEN TIMESTAMP '{}' AND TIMESTAMP '{}')".format(*RANGE))
+O["run_jobs_in_range"] = O["run_jobs"].replace(ONE, IN_RANGE)

@@ -886,6 +886,34 @@ def run_jobs(s, d):
     return rounded(out.select(*TARGET, "timestamp", "real_value", "validation_boolean", *measures), *measures)
 
 
+@query
+def run_jobs_in_range(s, d):
+    """Training between two dates, then prediction of the range that the feature marks and the look-back give."""
+    root = scratch_path(s, "jobs")
+    panel, cfg = one_lag(s, d), settings(model_names=[train.LINEAR])
+    train.run_train_job(s, root, panel, ["lag_1"], "value", cfg, UPDATED, *D.RANGE)
+    marks = panel.select(*LOCATION).distinct().select(
+        *LOCATION, F.lit("engineered_data").alias("data_type"), ntz(D.RANGE[1]).alias("timestamp"), ntz(UPDATED).alias("update_date")
+    )
+    sinks.save_table(s, root, "marks", materialize(marks))
+    predict.run_predict_job(
+        s, root, panel, "value", UPDATED, f"{root}/published", (D.RANGE_HOURS, "1h", "backward"), accuracy_threshold=60.0
+    )
+    out = s.read.parquet(f"{root}/published")
+    measures = ["predictions", "data_quality_percentage", "suggested_value"]
+    return rounded(out.select(*TARGET, "timestamp", "real_value", "validation_boolean", *measures), *measures)
+
+
+@query
+def preprocess_look_back(s, d):
+    """A second run that looks two days back behind the marks of the first equals one run over all."""
+    root, o = scratch_path(s, "look-back"), materialize(D.obs(s, d))
+    preprocess.run_preprocess(s, root, o.where(F.col("timestamp") < ntz("2024-01-20 00:00:00")), UPDATED)
+    marks = materialize(s.read.parquet(f"{root}/marks"))
+    preprocess.run_preprocess(s, root, o, UPDATED, marks, look_back=(2, "1D", "backward"))
+    return s.read.parquet(f"{root}/features").select("timestamp", *SERIES, "value", "update_date")
+
+
 @query
 def job_marks(s, d):
     """The marks and registry versions that the training job leaves behind after two runs, the second with nothing due."""

@@ -69,6 +69,15 @@ def shift_date(ts: Column, window: int, direction: str, frequency: str) -> Colum
     return day_of(ts + interval_seconds(seconds if direction == "forward" else -seconds))
 
 
+def within(df: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Rows from their location's start_date to its end_date. The widest range is a literal filter, so it reaches the scan."""
+    widest = ranges.agg(F.min("start_date"), F.max("end_date")).first()
+    near = df.where(F.col("timestamp").between(*[F.lit(bound).cast("timestamp_ntz") for bound in widest]))
+    limits = ranges.select(*LOCATION, "start_date", "end_date")
+    inside = F.col("timestamp").between(F.col("start_date"), F.col("end_date"))
+    return near.join(limits, LOCATION).where(inside).select(*df.columns)
+
+
 def resolve_preprocess_range(
     marks: DataFrame, now: Column, window: int = 100, direction: str = "backward", frequency: str = "1D"
 ) -> DataFrame:

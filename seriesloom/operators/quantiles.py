@@ -20,9 +20,11 @@ def exact_quantiles(
     The built-in exact percentile keeps every distinct value of a group in one task. Here a sketch
     with a known rank error brackets each quantile, and one map-side combined count gives the exact ranks of
     the bracket's ``SLICES`` ranges of values. Only the values of the range that holds the rank are ordered.
+    Rows with null keys are groups of their own.
     """
-    keys = list(keys)
-    rows = df.select(*keys, F.col(column).cast("double").alias("_v")).where(
+    names = list(keys)
+    keys = ["_group"]  # a struct of nulls equals itself in joins, a null does not
+    rows = df.select(F.struct(*names).alias("_group"), F.col(column).cast("double").alias("_v")).where(
         F.col("_v").isNotNull() & ~F.isnan("_v")
     )
     # The bracket must reach both order statistics: the sketch is off by a share of 1 / accuracy at most, and
@@ -91,7 +93,7 @@ def exact_quantiles(
     share = place - F.floor(place)
     missed = F.raise_error(F.lit("a quantile lies outside its bracket; raise the accuracy")).cast("double")
     return stats.select(
-        *keys,
+        *[F.col("_group")[name].alias(name) for name in names],
         "n",
         "probability",
         F.when(lo.isNull() | hi.isNull(), missed).otherwise(lo + (hi - lo) * share).alias("quantile"),

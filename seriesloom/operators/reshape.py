@@ -21,6 +21,15 @@ def check_columns(df: DataFrame, expected: Sequence[str]) -> DataFrame:
     return df.toDF(*expected)
 
 
+def sort_columns(df: DataFrame, expected: Sequence[str]) -> DataFrame:
+    """The expected columns in their order, found up to case; a missing or further one is refused."""
+    found = {c.lower(): c for c in df.columns}
+    wanted = [c.lower() for c in expected]
+    if len(found) != len(df.columns) or set(found) != set(wanted):
+        raise ValueError(f"columns {df.columns} do not match {list(expected)}")
+    return check_columns(df.select(*[found[c] for c in wanted]), expected)
+
+
 def first_of_each_name(columns: Sequence[str]) -> list[str]:
     return list(dict.fromkeys(columns))
 

@@ -35,7 +35,12 @@ def segment_of(order: Column, width: str | int) -> Column:
 
 
 def with_segment(df: DataFrame, order: str, width: str | int) -> DataFrame:
-    return df if SEGMENT in df.columns else df.withColumn(SEGMENT, segment_of(F.col(order), width))
+    """Add the segment. A row without a time has no place in a series: it fails the job. Rows without a
+    series key belong to no series: the joins on the key leave them out."""
+    if SEGMENT in df.columns:
+        return df
+    refused = F.raise_error(F.lit(f"a row without {order}")).cast("bigint")
+    return df.withColumn(SEGMENT, F.when(F.col(order).isNotNull(), segment_of(F.col(order), width)).otherwise(refused))
 
 
 # Candidate segment widths in minutes, narrow to wide.

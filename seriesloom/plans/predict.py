@@ -6,6 +6,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seriesloom.functions.dates import resolve_prediction_range, within
 from seriesloom.operators.boosted import score_model
 from seriesloom.operators.linear import score_linear
 from seriesloom.operators.merge import marks_of, since_mark, table_exists
@@ -82,17 +83,31 @@ def predict_and_validate(
 
 
 def run_predict_job(
-    spark: SparkSession, root: str, panel: DataFrame, label: str, update_date, publish_to: str | None = None, **how
+    spark: SparkSession,
+    root: str,
+    panel: DataFrame,
+    label: str,
+    update_date,
+    publish_to: str | None = None,
+    look_back: tuple[int, str, str] | None = None,
+    **how,
 ) -> None:
     """Predict what is newer than each location's prediction mark (everything without marks), from the tables below ``root``.
 
     Scores and validates with the registry, smooths, upserts the records, advances the marks and publishes the records.
-    Smoothing and thresholds see the whole panel; only new records are written.
+    Smoothing and thresholds see the whole panel; only new records are written. With ``look_back`` (steps, frequency, direction)
+    a run reads only its range: from the prediction mark, else the feature mark shifted, to the feature mark. Then
+    smoothing and thresholds see that range, and all its records are written.
     """
     with scratch_scope(spark):
         registry = spark.read.parquet(f"{root}/registry")
+        if look_back is not None:
+            window, frequency, direction = look_back
+            marks = spark.read.parquet(f"{root}/marks")
+            known = [marks.where(F.col("data_type") == kind) for kind in ("engineered_data", "predictions")]
+            panel = within(panel, materialize(resolve_prediction_range(*known, window, frequency, direction)))
         records = predict_and_validate(panel, registry, label, update_date=update_date, **how)
-        if table_exists(spark, f"{root}/marks"):
+        if look_back is None and table_exists(spark, f"{root}/marks"):
             records = since_mark(records, spark.read.parquet(f"{root}/marks"), "predictions")
         records = materialize(records)
         if records.isEmpty():

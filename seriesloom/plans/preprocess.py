@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriesloom.functions.calendar import DEFAULT_FEATURES, FEATURES, with_calendar
-from seriesloom.functions.dates import epoch_micros, frequency_seconds
+from seriesloom.functions.dates import epoch_micros, frequency_seconds, resolve_preprocess_range
 from seriesloom.operators.grid import complete_axis
 from seriesloom.operators.impute import interpolate_time
 from seriesloom.operators.segments import floor_div, suggest_width
@@ -76,14 +76,27 @@ def with_last_known(obs: DataFrame, marks: DataFrame, data_type: str = "engineer
 
 
 def run_preprocess(
-    spark: SparkSession, root: str, obs: DataFrame, update_date, marks: DataFrame | None = None, step: str = "1h",
+    spark: SparkSession,
+    root: str,
+    obs: DataFrame,
+    update_date,
+    marks: DataFrame | None = None,
+    step: str = "1h",
+    look_back: tuple[int, str, str] | None = None,
+    now=None,
 ) -> None:
     """Process what is newer than the marks (everything without marks) and save it.
 
     With marks, each series starts from its last observation up to the mark, however old,
     so the hours between that and the first new observation are filled as a full run fills them.
+    ``look_back`` (steps, frequency, direction) shifts the marks, and ``now`` (the update date by default) ends the run.
     """
     with scratch_scope(spark):
+        if look_back is not None and marks is not None:
+            end = F.lit(now or update_date).cast("timestamp_ntz")
+            window, frequency, direction = look_back
+            marks = resolve_preprocess_range(marks, end, window, direction, frequency).withColumn("timestamp", F.col("start_date"))
+            obs = obs.where(F.col("timestamp") <= end)
         fresh = materialize(obs if marks is None else with_last_known(obs, marks))
         # The completed axis has one row per step, or the observed rows where they are denser.
         steps = max(60, frequency_seconds(step) * 50_000 // 60)

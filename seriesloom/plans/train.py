@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seriesloom.functions.dates import resolve_training_range, within
 from seriesloom.functions import metrics as M
 from seriesloom.operators import boosted, linear
 from seriesloom.operators.impute import complete_rows
@@ -21,7 +22,7 @@ from seriesloom.operators.search import SearchResult, StopRules, search
 from seriesloom.operators.segments import POSITION, SERIES_ROWS, with_positions
 from seriesloom.operators.split import fold_block, rows_in_test
 from seriesloom.operators.validate import TARGET
-from seriesloom.schema import REGISTRY
+from seriesloom.schema import LOCATION, REGISTRY
 from seriesloom.session import materialize, scratch_scope
 from seriesloom.sources.sinks import save_table
 
@@ -235,9 +236,18 @@ def run_train_job(
     label: str,
     settings: TrainSettings,
     model_date,
+    start=None,
+    end=None,
 ) -> None:
-    """Train the series that are due, upsert their registry rows below ``root`` and advance the training marks."""
+    """Train the series that are due, upsert their registry rows below ``root`` and advance the training marks.
+
+    ``start`` and ``end`` limit the rows; without one, a location's first or last time takes its place.
+    """
     with scratch_scope(spark):
+        if start is not None or end is not None:
+            bounds = panel.groupBy(*LOCATION).agg(F.min("timestamp").alias("min_date"), F.max("timestamp").alias("max_date"))
+            given = [None if t is None else F.lit(t).cast("timestamp_ntz") for t in (start, end)]
+            panel = within(panel, materialize(resolve_training_range(bounds, *given)))
         place = f"{root}/registry"
         registry = spark.read.parquet(place) if table_exists(spark, place) else spark.createDataFrame([], REGISTRY)
         registry = registry.select(*[F.col(f.name).cast(f.dataType) for f in REGISTRY.fields])

@@ -9,13 +9,18 @@ from pyspark.sql import functions as F
 
 from seriesloom.functions.text import nan_to_null, strip_location
 from seriesloom.operators.merge import marks_of, upsert_table, with_month
-from seriesloom.operators.reshape import unpivot_long
+from seriesloom.operators.reshape import sort_columns, unpivot_long
 from seriesloom.schema import (
+    FEATURES,
     FEATURES_KEY,
+    HIGH_WATER,
     HIGH_WATER_KEY,
     LOCATION,
+    PREDICTIONS,
     PREDICTIONS_KEY,
+    REGISTRY,
     REGISTRY_KEY,
+    RUN_CONFIG,
     RUN_CONFIG_KEY,
 )
 from seriesloom.session import materialize
@@ -27,6 +32,7 @@ LAYOUT = {
     "config": (RUN_CONFIG_KEY, ["stage"]),
     "marks": (HIGH_WATER_KEY, ["data_type"]),
 }
+SCHEMAS = {"features": FEATURES, "predictions": PREDICTIONS, "registry": REGISTRY, "config": RUN_CONFIG, "marks": HIGH_WATER}
 # The first write of a configuration row sets its created_date, later ones leave it.
 UPDATES = {"config": ["parameter_value", "update_date"]}
 
@@ -37,8 +43,9 @@ def save(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str =
 
 
 def save_table(spark: SparkSession, root: str, table: str, df: DataFrame) -> None:
+    """Upsert into a stored table. Its columns are checked and put in order first."""
     keys, parts = LAYOUT[table]
-    df = nan_to_null(df)
+    df = nan_to_null(sort_columns(df, SCHEMAS[table].names))
     upsert_table(spark, f"{root}/{table}", with_month(df) if "month" in parts else df, keys, parts, UPDATES.get(table))
 
 

@@ -5,14 +5,17 @@ from pathlib import Path
 
 import numpy as np
 import pandas as pd
+import pytest
 from helpers import START, by_series, same, to_spark
 from pyspark.sql import functions as F
 
+from seriesloom.functions import dates
 from seriesloom.operators import impute, segments
+from seriesloom.operators.quantiles import exact_quantiles
 from seriesloom.plans import preprocess
 from seriesloom.schema import SERIES
 from seriesloom.session import materialize, shared_dir
-from seriesloom.sources import tables
+from seriesloom.sources import sinks, tables
 from seriesloom.streaming import jobs
 
 UPDATED = "2024-02-01 00:00:00"
@@ -139,3 +142,47 @@ def test_a_run_from_the_marks_fills_gaps_of_any_length(spark, tmp_path):
     full, parts = (spark.read.parquet(f"{tmp_path}/{x}/features") for x in ("full", "parts"))
     assert full.where("variable_code = 'rain'").count() == 1011
     assert full.exceptAll(parts.select(*full.columns)).count() == 0 and parts.count() == full.count()
+
+
+def test_rows_without_time_are_refused_and_without_key_left_out(spark):
+    schema = "k string, timestamp timestamp_ntz, value double"
+    bad = spark.createDataFrame([("a", START, 2.0), ("a", None, 1.0)], schema)
+    odd = spark.createDataFrame([("a", START, 2.0), (None, START, 1.0)], schema)
+    for run in (lambda df: segments.with_positions(df, ["k"]), lambda df: impute.interpolate_time(df, ["k"], ["value"])):
+        with pytest.raises(Exception, match="a row without timestamp"):
+            run(bad).collect()
+        assert [r.k for r in run(odd).collect()] == ["a"]
+
+
+def test_a_null_group_has_quantiles(spark):
+    rows = [(g, v, float(i)) for g, v in (("a", 1), (None, 1), (None, None)) for i in range(7)]
+    df = spark.createDataFrame(rows, "g string, v int, x double")
+    got = {(r.g, r.v, r.probability): (r.n, r["quantile"]) for r in exact_quantiles(df, ["g", "v"], "x", [0.25, 0.5]).collect()}
+    assert got == {(g, v, p): (7, 6 * p) for g, v in (("a", 1), (None, 1), (None, None)) for p in (0.25, 0.5)}
+
+
+def test_saves_check_and_sort_columns(spark, tmp_path):
+    marks = spark.createDataFrame(
+        [(START, 1.0, 2.0, "x", START)],
+        "UPDATE_DATE timestamp_ntz, longitude double, latitude double, data_type string, timestamp timestamp_ntz",
+    )
+    sinks.save_table(spark, str(tmp_path), "marks", marks)
+    saved = spark.read.parquet(f"{tmp_path}/marks").first()
+    assert (saved.latitude, saved.longitude, saved.update_date) == (2.0, 1.0, START)
+    for wrong in (marks.drop("longitude"), marks.withColumn("more", F.lit(1))):
+        with pytest.raises(ValueError):
+            sinks.save_table(spark, str(tmp_path), "marks", wrong)
+
+
+def test_a_range_reaches_the_scan(spark, tmp_path):
+    observations(spark, 100).write.parquet(f"{tmp_path}/obs")
+    stop = START + timedelta(hours=50)
+    ranges = spark.createDataFrame(
+        [(41.0, 2.0, START, stop), (42.0, 2.0, stop, stop)],
+        "latitude double, longitude double, start_date timestamp_ntz, end_date timestamp_ntz",
+    )
+    found = dates.within(spark.read.parquet(f"{tmp_path}/obs"), ranges)
+    bounds = {r.latitude: (r.a, r.b) for r in found.groupBy("latitude").agg(F.min("timestamp").alias("a"), F.max("timestamp").alias("b")).collect()}
+    assert bounds[41.0][0] == START and bounds[41.0][1] <= stop and bounds.get(42.0, (stop, stop)) == (stop, stop)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(timestamp" in plan and "LessThanOrEqual(timestamp" in plan
