@@ -10,25 +10,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import WORD_BYTES, hidden, map_batches, text_or_empty, worker_state
+from .common import WORD_BYTES, hidden, map_batches, text_or_empty
 
-#: Slots of the bit map that spares shingles no window can have. Its size is fixed, whatever the tables hold.
-SLOTS = 1 << 22
-#: Words whose hashes a worker remembers.
-WORDS_HELD = 250_000
+#: Slots of the bit map that spares shingles no window can have, for each shingle, and the most of all (32 MB); beyond them
+#: it lets more through, which costs time only.
+SLOTS_EACH, MOST_SLOTS = 16, 1 << 28
+#: Bytes that are hashed at a time; a longer word is hashed alone.
+CHUNK = 1 << 16
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
-
-
-class WordHashes(dict):
-    """64-bit hash by word."""
-
-    def __missing__(self, word: bytes) -> int:
-        from xxhash import xxh64_intdigest
-
-        if len(self) >= WORDS_HELD:
-            self.clear()
-        out = self[word] = xxh64_intdigest(word)
-        return out
+#: Bytes in lower case, and which of these belong to words, as in WORD_BYTES.
+SMALL = np.arange(256, dtype=np.uint8)
+SMALL[65:91] += 32
+IN_WORD = np.array([bool(WORD_BYTES.fullmatch(bytes([b]))) for b in range(256)])
+#: A word's hash is the sum of its bytes' weights times powers of an odd base, so prefix sums give the hashes of all words.
+WEIGHTS = np.random.default_rng(13).integers(1, 2**64, 256, dtype=np.uint64)
+POWERS, BACK = (np.multiply.accumulate(np.full(CHUNK, b, np.uint64)) for b in (int(MIX[0]), pow(int(MIX[0]), -1, 1 << 64)))
 
 
 def words_of(text: str) -> list[bytes]:
@@ -47,9 +43,50 @@ def shingles(hashes: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def hashed(words: list[bytes]) -> np.ndarray:
-    known = worker_state("word hashes", WordHashes)
-    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+class Words:
+    """The words of some texts in a row: bytes in lower case, where each word starts and ends, its hash, and each text's first word."""
+
+    def __init__(self, bodies: list[bytes]):
+        self.small = SMALL[np.frombuffer(b"\0".join(bodies), np.uint8)]
+        inside = np.zeros(len(self.small) + 2, bool)
+        inside[1:-1] = IN_WORD[self.small]
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        self.starts, self.ends = edges[::2], edges[1::2]
+        begin = np.append(0, np.cumsum(np.fromiter(map(len, bodies), np.int64, len(bodies)) + 1))
+        self.first = np.searchsorted(self.starts, begin)
+        self.owner = np.repeat(np.arange(len(bodies)), np.diff(self.first))
+        self.hashes = self.hashed()
+
+    def hashed(self) -> np.ndarray:
+        from xxhash import xxh64_intdigest
+
+        out, at = np.empty(len(self.starts), np.uint64), 0
+        while at < len(out):
+            low = int(self.starts[at])
+            to = int(np.searchsorted(self.ends, low + CHUNK, side="right"))
+            if to == at:
+                out[at] = xxh64_intdigest(self.small[low : int(self.ends[at])].tobytes())
+                at += 1
+                continue
+            part = self.small[low : int(self.ends[to - 1])]
+            sums = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum(WEIGHTS[part] * POWERS[: len(part)], out=sums[1:])
+            starts, ends = self.starts[at:to] - low, self.ends[at:to] - low
+            h = (sums[ends] - sums[starts]) * BACK[starts]
+            out[at:to] = (h ^ (h >> np.uint64(32))) * MIX[1]
+            at = to
+        return out
+
+    def shingles(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the shingles that lie within one text, and the number of the word at which each starts."""
+        found = shingles(self.hashes, size)
+        at = np.flatnonzero(self.owner[: len(found)] == self.owner[size - 1 :])
+        return found[at], at
+
+    def joined(self, low: np.ndarray, high: np.ndarray) -> list[str]:
+        """The words from ``low`` up to ``high``, joined by a space."""
+        data = self.small.tobytes()
+        return [b" ".join(WORD_BYTES.findall(data[a:b])).decode() for a, b in zip(self.starts[low].tolist(), self.ends[high - 1].tolist())]
 
 
 def windows(items: DataFrame, size: int, text: str = "text", key: str = "item_id") -> DataFrame:
@@ -61,7 +98,7 @@ def windows(items: DataFrame, size: int, text: str = "text", key: str = "item_id
             words = words_of(body)
             n = min(size, len(words))
             q = min(3, n)
-            all_shingles = shingles(hashed(words), q).view(np.int64) if n else None
+            all_shingles = shingles(Words([body.encode()]).hashes, q).view(np.int64) if n else None
             for at in range(len(words) - n + 1 if n else 0):
                 rows.append((item, n, b" ".join(words[at : at + n]).decode(), q, all_shingles[at : at + n - q + 1].tolist()))
         kinds = (pa.string(), pa.int32(), pa.string(), pa.int32(), pa.list_(pa.int64()))
@@ -73,30 +110,29 @@ def windows(items: DataFrame, size: int, text: str = "text", key: str = "item_id
 
 
 def bit_map(hashes: DataFrame) -> np.ndarray:
-    """Bits of the slots that a column ``h`` of hashes hits; at most SLOTS / 8 numbers reach the driver."""
-    slot, powers = F.col("h").bitwiseAND(F.lit(SLOTS - 1)), F.array(*[F.lit(1 << k) for k in range(8)])
-    bits = hashes.select(F.shiftright(slot, 3).alias("at"), F.element_at(powers, (slot.bitwiseAND(F.lit(7)) + 1).cast("int")).alias("bit"))
-    out = np.zeros(SLOTS // 8, np.uint8)
+    """Bits of the slots that a column ``h`` of hashes hits, 64 to a number; its size comes from the number of rows."""
+    slots = min(MOST_SLOTS, 1 << max(16, (SLOTS_EACH * hashes.count()).bit_length()))
+    slot = F.col("h").bitwiseAND(F.lit(slots - 1))
+    bits = hashes.select(F.shiftright(slot, 6).alias("at"), F.expr("shiftleft(1L, cast(h & 63 AS int))").alias("bit"))
+    out = np.zeros(slots // 64, np.int64)
     found = bits.groupBy("at").agg(F.bit_or("bit").alias("bit")).toArrow()
     out[found["at"].to_numpy()] = found["bit"].to_numpy()
-    return out
+    return out.view(np.uint64)
 
 
 def hit_positions(bits: np.ndarray, found: np.ndarray) -> np.ndarray:
-    slot = found & np.uint64(SLOTS - 1)
-    return np.flatnonzero(bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8) & 1)
+    slot = found & np.uint64(64 * len(bits) - 1)
+    return np.flatnonzero(bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1))
 
 
 def shingle_counts(docs: DataFrame, bits, sizes: list[int]) -> DataFrame:
     """h and count over all documents of the shingles whose slot is set; each batch sends one row for each of them."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        parts = []
-        for text in batch.column(0).to_pylist():
-            hashes = hashed(words_of(text))
-            for q in sizes:
-                found = shingles(hashes, q)
-                parts.append(found[hit_positions(bits.value, found)])
+        words, parts = Words([t.encode() for t in batch.column(0).to_pylist()]), []
+        for q in sizes:
+            found, _ = words.shingles(q)
+            parts.append(found[hit_positions(bits.value, found)])
         h, n = np.unique(np.concatenate(parts), return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
 
@@ -106,25 +142,30 @@ def shingle_counts(docs: DataFrame, bits, sizes: list[int]) -> DataFrame:
 CANDIDATES = "key long, doc_hash long, n_words long, at array<struct<h: long, pos: int, lo: int, words: string>>"
 
 
-def candidates(docs: DataFrame, bits, sizes: list[int], size: int) -> DataFrame:
-    """One row per document: words, and where a prefix shingle may stand, with the words that a window around it can cover."""
+def candidates(docs: DataFrame, bits, reach: dict[int, int]) -> DataFrame:
+    """One row per document: words, and where a prefix shingle may stand, with the words that a window around it can cover.
+
+    ``reach``: for each size of a shingle the words of the longest window that has one; a window of one shingle needs no other words.
+    """
     from xxhash import xxh64_intdigest
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = []
-        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            words = words_of(text or "")
-            hashes, at = hashed(words), []
-            for q in sizes:
-                found = shingles(hashes, q)
-                for p in hit_positions(bits.value, found).tolist():
-                    lo = max(0, p - size + q)
-                    at.append({"h": int(found[p : p + 1].view(np.int64)[0]), "pos": p, "lo": lo, "words": b" ".join(words[lo : p + size]).decode()})
-            own = np.array([xxh64_intdigest((text or "").encode(), 42)], np.uint64).view(np.int64)[0]
-            rows.append((key, int(own), len(words), at))
-        kind = pa.list_(pa.struct([("h", pa.int64()), ("pos", pa.int32()), ("lo", pa.int32()), ("words", pa.string())]))
-        kinds = (pa.int64(), pa.int64(), pa.int64(), kind)
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["key", "doc_hash", "n_words", "at"])
+        bodies = [(t or "").encode() for t in batch.column(1).to_pylist()]
+        words, parts = Words(bodies), [(*[np.zeros(0, np.int64)] * 3, np.zeros(0, np.uint64))]
+        for q, most in reach.items():
+            found, at = words.shingles(q)
+            hit = hit_positions(bits.value, found)
+            at, of = at[hit], words.owner[at[hit]]
+            parts.append((at, np.maximum(words.first[of], at - most + q), np.minimum(words.first[of + 1], at + most), found[hit]))
+        at, low, high, h = (np.concatenate(x) for x in zip(*parts))
+        order = np.argsort(at, kind="stable")
+        at, low, high, h = at[order], low[order], high[order], h[order]
+        of = words.owner[at]
+        cells = {"h": pa.array(h.view(np.int64)), "pos": pa.array((at - words.first[of]).astype(np.int32)), "lo": pa.array((low - words.first[of]).astype(np.int32)), "words": pa.array(words.joined(low, high), pa.string())}
+        offsets = np.append(0, np.cumsum(np.bincount(of, minlength=len(bodies)))).astype(np.int32)
+        spots = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(list(cells.values()), names=list(cells)))
+        own = np.fromiter((xxh64_intdigest(b, 42) for b in bodies), np.uint64, len(bodies)).view(np.int64)
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(own), pa.array(np.diff(words.first)), spots], names=["key", "doc_hash", "n_words", "at"])
 
     return map_batches(docs, run, CANDIDATES)
 
@@ -141,10 +182,10 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 13, text: str =
     """
     spark, empty = docs.sparkSession, docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     found = materialize(windows(items, size, item_text, item_key))
-    sizes = sorted(r["q"] for r in found.select("q").distinct().collect())
+    reach = {r["q"]: r["n"] for r in found.groupBy("q").agg(F.max("n").alias("n")).orderBy("q").collect()}
     pre = found.select("item", "n", "words", "q", F.posexplode("shingles").alias("offset", "h"))
     all_bits = spark.sparkContext.broadcast(bit_map(pre.select("h")))
-    counts = materialize(shingle_counts(docs.select(text_or_empty(text)), all_bits, sizes)) if sizes else None
+    counts = materialize(shingle_counts(docs.select(text_or_empty(text)), all_bits, list(reach))) if reach else None
     if counts is None:
         prefix = pre
     else:
@@ -152,7 +193,7 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 13, text: str =
         prefix = rarest.filter("r.seen > 0").select("item", "n", "words", "q", F.col("r.h").alias("h"), F.col("r.offset").alias("offset"))
     prefix = materialize(prefix)
     bits = spark.sparkContext.broadcast(bit_map(prefix.select("h")))
-    rows = materialize(candidates(empty, bits, sizes, size))
+    rows = materialize(candidates(empty, bits, reach))
     spots = rows.filter(F.size("at") > 0).select("key", "doc_hash", "n_words", F.explode("at").alias("s")).select("key", "doc_hash", "n_words", "s.*")
     start = (F.col("pos") - F.col("offset")).alias("start")
     bound = (F.col("pos") >= F.col("offset")) & (F.col("pos") - F.col("offset") + F.col("n") <= F.col("n_words"))
