@@ -327,13 +327,32 @@ class Labeller:
         return loss / total
 
 
+def sample(pages: DataFrame, html: str, key: str, n: int) -> list[str]:
+    """Of different (key, page) rows the ``n`` with the least hashes. Only hashes are ordered, from a share of the rows that a count
+    gives; only the pages that are taken reach the driver."""
+    hashes = pages.withColumns({"_a": F.xxhash64(key), "_b": F.xxhash64(html)})
+    total = max(1, pages.count())
+    upto = 2**64 * min(total, 4 * n) // total - 2**63 - 1
+
+    def least(rows: DataFrame) -> list:
+        return rows.select("_a", "_b").distinct().orderBy("_a", "_b").limit(n).collect()
+
+    taken = least(hashes.filter(F.col("_a") <= upto))
+    if len(taken) < n:  # a key that many rows have
+        taken = least(hashes)
+    rank = {(r["_a"], r["_b"]): k for k, r in enumerate(taken)}
+    asked = hashes.filter(F.col("_a").isin([a for a, _ in rank]) & F.col("_b").isin([b for _, b in rank]))
+    found = asked.groupBy("_a", "_b").agg(F.min(html).alias("page")).collect()
+    return [r["page"] for r in sorted(found, key=lambda r: rank.get((r["_a"], r["_b"]), n)) if (r["_a"], r["_b"]) in rank]
+
+
 def fit(pages: DataFrame, html: str = "html", key: str = "page_id", sample_pages: int = SAMPLE_PAGES, epochs: int = EPOCHS, seed: int = 7) -> Labeller | None:
     """Fit on a bounded sample: ``sample_pages`` pages by the hash of their key, each also in two other wrappings.
 
     Every epoch reads all blocks of a page, or FIT_BLOCKS consecutive ones from a place of the whole page that is drawn anew.
     """
-    rows = pages.filter(F.col(html) != "").orderBy(F.xxhash64(F.col(key)), F.xxhash64(F.col(html))).limit(sample_pages).select(html).collect()
-    real = [b for r in rows if (b := leaf_blocks(r[html]))]
+    rows = sample(pages.filter(F.col(html) != "").select(key, html), html, key, sample_pages)
+    real = [b for page in rows if (b := leaf_blocks(page))]
     if not real:
         return None
     rng, shown = np.random.default_rng(seed), list(real)
