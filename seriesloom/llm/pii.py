@@ -25,8 +25,9 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 SIGN = re.compile("[0-9@]")
 
 #: Further candidates: runs of digits and signs, and addresses with an at sign or a word for it.
-NUMBER = re.compile(r"[0-9(+][0-9 ().:/-]{5,60}[0-9]")
-ADDRESS = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}[ ]?(?:@|\(at\)|\[at\])[ ]?[A-Za-z0-9][A-Za-z0-9.-]*")
+NUMBER = re.compile(r"[0-9(+][0-9 ().:/-]*+")
+NUMBER_ENDS = " ().:/-+"
+PLACE = re.compile(r" ?(?:@|\(at\)|\[at\]) ?[A-Za-z0-9][A-Za-z0-9.-]*")
 #: What a context is made of: runs of letters, or one sign.
 CONTEXT = re.compile(r"[^\W\d_]+|[^\w\s]")
 #: Characters on either side in which context is looked for.
@@ -103,13 +104,34 @@ def shapes(value: str) -> int:
     return out
 
 
+def numbers(text: str) -> list[tuple[int, int]]:
+    """Runs of digits and signs from a digit or an opening sign to a digit, seven characters or more, however long."""
+    found = ((m.start(), m.start() + len(m[0].rstrip(NUMBER_ENDS))) for m in NUMBER.finditer(text))
+    return [(a, b) for a, b in found if b - a >= 7]
+
+
+def written_addresses(text: str) -> list[tuple[int, int]]:
+    """Addresses with an at sign or a word for it; the local part reaches back as far as it can, but not into the one before."""
+    out, free = [], 0
+    for m in PLACE.finditer(text):
+        start = m.start()
+        while start > free and text[start - 1] in LOCAL:
+            start -= 1
+        while start < m.start() and text[start] in "._%+-":
+            start += 1
+        if start < m.start():
+            out.append((start, m.end()))
+            free = m.end()
+    return out
+
+
 def candidate_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """(start, end, shapes) of further candidates that touch no base span."""
     if not SIGN.search(text) and "at" not in text:
         return []
-    found = [(m.start(), m.end()) for m in NUMBER.finditer(text) if m.end() - m.start() >= 7]
+    found = numbers(text)
     if "@" in text or "at)" in text or "at]" in text:
-        found += [(m.start(), m.end()) for m in ADDRESS.finditer(text)]
+        found += written_addresses(text)
     taken, out, k, free = sorted((a, b) for a, _, b in base), [], 0, 0
     for a, b in sorted(found):
         while k < len(taken) and taken[k][1] <= a:
