@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import map_batches, partitions, text_or_empty
+from .common import map_batches, map_streams, partitions, text_or_empty
 from .tokens import tokenizer_path, worker_encoder
 
 #: Rows and bytes of text that are encoded at a time; a longer text alone.
@@ -60,7 +60,7 @@ def write_ids(docs: DataFrame, folder: str, path: str | None = None, text: str =
     cols = docs.select(F.col(key).cast("long").alias("doc_id"), text_or_empty(text).alias("text")).withColumn("tie", F.xxhash64("text"))
     # The bounds of the ranges are sampled by the driver: numbers only, no texts.
     ordered = cols.repartitionByRange(partitions(spark), "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
-    writer = ordered.mapInArrow(run, SCHEMA).write.format("orc").mode("error")
+    writer = map_streams(ordered, run, SCHEMA).write.format("orc").mode("error")
     options = {"compression": "snappy", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": str(index_rows), "orc.stripe.size": str(stripe_bytes)}
     writer.options(**options).save(folder)
 

@@ -12,9 +12,19 @@ from .common import hidden
 BLANKS = " \t\n\x0b\x0c\r"
 #: Tasks, at most, that the rows of one digest are dealt over for the comparison of their bytes.
 SALTS = 16
+#: What a micro-batch reads of the content store, where the caller says nothing.
+BATCH_BYTES = 1 << 33
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-#: State on disk without space set aside in advance, which would be 4 MB for each of many small stores.
-STATE = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
+#: State on disk without space set aside in advance, which would be 4 MB for each of many small stores. All stores of an executor share
+#: one bound of memory (MB), and a store is closed when its task has committed, as an executor may hold hundreds of partitions.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
+    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "4",
+}
 
 
 def normalised(text: str = "text"):
@@ -34,7 +44,7 @@ class ExactDedup:
     ``bytes_per_batch`` bounds what one micro-batch reads of the content store.
     """
 
-    def __init__(self, docs: DataFrame, text: str = "text", key: str = "doc_id", bytes_per_batch: int = 1 << 38):
+    def __init__(self, docs: DataFrame, text: str = "text", key: str = "doc_id", bytes_per_batch: int = BATCH_BYTES):
         self.spark: SparkSession = docs.sparkSession
         self.text, self.key, self.columns, self.bytes_per_batch = text, key, docs.columns, bytes_per_batch
         self.n = hidden(docs, "digest", "points", "locator", "keep", "size", "stays", "at", "salt")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import map_batches, partitions, text_or_empty
+from .common import map_batches, map_streams, partitions, text_or_empty
 from .simhash import components, merge_labels
 
 SEED = 42
@@ -132,7 +132,7 @@ def _by_groups(rows: DataFrame, cols: list[str], found, most_rows: int | None =
         if held and held.num_rows:
             yield links(held)
 
-    out = dealt.mapInArrow(run, "a long, b long").filter("a != b")
+    out = map_streams(dealt, run, "a long, b long").filter("a != b")
     return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import map_batches, partitions, text_or_empty
+from .common import map_batches, map_streams, partitions, text_or_empty
 from .tokens import tokenizer_path, worker_encoder
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -145,7 +145,7 @@ def shards(pieces: DataFrame, size: int) -> DataFrame:
         if held and held.num_rows:
             yield row(held)
 
-    dealt = materialize(pieces.mapInArrow(run, SHARD))
+    dealt = materialize(map_streams(pieces, run, SHARD))
     # One row for each task: shards are numbered without gaps, so that ids stay small whatever the number of tasks.
     sizes = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import map_batches, partitions, text_or_empty
+from .common import map_batches, map_streams, partitions, text_or_empty
 from .resample import ranked
 
 #: Words after which a shard is closed: its counts become automata, so a task's memory doesn't grow with its input. Long texts count on.
@@ -293,7 +293,7 @@ def shards(docs: DataFrame, n: int, allowed, bounds, shard_words: int) -> DataFr
         for lang in list(open_):
             yield from rows(lang)
 
-    return docs.mapInArrow(run, "lang string, section int, automaton binary, n_words long")
+    return map_streams(docs, run, "lang string, section int, automaton binary, n_words long")
 
 
 def section(cuts: list[tuple[bytes, ...]], gram: tuple[bytes, ...]) -> int:
@@ -327,7 +327,7 @@ def unions(parts: DataFrame, least: int) -> DataFrame:
             yield row()
 
     cols = parts.select("lang", "section", "n_words", "automaton").repartition(partitions(parts.sparkSession), "lang", "section").sortWithinPartitions("lang", "section")
-    return cols.mapInArrow(run, "lang string, section int, n_words long, n long, automaton binary")
+    return map_streams(cols, run, "lang string, section int, n_words long, n long, automaton binary")
 
 
 def range_bounds(docs: DataFrame, ranges: int, longest: int) -> dict[str, list[tuple[bytes, ...]]]:
@@ -421,7 +421,7 @@ def part_counts(asked: DataFrame, counted: DataFrame, bounds) -> DataFrame:
         if key:
             yield answers()
 
-    return rows.select(*keys, "part", "automaton").mapInArrow(run, "lang string, part string, f long")
+    return map_streams(rows.select(*keys, "part", "automaton"), run, "lang string, part string, f long")
 
 
 def candidates(counted: DataFrame) -> DataFrame:

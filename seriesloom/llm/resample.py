@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import map_batches, partitions, text_or_empty, worker_state
+from .common import map_batches, map_streams, partitions, text_or_empty, worker_state
 
 #: Buckets of the hashed features; so many numbers, and no more, reach the driver and go to the workers.
 BUCKETS = 10_000
@@ -62,7 +62,7 @@ def bucket_counts(rows: DataFrame, text: str = "text", most: int = 1, buckets: i
         yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(total[met])], names=["bucket", "n"])
 
     out = np.zeros(buckets, np.int64)
-    found = rows.select(text_or_empty(text)).mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    found = map_streams(rows.select(text_or_empty(text)), run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     out[found["bucket"].to_numpy()] = found["n"].to_numpy()
     return out
 

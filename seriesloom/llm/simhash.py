@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import hidden, map_batches, partitions, text_or_empty, worker_state
+from .common import hidden, map_batches, map_streams, partitions, text_or_empty
 
 SEED = 42
 #: Bits of the blocks that a pair at distance 3 or less must share two of.
@@ -45,7 +45,6 @@ def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", words
     """key, fp (the fingerprint as a signed long) and the ``carried`` numbers of every row."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        worker_state("fingerprints", dict)  # caches of other operators go
         found = np.fromiter((fingerprint(t, words_per_shingle) for t in batch.column(1).to_pylist()), np.uint64, batch.num_rows)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64)), *batch.columns[2:]], names=[key, "fp", *carried])
 
@@ -149,7 +148,7 @@ def links(classes: DataFrame, most: int = 3, n_pivots: int = 16) -> DataFrame:
         if held:
             yield found(held)
 
-    return sorted_rows.mapInArrow(run, "a long, b long").filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return map_streams(sorted_rows, run, "a long, b long").filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

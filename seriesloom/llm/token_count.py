@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, partitions, text_or_empty, worker_state
+from .common import map_batches, map_streams, partitions, text_or_empty, worker_state
 from .tokens import PieceEncoder, tokenizer_path
 
 #: Entries of the broadcast table. A pre-token group is what one space leads, see ``tokens``.
@@ -54,9 +54,9 @@ def frequent_pieces(docs: DataFrame, text: str = "text") -> list[str]:
         yield summary(seen)
 
     schema = "pieces array<string>, counts array<long>"
-    found = docs.select(text_or_empty(text)).mapInArrow(count, schema)
+    found = map_streams(docs.select(text_or_empty(text)), count, schema)
     for width in (partitions(docs.sparkSession), 8):
-        found = found.repartition(width).mapInArrow(merge, schema)
+        found = map_streams(found.repartition(width), merge, schema)
     total: Counter = Counter()
     for row in found.collect():
         total.update(dict(zip(row["pieces"], row["counts"])))

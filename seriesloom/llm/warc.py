@@ -13,7 +13,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, partitions
+from .common import map_streams, partitions
 
 MAGIC = b"\x1f\x8b\x08"
 VERSION = b"WARC/1."
@@ -89,7 +89,7 @@ def write_warc(rows: DataFrame, folder: str, date: str = "1970-01-01T00:00:00Z",
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), (pa.string(), pa.int64(), pa.int64()))], names=["path", "size", "records"])
 
-    return rows.select("page_id", "url", "html", "digest", "refers_to").mapInArrow(run, "path string, size long, records long")
+    return map_streams(rows.select("page_id", "url", "html", "digest", "refers_to"), run, "path string, size long, records long")
 
 
 def parse(data: bytes, check: bool = True) -> tuple:
@@ -198,4 +198,4 @@ def read_warc(files: DataFrame, split_bytes: int = SPLIT_BYTES, payload: bool =
             yield batch_of(held)
 
     spread = ranges.repartition(partitions(files.sparkSession), "path", "start")
-    return spread.mapInArrow(run, RECORD + ", payload binary" * payload)
+    return map_streams(spread, run, RECORD + ", payload binary" * payload)
