@@ -523,3 +523,44 @@ def test_stages(spark, tmp_path, rows):
 
 def test_checksum_of_ids():
     assert zlib.crc32(pa.array([1, 2], pa.uint32()).to_numpy().tobytes()) == brute.crc([1, 2])
+
+
+def test_word_hashes_follow_the_words():
+    rng = random.Random(5)
+    for _ in range(300):
+        texts = ["".join(rng.choice("aB Z9-\u00e9\u0436\0 \n.") for _ in range(rng.randint(0, 40))) for _ in range(rng.randint(1, 6))]
+        found, wanted = decontam.Words([t.encode() for t in texts]), [decontam.words_of(t) for t in texts]
+        flat = [w for words in wanted for w in words]
+        assert np.diff(found.first).tolist() == [len(words) for words in wanted]
+        of = dict(zip(flat, found.hashes.tolist()))
+        assert [of[w] for w in flat] == found.hashes.tolist() and len(set(of.values())) == len(of)
+        for q in (1, 2, 3):
+            assert len(found.shingles(q)[0]) == sum(max(0, len(words) - q + 1) for words in wanted)
+    long = decontam.Words([b"x" * 70_000 + b" ab " + b"x" * 70_000 + b" ab"]).hashes
+    assert long[0] == long[2] and long[1] == long[3] and long[0] != long[1]
+
+
+def test_one_word_items_send_one_word(spark):
+    texts = {1: "the cat and the dog the end", 2: "nothing here", 3: "The"}
+    rows = frame(spark, [(k, t, None, None, None) for k, t in texts.items()])
+    given = items(spark, [(7, "the"), (8, "cat and")])
+    words = decontam.candidates(rows.select(F.col("doc_id").alias("key"), "text"), spark.sparkContext.broadcast(np.full(1024, 2**64 - 1, np.uint64)), {1: 1})
+    assert {w["words"] for r in words.collect() for w in r["at"]} == {"the", "cat", "and", "dog", "end", "nothing", "here"}
+    got = {r["doc_id"]: (r["n_hit"], r["items"]) for r in decontam.contamination(rows, given).collect()}
+    assert got == {1: (5, ["7", "8"]), 2: (0, []), 3: (1, ["7"])}
+
+
+def test_long_candidates_are_whole():
+    name, number = "a" * 300, "12-" * 200 + "3"
+    text = f"write {name} (at) example.org or {number}: "
+    assert pii.written_addresses(text) == [(6, 6 + 300 + len(" (at) example.org"))]
+    at = text.index(number)
+    assert pii.numbers(text) == [(at, at + len(number))]
+
+
+def test_fitting_takes_the_least_hashes(spark):
+    rows = [(k % 7 or None, f"<p>page {k}</p>", k) for k in range(300)] + [(1, "<p>same</p>", 0)] * 50
+    table = spark.createDataFrame(rows, "page_id long, html string, _x int").repartition(5)
+    order = table.select(F.xxhash64("page_id").alias("a"), F.xxhash64("html").alias("b"), "html").distinct().orderBy("a", "b").limit(40)
+    assert html_extract.sample(table, "html", "page_id", 40) == [r["html"] for r in order.collect()]
+    assert html_extract.sample(table.limit(0), "html", "page_id", 40) == []
