@@ -37,6 +37,38 @@ def cut_documents(docs: DataFrame, path: str, capacity: int, end_id: int) -> Dat
     return map_batches(docs.select(F.col("doc_id").cast("long"), text_or_empty()), pieces, PIECE)
 
 
+class Stock:
+    """Free items by length. ``below[x]`` is the greatest free length up to x, or 0."""
+
+    def __init__(self, lengths: list[int], items: list[int], capacity: int):
+        self.held: dict[int, list[int]] = {}
+        for i in items:
+            self.held.setdefault(lengths[i], []).append(i)
+        self.count = np.zeros(capacity + 1, np.int64)
+        for size, held in self.held.items():
+            self.count[size] = len(held)
+        self.below = np.maximum.accumulate(np.where(self.count > 0, np.arange(capacity + 1), 0))
+
+    def take(self, size: int) -> int:
+        self.count[size] -= 1
+        if not self.count[size]:
+            self.below[size : np.searchsorted(self.below, size, "right")] = self.below[size - 1]
+        return self.held[size].pop()
+
+    def shortest(self) -> int:
+        return int(np.argmax(self.count > 0))
+
+    def best_two(self, room: int, single: float, uneven: float, rng: random.Random) -> tuple[int, int]:
+        """The lengths of one (the second is 0) or two items that fill the room best. Of several, by chance ``single`` a single one, then by
+        chance ``uneven`` those with the longest item, else any."""
+        one = np.flatnonzero(self.count[: room + 1])
+        two = self.below[room - one]
+        two = np.where((two == one) & (self.count[one] == 1), self.below[one - 1], two)
+        best = np.flatnonzero(one + two == (one + two).max())
+        k = best[-1] if rng.random() < (uneven if two[best[-1]] else single) else best[rng.randrange(len(best))]
+        return int(one[k]), int(two[k])
+
+
 class Grouping:
     """One chromosome: bins of item numbers. Fewer bins are better, then more uneven fill, which leaves room to save a bin."""
 
@@ -72,19 +104,35 @@ class Grouping:
             mask |= 1 << (left - size)
         return self
 
+    def complete(self, items: list[int], rng: random.Random) -> Grouping:
+        """Put the items into new bins: the longest free item, then free ones until one or two of them fill the bin exactly, if any do."""
+        stock, single, uneven = Stock(self.lengths, [i for i in items if self.lengths[i]], self.capacity), rng.random(), rng.random()
+        while first := int(stock.below[-1]):
+            held, room = [stock.take(first)], self.capacity - first
+            while longest := int(stock.below[room]):
+                sizes = (longest,)
+                if 2 * longest >= room:
+                    one, two = stock.best_two(room, single, uneven, rng)
+                    if one + two == room or room < 3 * stock.shortest():
+                        sizes = (one, two)
+                held += [stock.take(size) for size in sizes if size]
+                room -= sum(sizes)
+            self.bins.append(held)
+            self.fill.append(self.capacity - room)
+        return self.best_fit([i for i in items if not self.lengths[i]])
+
     def cross(self, other: Grouping, rng: random.Random) -> Grouping:
-        """Inject well-filled bins of ``other``, drop own bins that repeat their items, best-fit what that displaces."""
-        ranked = sorted(range(len(other.bins)), key=lambda b: -other.fill[b])
-        chosen = [b for b in ranked[: max(1, len(ranked) // 2)] if rng.random() < 0.7]
-        brought = {i for b in chosen for i in other.bins[b]}
-        kept, displaced = [list(other.bins[b]) for b in chosen], []
-        for b, f in zip(self.bins, self.fill):
-            if brought.isdisjoint(b) and f > 0.9 * self.capacity * rng.random():
+        """Inherit the fullest bins of both that share no item, lose a share of them by chance, then complete or best-fit what is free."""
+        ranked = sorted(((-f, rng.random(), b) for parent in (self, other) for f, b in zip(parent.fill, parent.bins)))
+        lost, taken, kept = rng.choice((0.02, 0.05, 0.1, 0.2)), set(), []
+        for f, chance, b in ranked:
+            if chance >= (lost if f == -self.capacity else 0.5) and taken.isdisjoint(b):
+                taken.update(b)
                 kept.append(list(b))
-            else:
-                displaced += [i for i in b if i not in brought]
-        displaced.sort(key=lambda i: -self.lengths[i])
-        return Grouping(self.lengths, self.capacity, kept).best_fit(displaced)
+        child, free = Grouping(self.lengths, self.capacity, kept), [i for i in range(len(self.lengths)) if i not in taken]
+        if rng.random() < 0.5:
+            return child.complete(free, rng)
+        return child.best_fit(sorted(free, key=lambda i: -self.lengths[i]))
 
     def assignment(self) -> list[int]:
         out = [0] * len(self.lengths)
@@ -101,23 +149,54 @@ def from_assignment(lengths: list[int], capacity: int, bins: list[int]) -> Group
     return Grouping(lengths, capacity, held)
 
 
+def least_bins(lengths: list[int], capacity: int) -> int:
+    """No grouping has fewer bins: the greatest of bound L2 of Martello and Toth and of Fekete and Schepers' dual feasible functions.
+
+    For each ``small`` up to half a bin, items longer than a bin less ``small`` have a bin each and shorter ones than ``small`` are left
+    out. L2: of the rest, items of more than half a bin share none; the others go into what room these leave, or need further bins. The
+    functions: of the rest, an item longer than c parts of k + 1 of a bin counts as c / k of a bin, as k of them at most go together.
+    """
+    half, size = capacity // 2, np.arange(capacity + 1)
+    count = np.bincount(lengths, minlength=capacity + 1)
+    small = np.arange(half + 1)
+    number, total = np.cumsum(count), np.cumsum(count * size)
+    alone = number[-1] - number[capacity - small]
+
+    def between(sums: np.ndarray, low: np.ndarray | int, high: np.ndarray | int) -> np.ndarray:
+        return sums[high] - np.where(low > 0, sums[low - 1], 0)
+
+    shared = between(number, half + 1, capacity - small)
+    rest = between(total, small, half) - (shared * capacity - between(total, half + 1, capacity - small))
+    least = (alone + shared + np.maximum(0, -(-rest // capacity))).max()
+    for k in range(2, 21):
+        parts = (k + 1) * size
+        worth = np.cumsum(count * np.where(parts % capacity == 0, k * size, parts // capacity * capacity))
+        least = max(least, (alone + -(-between(worth, small, capacity - small) // (k * capacity))).max())
+    return int(least)
+
+
 def evolve(lengths: list[int], capacity: int, seed: int, known: list[list[int]], population: int, generations: int) -> list[int]:
-    """One epoch of an island: start from known groupings and best-fit of perturbed orders, then replace the worst by crossings."""
-    rng, n = random.Random(seed), len(lengths)
+    """One epoch of an island: start from known groupings, best-fit decreasing and completions in random ways, then replace the worst by crossings.
+
+    It ends at the lower bound, or when ``generations`` crossings in a row have saved no bin.
+    """
+    rng, n, least = random.Random(seed), len(lengths), least_bins(lengths, capacity)
     people = [from_assignment(lengths, capacity, k) for k in known]
-    while len(people) < population:
-        noise = 0.0 if not people else 0.15
-        order = sorted(range(n), key=lambda i: -lengths[i] * (1 + noise * rng.random()))
-        people.append(Grouping(lengths, capacity).best_fit(order))
-    least = -(-sum(lengths) // capacity)
-    for _ in range(generations):
-        people.sort(key=Grouping.fitness)
-        if len(people[0].bins) == least:
-            break
-        a, b = rng.sample(range(len(people)), 2)
-        child = people[min(a, b)].cross(people[max(a, b)], rng)
-        if child.fitness() < people[-1].fitness():
-            people[-1] = child
+    if not people:
+        people.append(Grouping(lengths, capacity).best_fit(sorted(range(n), key=lambda i: -lengths[i])))
+    best, idle = min(len(p.bins) for p in people), 0
+    while best > least and idle < generations:
+        if len(people) < population:
+            people.append(Grouping(lengths, capacity).complete(list(range(n)), rng))
+        else:
+            people.sort(key=Grouping.fitness)
+            a, b = sorted(rng.sample(range(len(people)), 2))
+            child = people[a].cross(people[b], rng)
+            if child.fitness() < people[-1].fitness():
+                people[-1] = child
+            idle += 1
+        if (now := min(len(p.bins) for p in people)) < best:
+            best, idle = now, 0
     return min(people, key=Grouping.fitness).assignment()
 
 
@@ -152,14 +231,14 @@ def shards(pieces: DataFrame, size: int) -> DataFrame:
     return dealt.join(before, "part").withColumn("shard", F.col("before") + F.col("number")).drop("part", "number", "before")
 
 
-def pack(pieces: DataFrame, capacity: int = 2048, shard_pieces: int = 4096, islands: int = 2, epochs: int = 2, population: int = 4, generations: int = 6) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 2048, shard_pieces: int = 4096, islands: int = 2, population: int = 6, generations: int = 100) -> DataFrame:
     """``pieces`` (see PIECE, none longer than ``capacity``) with sequence_id and offset.
 
     Shards are packed apart (``pack_shards``). The pieces of sequences with more than ``capacity`` / 32 free then come together in new, full
     shards and are packed again, until they fit one shard or the number of their sequences doesn't shrink, so that the result hardly
     depends on how the rows lie in partitions. Of both packings of a round the one with fewer sequences counts.
     """
-    how = (capacity, shard_pieces, islands, epochs, population, generations)
+    how = (capacity, shard_pieces, islands, population, generations)
     packed = materialize(pack_shards(pieces, *how))
     done, base = [], 0
     while True:
@@ -181,32 +260,43 @@ def pack(pieces: DataFrame, capacity: int = 2048, shard_pieces: int = 4096, isla
     return reduce(DataFrame.unionByName, [part.select(*cols) for part in [*done, packed]])
 
 
-def pack_shards(pieces: DataFrame, capacity: int, shard_pieces: int, islands: int, epochs: int, population: int, generations: int) -> DataFrame:
+def pack_shards(pieces: DataFrame, capacity: int, shard_pieces: int, islands: int, population: int, generations: int) -> DataFrame:
     """``pieces`` with sequence_id and offset, packed shard by shard; ids of a shard lie between its number times ``shard_pieces`` and the next.
 
     Pieces are dealt into shards of a bounded size. On each shard ``islands`` populations evolve apart for an epoch; then every
-    island's best grouping migrates to the next island of its shard, by a join, and the next epoch starts from both. The
-    best island's grouping counts. Pieces of full length fill a sequence of their own. Ties, nulls in ids and repeated rows
+    island's best grouping migrates to the next island of its shard, by a join, and the next epoch starts from both. A shard
+    is done when it has no more sequences than its lower bound, or when a whole epoch has saved none. The best island's
+    grouping counts. Pieces of full length fill a sequence of their own. Ties, nulls in ids and repeated rows
     don't matter: items are numbered inside their shard. An empty table gives an empty result.
     """
     dealt = materialize(shards(pieces, shard_pieces))
     state = dealt.select("shard", "length", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"))
-    state = state.withColumns({"own": F.lit(None).cast("array<int>"), "guest": F.lit(None).cast("array<int>")})
-    for epoch in range(epochs):
+    state = state.withColumns({"own": F.lit(None).cast("array<int>"), "guest": F.lit(None).cast("array<int>"), "before": F.lit(None).cast("int")})
+    done, epoch = [], 0
+    while True:
 
         def step(batch: pa.RecordBatch, epoch=epoch) -> pa.RecordBatch:
-            best = []
+            best, bins, least = [], [], []
             for r in batch.to_pylist():
                 seed = hash((r["shard"], r["island"], epoch))
                 best.append(evolve(r["length"], capacity, seed, [x for x in (r["own"], r["guest"]) if x], population, generations))
-            return pa.RecordBatch.from_arrays([batch.column("shard"), batch.column("island"), batch.column("length"), pa.array(best, pa.list_(pa.int32()))], names=["shard", "island", "length", "own"])
+                bins.append(max(best[-1]) + 1)
+                least.append(least_bins(r["length"], capacity))
+            columns = [*(batch.column(c) for c in ("shard", "island", "length", "before")), pa.array(best, pa.list_(pa.int32())), pa.array(bins, pa.int32()), pa.array(least, pa.int32())]
+            return pa.RecordBatch.from_arrays(columns, names=["shard", "island", "length", "before", "own", "bins", "least"])
 
         spread = state.repartition(partitions(state.sparkSession), "shard", "island")
-        state = materialize(map_batches(spread.select("shard", "island", "length", "own", "guest"), step, "shard long, island int, length array<int>, own array<int>"))
+        after = "shard long, island int, length array<int>, before int, own array<int>, bins int, least int"
+        state = materialize(map_batches(spread.select("shard", "island", "length", "own", "guest", "before"), step, after))
+        shard = state.groupBy("shard").agg(F.min("bins").alias("best"), F.min_by("own", F.struct("bins", "island")).alias("bin"), F.max("least").alias("least"), F.max("before").alias("was"))
+        more = (F.col("best") > F.col("least")) & (F.col("was").isNull() | (F.col("best") < F.col("was")))
+        done.append(shard.filter(~more).select("shard", "bin"))
+        going = shard.filter(more).select("shard", F.col("best").alias("before"))
+        if going.isEmpty():
+            break
         elite = state.select("shard", ((F.col("island") + 1) % islands).alias("island"), F.col("own").alias("guest"))
-        best, state = state, state.join(elite, ["shard", "island"], "left")
-    fills = F.aggregate("own", F.lit(0), lambda m, x: F.greatest(m, x))
-    won = best.groupBy("shard").agg(F.min_by("own", F.struct(fills, "island")).alias("bin"))
+        state, epoch = state.drop("before").join(going, "shard").join(elite, ["shard", "island"]), epoch + 1
+    won = reduce(DataFrame.unionByName, done)
 
     def place(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []

@@ -564,3 +564,51 @@ def test_fitting_takes_the_least_hashes(spark):
     order = table.select(F.xxhash64("page_id").alias("a"), F.xxhash64("html").alias("b"), "html").distinct().orderBy("a", "b").limit(40)
     assert html_extract.sample(table, "html", "page_id", 40) == [r["html"] for r in order.collect()]
     assert html_extract.sample(table.limit(0), "html", "page_id", 40) == []
+
+
+def fewest_bins(lengths, capacity):
+    """The least number of bins, by trying everything."""
+    best, lengths = len(lengths), sorted(lengths, reverse=True)
+
+    def place(i, fills):
+        nonlocal best
+        if i == len(lengths):
+            best = min(best, len(fills))
+        elif len(fills) < best:
+            for f in set(fills):
+                if f + lengths[i] <= capacity:
+                    rest = list(fills)
+                    rest.remove(f)
+                    place(i + 1, [*rest, f + lengths[i]])
+            place(i + 1, [*fills, lengths[i]])
+
+    place(0, [])
+    return best
+
+
+def test_search_of_groupings_finds_the_fewest_bins():
+    rng = random.Random(4)
+    for case in range(150):
+        capacity = rng.choice((1, 2, 3, 9, 20, 31))
+        lengths = [rng.randint(case % 5 > 0, capacity) for _ in range(rng.randint(1, 8))]
+        bins, fewest = packing.evolve(lengths, capacity, case, [], 6, 100), fewest_bins(lengths, capacity)
+        fill = np.bincount(bins, weights=lengths)
+        assert fill.max() <= capacity and packing.least_bins(lengths, capacity) <= fewest == len(set(bins)) == max(bins) + 1
+    assert [packing.least_bins([x] * 4096, 2048) for x in (512, 513, 600, 1000, 1025)] == [1024, 1366, 1366, 2048, 4096]
+
+
+@pytest.mark.parametrize("shortest, longest, saved", [(300, 900, 4), (400, 1100, 3)])
+def test_packing_saves_what_best_fit_leaves(spark, shortest, longest, saved):
+    """Lengths that best-fit decreasing packs badly; the second ones never meet the lower bound, so that epochs follow one another."""
+    rng = random.Random(1)
+    lengths = [rng.randint(shortest, longest) for _ in range(600)]
+    first = len(packing.Grouping(lengths, 2048).best_fit(sorted(range(600), key=lambda i: -lengths[i])).bins)
+    pieces = spark.createDataFrame([(k, 0, 0, n, 0) for k, n in enumerate(lengths)], packing.PIECE).coalesce(1)
+    got = packing.pack(pieces).collect()
+    assert sorted((r["doc_id"], r["length"]) for r in got) == list(enumerate(lengths))
+    fill, end = collections.Counter(), collections.Counter()
+    for r in got:
+        fill[r["sequence_id"]] += r["length"]
+        end[r["sequence_id"]] = max(end[r["sequence_id"]], r["offset"] + r["length"])
+    assert fill == end and max(fill.values()) <= 2048
+    assert packing.least_bins(lengths, 2048) <= len(fill) <= first - saved
