@@ -17,7 +17,7 @@ from seriesloom.operators.impute import fill_chain
 from seriesloom.operators.lags import add_lags
 from seriesloom.operators.segments import POSITION, SERIES_ROWS, with_positions
 from seriesloom.schema import LOCATION, SERIES
-from seriesloom.session import materialize
+from seriesloom.session import materialize, materialize_alone
 from seriesloom.sources.tables import date_bounds, series_of
 
 VARIABLES = ["click", "error", "purchase", "signup", "view"]
@@ -86,9 +86,13 @@ def as_target(df: DataFrame) -> DataFrame:
 
 def panel(spark: SparkSession, d: str, lags=(1, 2, 24)) -> DataFrame:
     """(location, target_variable, timestamp, value, lag_k ..., hour): complete rows only."""
-    placed = with_positions(as_target(filled(spark, d)), TARGET)
-    lagged = add_lags(placed, TARGET, "value", list(lags)).na.drop()
-    return materialize(lagged.withColumn("hour", F.hour("timestamp").cast("double")).drop(POSITION, SERIES_ROWS))
+
+    def lagged() -> DataFrame:
+        placed = with_positions(as_target(filled(spark, d)), TARGET)
+        complete = add_lags(placed, TARGET, "value", list(lags)).na.drop()
+        return complete.withColumn("hour", F.hour("timestamp").cast("double")).drop(POSITION, SERIES_ROWS)
+
+    return materialize_alone(spark, lagged)
 
 
 def preds(spark: SparkSession, d: str) -> DataFrame:

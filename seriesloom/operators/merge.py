@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriesloom.schema import HIGH_WATER_KEY, LOCATION
-from seriesloom.session import materialize, remove_path
+from seriesloom.session import CODEC, FREES_SHUFFLES, OPEN_FILES, held_conf, materialize, remove_path
 
 
 def unique_rows(source: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -24,20 +24,30 @@ def unique_rows(source: DataFrame, keys: Sequence[str]) -> DataFrame:
     return once.withColumn(rest[0], guarded).select(*[c for c in source.columns if c != "_one"])
 
 
+def refuse_copies(source: DataFrame, keys: Sequence[str]) -> None:
+    """Fails if a key occurs twice. Only the keys are shuffled, where ``unique_rows`` sends and sorts whole rows."""
+    message = F.concat(F.lit("duplicate key in batch: "), F.to_json(F.struct(*keys)))
+    copies = source.groupBy(*keys).agg(F.count("*").alias("_copies")).where("_copies > 1")
+    with held_conf(source.sparkSession, FREES_SHUFFLES):
+        copies.select(F.raise_error(message).alias("_copy")).collect()  # no row, or the error
+
+
 def upsert(
     target: DataFrame,
     source: DataFrame,
     keys: Sequence[str],
     update_columns: Sequence[str] | None = None,
+    unique: bool = False,
 ) -> DataFrame:
     """Rows of ``source`` replace ``update_columns`` of equal keys and are added otherwise.
 
     With a small batch the joins broadcast it and the table streams through without a shuffle. The
     size decides at run time; a large batch falls back to a sort-merge join on the unique key.
+    ``unique`` says that no key of the source occurs twice.
     """
     keys, columns = list(keys), target.columns
     rest = [c for c in columns if c not in keys]
-    source = unique_rows(source.select(*columns), keys)
+    source = source.select(*columns) if unique else unique_rows(source.select(*columns), keys)
     if update_columns is None or set(update_columns) >= set(rest):
         kept = target.join(source.select(*keys), keys, "left_anti")
         return kept.unionByName(source)
@@ -71,23 +81,31 @@ def upsert_table(
     keys: Sequence[str],
     partition_by: Sequence[str],
     update_columns: Sequence[str] | None = None,
+    stored: bool = False,
 ) -> None:
     """Upsert into a partitioned parquet table. Only the partitions the batch touches are read and
-    rewritten; files are staged and swapped at commit, so a failed job leaves the table as it was."""
+    rewritten; files are staged and swapped at commit, so a failed job leaves the table as it was.
+
+    ``stored`` says that the source is read from a table: then its keys are checked first, and its rows are neither
+    cached nor shuffled for that.
+    """
     partition_by = list(partition_by)
     if not set(partition_by) <= {*keys, "month"}:
         raise ValueError("partition columns must be part of the key, or the month of its timestamp")
+    if stored:
+        refuse_copies(source, keys)
     if not table_exists(spark, path):
-        _overwrite_partitions(unique_rows(source, keys), path, partition_by)
+        _overwrite_partitions(source if stored else unique_rows(source, keys), path, partition_by)
         return
-    source = source.persist()  # read for its partitions, its keys and its rows
+    source = source if stored else source.persist()  # read for its partitions, its keys and its rows
     try:
         target = spark.read.schema(source.schema).parquet(path)
         touched = source.select(*partition_by).distinct()
         affected = target.join(touched, partition_by, "left_semi").select(*source.columns)
-        _overwrite_partitions(upsert(affected, source, keys, update_columns), path, partition_by)
+        _overwrite_partitions(upsert(affected, source, keys, update_columns, stored), path, partition_by)
     finally:
-        source.unpersist()
+        if not stored:
+            source.unpersist()
 
 
 def delete_from_table(spark: SparkSession, path: str, condition: Column, partition_by: Sequence[str]) -> None:
@@ -109,12 +127,13 @@ def delete_from_table(spark: SparkSession, path: str, condition: Column, partiti
 
 
 def _overwrite_partitions(df: DataFrame, path: str, partition_by: Sequence[str]) -> None:
-    (
-        df.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*partition_by)
-        .parquet(path)
-    )
+    with held_conf(df.sparkSession, FREES_SHUFFLES | OPEN_FILES):
+        (
+            df.write.mode("overwrite")
+            .options(partitionOverwriteMode="dynamic", compression=CODEC)
+            .partitionBy(*partition_by)
+            .parquet(path)
+        )
 
 
 def table_exists(spark: SparkSession, path: str) -> bool:

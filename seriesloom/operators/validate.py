@@ -75,25 +75,34 @@ def validate(
     )
 
 
+def own_thresholds(scored: DataFrame, validation_threshold: float = 1.5) -> DataFrame:
+    """Thresholds from the residuals of each series, within the limits of its models."""
+    limits = None
+    if "lower_limit" in scored.columns:
+        limits = scored.groupBy(*TARGET).agg(
+            F.max("lower_limit").alias("lower_limit"), F.min("upper_limit").alias("upper_limit")
+        )
+    return iqr_thresholds(scored, TARGET, validation_threshold, limits)
+
+
 def prediction_records(
     scored: DataFrame,
     validation_threshold: float = 1.5,
     accuracy_threshold: float = 85.0,
     update_date=None,
     thresholds: DataFrame | None = None,
+    smoothed: str = "predictions",
 ) -> DataFrame:
     """Scored rows to rows of the predictions table.
 
     ``scored`` has the model identity, real_value and predictions. Thresholds come from its own
-    residuals per series unless they are given (a stream passes the batch ones).
+    residuals per series unless they are given (a stream passes the batch ones). The values of ``smoothed`` are
+    recorded as predictions; all else is made from the predictions themselves.
     """
     if thresholds is None:
-        limits = None
-        if "lower_limit" in scored.columns:
-            limits = scored.groupBy(*TARGET).agg(
-                F.max("lower_limit").alias("lower_limit"), F.min("upper_limit").alias("upper_limit")
-            )
-        thresholds = iqr_thresholds(scored, TARGET, validation_threshold, limits)
+        thresholds = own_thresholds(scored, validation_threshold)
     checked = validate(scored, thresholds, accuracy_threshold)
-    stamped = checked.withColumn("update_date", F.lit(update_date).cast("timestamp_ntz"))
+    stamped = checked.withColumn("update_date", F.lit(update_date).cast("timestamp_ntz")).withColumn(
+        "predictions", F.col(smoothed)
+    )
     return stamped.select(*[F.col(f.name).cast(f.dataType) for f in PREDICTIONS.fields])

@@ -13,9 +13,9 @@ from seriesloom.operators.merge import marks_of, since_mark, table_exists
 from seriesloom.operators.registry import best_model
 from seriesloom.operators.scaling import with_named_terms
 from seriesloom.operators.smoothing import smooth_predictions
-from seriesloom.operators.validate import TARGET, prediction_records
+from seriesloom.operators.validate import TARGET, own_thresholds, prediction_records
 from seriesloom.schema import LOCATION
-from seriesloom.session import materialize, scratch_scope
+from seriesloom.session import materialize, materialize_alone, scratch_scope
 from seriesloom.sources.sinks import publish_predictions, save_table
 
 IDENTITY = ["model_date", "model_name", "model_type", "model_version", "lower_limit", "upper_limit"]
@@ -76,10 +76,20 @@ def predict_and_validate(
     update_date=None,
     smooth_rows: int = 100,
 ) -> DataFrame:
-    """Score, validate, then smooth the stored predictions of each series."""
-    scored = score_with_registry(df, registry, label)
-    records = prediction_records(scored, validation_threshold, accuracy_threshold, update_date)
-    return smooth_predictions(records, TARGET, rows=smooth_rows)
+    """Score, validate, and smooth the predictions of each series as they are recorded.
+
+    Each step is stored, so that the disk holds the shuffles of one step at a time. Until the end the rows carry only what
+    the records are made of: the model, the actual value, the prediction and its smoothed value.
+    """
+
+    def smoothed() -> DataFrame:
+        scored = score_with_registry(df, registry, label)
+        rows = scored.select(*TARGET, "timestamp", *IDENTITY, "real_value", "predictions", F.col("predictions").alias("_smoothed"))
+        return smooth_predictions(rows, TARGET, "_smoothed", rows=smooth_rows)
+
+    rows = materialize_alone(df.sparkSession, smoothed)
+    thresholds = materialize(own_thresholds(rows, validation_threshold))
+    return prediction_records(rows, validation_threshold, accuracy_threshold, update_date, thresholds, "_smoothed")
 
 
 def run_predict_job(
@@ -106,13 +116,17 @@ def run_predict_job(
             marks = spark.read.parquet(f"{root}/marks")
             known = [marks.where(F.col("data_type") == kind) for kind in ("engineered_data", "predictions")]
             panel = within(panel, materialize(resolve_prediction_range(*known, window, frequency, direction)))
-        records = predict_and_validate(panel, registry, label, update_date=update_date, **how)
-        if look_back is None and table_exists(spark, f"{root}/marks"):
-            records = since_mark(records, spark.read.parquet(f"{root}/marks"), "predictions")
-        records = materialize(records)
+
+        def new_records() -> DataFrame:
+            records = predict_and_validate(panel, registry, label, update_date=update_date, **how)
+            if look_back is None and table_exists(spark, f"{root}/marks"):
+                records = since_mark(records, spark.read.parquet(f"{root}/marks"), "predictions")
+            return records
+
+        records = materialize_alone(spark, new_records)
         if records.isEmpty():
             return
-        save_table(spark, root, "predictions", records)
+        save_table(spark, root, "predictions", records, stored=True)
         save_table(spark, root, "marks", marks_of(records.select(*LOCATION, "timestamp"), "predictions", update_date))
         if publish_to:
-            publish_predictions(spark, records, publish_to)
+            publish_predictions(spark, records, publish_to, stored=True)

@@ -42,11 +42,12 @@ def save(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str =
     nan_to_null(df).write.mode(mode).partitionBy(*partition_by).parquet(path)
 
 
-def save_table(spark: SparkSession, root: str, table: str, df: DataFrame) -> None:
+def save_table(spark: SparkSession, root: str, table: str, df: DataFrame, stored: bool = False) -> None:
     """Upsert into a stored table. Its columns are checked and put in order first."""
     keys, parts = LAYOUT[table]
     df = nan_to_null(sort_columns(df, SCHEMAS[table].names))
-    upsert_table(spark, f"{root}/{table}", with_month(df) if "month" in parts else df, keys, parts, UPDATES.get(table))
+    df = with_month(df) if "month" in parts else df
+    upsert_table(spark, f"{root}/{table}", df, keys, parts, UPDATES.get(table), stored)
 
 
 def long_features(wide: DataFrame, variables: Sequence[str], update_date) -> DataFrame:
@@ -77,6 +78,8 @@ def published(df: DataFrame, location: str | None = None) -> DataFrame:
     return df.withColumn("target_variable", strip_location(F.col("target_variable"), prefix))
 
 
-def publish_predictions(spark: SparkSession, df: DataFrame, path: str, location: str | None = None) -> None:
+def publish_predictions(
+    spark: SparkSession, df: DataFrame, path: str, location: str | None = None, stored: bool = False
+) -> None:
     """One output folder per target variable. Rows of other keys, as of other locations, stay as they are."""
-    upsert_table(spark, path, published(df, location), PREDICTIONS_KEY, ["target_variable"])
+    upsert_table(spark, path, published(df, location), PREDICTIONS_KEY, ["target_variable"], stored=stored)

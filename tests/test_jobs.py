@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from seriesloom.functions import dates
 from seriesloom.operators import impute, segments
 from seriesloom.operators.quantiles import exact_quantiles
-from seriesloom.plans import preprocess
-from seriesloom.schema import SERIES
-from seriesloom.session import materialize, shared_dir
+from seriesloom.operators.smoothing import smooth_predictions
+from seriesloom.plans import predict, preprocess, train
+from seriesloom.schema import PREDICTIONS, SERIES
+from seriesloom.session import FREES_SHUFFLES, materialize, materialize_alone, shared_dir
 from seriesloom.sources import sinks, tables
 from seriesloom.streaming import jobs
 
@@ -186,3 +187,106 @@ def test_a_range_reaches_the_scan(spark, tmp_path):
     assert bounds[41.0][0] == START and bounds[41.0][1] <= stop and bounds.get(42.0, (stop, stop)) == (stop, stop)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(timestamp" in plan and "LessThanOrEqual(timestamp" in plan
+
+
+def shuffle_files(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {name for name in (files.apply(i).getName() for i in range(files.size())) if name.startswith("shuffle_")}
+
+
+def hourly_panel(spark, n=150):
+    rng = np.random.default_rng(3)
+    rows = [
+        (41.0 + s, 2.0, v, START + timedelta(hours=h), float(h % 24), float(np.round(10 + h % 24 + rng.normal(), 2)))
+        for s in range(2)
+        for v in ("precipitation", "wind")
+        for h in range(n)
+    ]
+    return spark.createDataFrame(
+        rows, "latitude double, longitude double, target_variable string, timestamp timestamp_ntz, a double, value double"
+    )
+
+
+def test_stored_steps_leave_no_shuffle_files(spark, tmp_path):
+    """The shuffles of a step go with it: a job's disk does not grow with its number of steps."""
+    rows = materialize(hourly_panel(spark))
+    (key,) = FREES_SHUFFLES
+    setting, before = spark.conf.get(key), shuffle_files(spark)
+    moved = rows.repartition(4, "timestamp")
+    assert materialize(moved).count() == rows.count()
+    assert materialize_alone(spark, lambda: materialize(moved).repartition(3, "a")).count() == rows.count()
+    sinks.save_table(spark, str(tmp_path), "features", rows.select(
+        "timestamp", "latitude", "longitude", F.col("target_variable").alias("variable_code"), "value",
+        F.lit(UPDATED).cast("timestamp_ntz").alias("update_date"),
+    ))
+    # Counting is no stored step: of its shuffles only single rows stay until the driver collects its garbage.
+    left = {f.split("_")[1] for f in shuffle_files(spark) - before if f.endswith(".data")}
+    assert len(left) <= 4, left
+    assert spark.conf.get(key) == setting
+
+
+def test_intermediate_tables_go_with_their_step(spark):
+    shared, rows = Path(shared_dir(spark)), hourly_panel(spark, 5)
+    before = set(shared.iterdir())
+    out = materialize_alone(spark, lambda: materialize(rows).where("a > 1"))
+    assert len(set(shared.iterdir()) - before) == 1 and out.count() == rows.where("a > 1").count()
+
+
+def test_jobs_write_whole_records_without_moving_them(spark, tmp_path, monkeypatch):
+    """Records are neither sorted nor shuffled to be saved, and smoothing moves rows without what is made at the end."""
+    from seriesloom.operators import merge, smoothing
+
+    written, stored = [], []
+    write, store = merge._overwrite_partitions, smoothing.materialize
+    monkeypatch.setattr(merge, "_overwrite_partitions", lambda df, *a: (written.append(df), write(df, *a)))
+    monkeypatch.setattr(smoothing, "materialize", lambda df, **o: (stored.append(df), store(df, **o))[1])
+    panel = materialize(hourly_panel(spark))
+    cfg = train.TrainSettings(cv_splits=3)
+    train.run_train_job(spark, str(tmp_path), panel, ["a"], "value", cfg, UPDATED)
+    predict.run_predict_job(spark, str(tmp_path), panel, "value", UPDATED, f"{tmp_path}/out")
+    wide = [df for df in written if "suggested_value" in df.columns]
+    assert len(wide) == 2
+    for df in wide:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Aggregate" not in plan and "Scan parquet" in plan
+    assert [set(df.columns) & {"suggested_value", "data_quality_percentage", "validation_boolean"} for df in stored] == [set()]
+    saved, out = spark.read.parquet(f"{tmp_path}/predictions"), spark.read.parquet(f"{tmp_path}/out")
+    assert saved.count() == out.count() == panel.count()
+    # The stored predictions are smoothed; flags and suggestions come from the predictions as they were scored.
+    scored = predict.score_with_registry(panel, spark.read.parquet(f"{tmp_path}/registry"), "value")
+    want = smooth_predictions(scored, ["latitude", "longitude", "target_variable"]).withColumnRenamed("predictions", "smooth")
+    keys = ["timestamp", "latitude", "longitude", "target_variable"]
+    raw = scored.select(*keys, F.col("predictions").alias("raw"))
+    both = saved.join(want.select(*keys, "smooth"), keys).join(raw, keys)
+    assert both.count() == panel.count()
+    assert both.where("abs(predictions - smooth) > 1e-9 or suggested_value not in (raw, real_value)").count() == 0
+
+
+def test_a_stored_batch_with_a_key_twice_changes_nothing(spark, tmp_path):
+    panel = hourly_panel(spark, 3)
+    rows = materialize(panel.select(*[
+        (F.col(f.name) if f.name in panel.columns else F.lit("1" if f.name == "model_version" else None)).cast(f.dataType).alias(f.name)
+        for f in PREDICTIONS.fields
+    ]))
+    sinks.save_table(spark, str(tmp_path), "predictions", rows.limit(4), stored=True)
+    twice = materialize(rows.union(rows.limit(1)))
+    for root in (tmp_path, tmp_path / "new"):
+        with pytest.raises(Exception, match="duplicate key in batch"):
+            sinks.save_table(spark, str(root), "predictions", twice, stored=True)
+    assert spark.read.parquet(f"{tmp_path}/predictions").count() == 4 and not (tmp_path / "new").exists()
+    for _ in range(2):
+        sinks.save_table(spark, str(tmp_path), "predictions", rows.withColumn("predictions", F.lit(5.0)), stored=True)
+    assert spark.read.parquet(f"{tmp_path}/predictions").where("predictions = 5").count() == rows.count()
+
+
+def test_smoothing_fills_from_other_blocks(spark):
+    """Gaps wider than a block, at the start, inside and at the end; a series without a value stays empty."""
+    rng = np.random.default_rng(5)
+    base = {"a": rng.normal(5, 1, 60), "b": rng.normal(5, 1, 41), "c": np.full(30, np.nan), "d": rng.normal(5, 1, 1)}
+    for k, a, b in (("a", 0, 13), ("a", 20, 37), ("b", 25, 41)):
+        base[k][a:b] = np.nan
+    times = {k: [START + timedelta(hours=i) for i in range(len(v))] for k, v in base.items()}
+    pdf = pd.DataFrame([(k, t, x) for k, v in base.items() for t, x in zip(times[k], v)], columns=["k", "timestamp", "value"])
+    for n, block in ((1, 4), (3, 4), (3, 8), (6, 2)):
+        got = by_series(smooth_predictions(to_spark(spark, pdf), ["k"], "value", rows=n, block=block))
+        same(got, {k: pd.Series(v).clip(lower=0).rolling(n).mean().bfill().ffill().to_numpy() for k, v in base.items()})
